@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cooccurrence, frequency, mixing, tokens
+from folioscope.llm import cooccurrence, frequency, mixing, name_variants, tokens
 from folioscope.operators.current import current_rows
 from folioscope.session import table
 
@@ -29,6 +29,10 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.linked_pairs(name_variants.link_names(table(spark, sf_dir, "name_variants")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = _papers(spark, sf_dir, ["preprocessed_text"])
     counts, total = frequency.ngram_counts(papers, "paper_id", frequency.normalised_terms(F.col("preprocessed_text")))
@@ -61,7 +65,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
 
