@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cooccurrence, frequency, mixing, name_variants, tokens
+from folioscope.llm import cooccurrence, frequency, mixing, name_variants, similar_vectors, tokens
 from folioscope.operators.current import current_rows
 from folioscope.session import table
 
@@ -29,6 +29,13 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topics = table(spark, sf_dir, "author_topics")
+    vectors = similar_vectors.usable_distributions(topics, "author_id", "computed_at", "author_topic_space_probs")
+    near = similar_vectors.similar_distributions(vectors, 10, 0.15)
+    return near.select(F.least("key", "other").alias("author_a"), F.greatest("key", "other").alias("author_b")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.linked_pairs(name_variants.link_names(table(spark, sf_dir, "name_variants")))
 
@@ -65,7 +72,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
 
@@ -103,6 +110,16 @@ SQL = {
 SELECT author_a, author_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b), 4) AS lift,
   round(((n_ab + CAST(0.5 AS DOUBLE)) * (n - n_a - n_b + n_ab + CAST(0.5 AS DOUBLE))) / ((n_a - n_ab + CAST(0.5 AS DOUBLE)) * (n_b - n_ab + CAST(0.5 AS DOUBLE))), 4) AS odds_ratio
 FROM pairs""",
+    "p4_found": """WITH cur AS (
+  SELECT author_id AS a, CAST(author_topic_space_probs AS DOUBLE[]) AS v FROM author_topics WHERE author_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY computed_at DESC) = 1),
+ok AS (SELECT a, v, list_sum(v) AS s FROM cur WHERE len(v) > 0 AND list_sum(v) > 0),
+u AS (SELECT a, CAST(list_transform(v, lambda x: sqrt(x / s)) AS DOUBLE[64]) AS u FROM ok),
+d AS (
+  SELECT x.a AS a, y.a AS b, sqrt(greatest(0, 1 - array_inner_product(x.u, y.u))) AS h
+  FROM u x JOIN u y ON x.a <> y.a AND array_inner_product(x.u, y.u) >= 0.97),
+r AS (SELECT a, b, h, row_number() OVER (PARTITION BY a ORDER BY h, b) AS k FROM d)
+SELECT DISTINCT least(a, b) AS author_a, greatest(a, b) AS author_b FROM r WHERE k <= 10 AND h <= 0.15""",
     "p7_found": f"""WITH {_TERMS},
 c AS (SELECT t AS term, count(DISTINCT paper_id) AS records FROM terms GROUP BY t)
 SELECT term, {_MARK} AS mark FROM c WHERE {_MARK} IS NOT NULL""",
