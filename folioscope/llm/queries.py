@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cooccurrence, frequency, mixing, name_variants, similar_vectors, tokens
+from folioscope.llm import cooccurrence, frequency, mixing, name_variants, similar_vectors, tokens, toxicity
 from folioscope.operators.current import current_rows
 from folioscope.session import table
 
@@ -71,9 +71,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return scores.where("flagged").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, flagged documents and their share per source."""
+    return toxicity.rates(toxicity.toxicity_scores(table(spark, sf_dir, "documents"), "text", ["source"]), "source")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_rates": p10_rates,
 }
 
 _AUTHORS = """
