@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cooccurrence, frequency, mixing, name_variants, similar_vectors, tokens, toxicity
+from folioscope.llm import cooccurrence, frequency, markup, mixing, name_variants, similar_vectors, tokens, toxicity
 from folioscope.operators.current import current_rows
 from folioscope.session import table
 
@@ -29,6 +29,21 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions are labelled in place and only their bits are shuffled to find the current one."""
+    papers = table(spark, sf_dir, "papers").where(F.col("paper_id").isNotNull())
+    labelled = markup.label_markup(papers, "raw_text", ["paper_id", "ingested_at"])
+    current = labelled.groupBy("paper_id").agg(F.max(F.struct("ingested_at", "kinds")).alias("r")).select("paper_id", "r.kinds")
+    kinds = F.array(*[F.when(F.col("kinds").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(markup.LABELS) if i])
+    return current.where("kinds > 0").select("paper_id", F.explode(F.array_compact(kinds)).alias("structure"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every current paper."""
+    papers = _papers(spark, sf_dir, ["raw_text"])
+    return markup.label_markup(papers, "raw_text", ["paper_id"], clean=True).select("paper_id", "clean_text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = table(spark, sf_dir, "author_topics")
     vectors = similar_vectors.usable_distributions(topics, "author_id", "computed_at", "author_topic_space_probs")
@@ -82,7 +97,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_rates": p10_rates,
 }
