@@ -119,6 +119,7 @@ LINE = _rules(
 _TRIGGER = re.compile(r"[<\\$`~*_\[!{&]|''|^[ \t]*(?:[-+=>|#]|\d{1,3}[.)][ \t])", re.M)
 #: What a text must hold to have any leaf but prose; also a condition for the scan in Spark.
 ANY_MARK = r"[<\\$`~*_\[{&]|''|!\[|(?m)^[ \t]*(?:[-+=>|#]|\d{1,3}[.)][ \t])"
+_BRACE = re.compile(r"(?<!\\)[{}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SHAPES = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\s+"))
 
@@ -138,6 +139,20 @@ def leaves(text: str) -> list[Leaf]:
     at = look = 0
     inside = "-"
     n = len(text)
+    braces: list[int] = []  # places of the braces that close what a command opened, the next one last
+
+    def prose(start: int, end: int) -> None:
+        while braces and braces[-1] < end:
+            brace = braces.pop()
+            if brace < start:
+                continue
+            if brace > start:
+                out.append(("prose", start, brace, f"prose {inside}", text[start:brace]))
+            out.append(("close", brace, brace + 1, "close brace", ""))
+            start = brace + 1
+        if start < end:
+            out.append(("prose", start, end, f"prose {inside}", text[start:end]))
+
     while look < n:
         m = _TRIGGER.search(text, look)
         if m is None:
@@ -169,7 +184,7 @@ def leaves(text: str) -> list[Leaf]:
         if kind == "setext" and start - at < 1:
             kind = "rule"
         if start > at:
-            out.append(("prose", at, start, f"prose {inside}", text[at:start]))
+            prose(at, start)
         line_end = text.find("\n", end)
         held = text[end : line_end if line_end >= 0 else n] if "open" in groups else (hit.group(1) if hit.re.groups and hit.group(1) else hit.group())
         path = f"{kind} {inside} {'bol' if at_line else 'mid'} s:{_shape(held)} {kind}/{first}"
@@ -178,12 +193,27 @@ def leaves(text: str) -> list[Leaf]:
             inside = kind
         elif kind == "close":
             inside = "-"
+        if text[end - 1] == "{" and kind in ("command", "tex_head"):
+            brace = _closing_brace(text, end)
+            if brace is not None:
+                braces.append(brace)
+                braces.sort(reverse=True)
         at = look = max(end, start + 1)
     if at < n:
-        out.append(("prose", at, n, f"prose {inside}", text[at:]))
+        prose(at, n)
     return out
 
 
+def _closing_brace(text: str, start: int) -> int | None:
+    """The place of the brace that closes one opened just before ``start``."""
+    depth = 1
+    for m in _BRACE.finditer(text, start):
+        depth += 1 if m.group() == "{" else -1
+        if depth == 0:
+            return m.start()
+    return None
+
+
 @functools.lru_cache(maxsize=200_000)
 def _bucket(token: str, dims: int) -> int:
     return zlib.crc32(token.encode()) % dims
@@ -485,6 +515,7 @@ def clean_text(text: str, doc: list[Leaf], labels: np.ndarray) -> str:
     joined = "".join(out)
     joined = re.sub(r"(?m)^(.*\S.*)\n(?:={3,}|-{3,})[ \t]*$", r"# \1", joined)
     joined = re.sub(r"(?m)^(# .*?\S)[ \t]*[=#]+[ \t]*$", r"\1", joined)
+    joined = re.sub(r"(?m)^# [ \t]*\n+(?=\S)", "# ", joined)
     return re.sub(r"\n{3,}", "\n\n", joined).strip()
 
 
