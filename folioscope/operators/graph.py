@@ -56,9 +56,10 @@ def limit_degrees(edges: DataFrame, least: int | None = None, most: int | None =
         kept = kept.where(F.col("degree") >= least)
     if most is not None:
         kept = kept.where(F.col("degree") <= most)
+    columns = edges.columns
     for end in ("src", "dst"):
         edges = edges.join(kept.select(F.col("id").alias(end)), end, "left_semi")
-    return edges
+    return edges.select(*columns)
 
 
 def compose(edges: DataFrame, first: int, last: int, least: int | None = None, most: int | None = None, by: str = "year") -> DataFrame:

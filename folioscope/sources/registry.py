@@ -96,8 +96,9 @@ def read_text(spark: SparkSession, paths: list[str], **_: object) -> DataFrame:
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) of the edges of a GraphML file with numeric ids, lower id first."""
-    edges = spark.read.format("xml").option("rowTag", "edge").option("attributePrefix", "").schema("source string, target string").load(path)
-    ends = edges.select(F.regexp_extract("source", r"(\d+)", 1).cast("bigint").alias("a"), F.regexp_extract("target", r"(\d+)", 1).cast("bigint").alias("b"))
+    tags = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"<edge\b[^>]*>"), F.lit(0))).alias("tag"))
+    end = lambda name: F.regexp_extract("tag", rf"\b{name}=[\"']\D*(\d+)[\"']", 1)
+    ends = tags.select(F.try_to_number(end("source"), F.lit("9" * 19)).cast("bigint").alias("a"), F.try_to_number(end("target"), F.lit("9" * 19)).cast("bigint").alias("b"))
     return ends.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
