@@ -515,7 +515,7 @@ def clean_text(text: str, doc: list[Leaf], labels: np.ndarray) -> str:
     joined = "".join(out)
     joined = re.sub(r"(?m)^(.*\S.*)\n(?:={3,}|-{3,})[ \t]*$", r"# \1", joined)
     joined = re.sub(r"(?m)^(# .*?\S)[ \t]*[=#]+[ \t]*$", r"\1", joined)
-    joined = re.sub(r"(?m)^# [ \t]*\n+(?=\S)", "# ", joined)
+    joined = re.sub(r"(?m)^# (?:[ \t]*\n+|[ \t]+)(?=\S)", "# ", joined)
     return re.sub(r"\n{3,}", "\n\n", joined).strip()
 
 
