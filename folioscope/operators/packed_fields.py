@@ -7,7 +7,7 @@ the final removal of repeated rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,32 +36,36 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, "^[\\s\u00a0\u200b\ufeff]+|[\\s\u00a0\u200b\ufeff]+$", "")
 
 
-def _mask(text: Column, span: Column | str) -> tuple[Column, Column]:
-    """(text with the i-th match of ``span`` replaced by placeholder i, the matches)."""
-    pattern = F.lit(span) if isinstance(span, str) else span
-    spans = F.regexp_extract_all(text, pattern, F.lit(0))
-    # a match must not be empty, else split and extract_all would disagree; the patterns used here never match ""
-    outside = F.split(text, span, -1) if isinstance(span, str) else F.split(text, pattern, -1)
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` computed once per row, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _mask(text: Column, span: str) -> Column:
+    """Struct of ``masked``, the text with the i-th match of ``span`` replaced by placeholder i, and ``spans``, the
+    matches. The pattern must not match "", else split and extract would disagree."""
     pieces = F.transform(
-        outside,
+        F.split(text, span, -1),
         lambda piece, i: F.when(i == 0, piece).otherwise(
             F.concat(F.lit(MARK), (i - 1).cast("string"), F.lit(CLOSE), piece)
         ),
     )
-    return F.array_join(pieces, ""), spans
+    return F.struct(F.array_join(pieces, "").alias("masked"), F.regexp_extract_all(text, F.lit(span), F.lit(0)).alias("spans"))
 
 
 def _restore(value: Column, spans: Column) -> Column:
     """Every placeholder of ``value`` replaced by its span through the array."""
-    outside = F.split(value, f"{MARK}[0-9]+{CLOSE}", -1)
-    index = F.regexp_extract_all(value, F.lit(f"{MARK}([0-9]+){CLOSE}"), F.lit(1))
-    pieces = F.transform(
-        outside,
-        lambda piece, i: F.when(i == 0, piece).otherwise(
-            F.concat(F.get(spans, F.get(index, i - 1).cast("int")), piece)
-        ),
-    )
-    return F.array_join(pieces, "")
+    place = f"{MARK}([0-9]+){CLOSE}"
+
+    def put(index: Column) -> Column:
+        pieces = F.transform(
+            F.split(value, place, -1),
+            lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.get(spans, F.get(index, i - 1).cast("int")), piece)),
+        )
+        return F.array_join(pieces, "")
+
+    filled = _let(F.regexp_extract_all(value, F.lit(place), F.lit(1)), put)
+    return F.when(value.contains(MARK), filled).otherwise(value)
 
 
 def _unquote(value: Column) -> Column:
@@ -86,18 +90,23 @@ def _words(c: Column) -> Column:
 
 def _finish(parts: Column, spans: Column) -> Column:
     """Restored, trimmed, unquoted and non-empty values in their order."""
-    values = F.transform(
-        parts, lambda v: _trim(F.replace(_unquote(_trim(_restore(v, spans))), F.lit(MARK + ESCAPE), F.lit(MARK)))
-    )
-    return F.filter(values, lambda v: v != "")
+
+    def value(v: Column) -> Column:
+        bare = _let(_trim(_restore(v, spans)), _unquote)
+        return _trim(F.replace(bare, F.lit(MARK + ESCAPE), F.lit(MARK)))
+
+    return F.filter(F.transform(parts, value), lambda v: v != "")
 
 
 def _open(field: Column) -> Column:
-    """Escaped, trimmed, without the brackets of the whole list; placeholders for nothing become ""."""
-    text = _trim(F.replace(field, F.lit(MARK), F.lit(MARK + ESCAPE)))
-    listed = text.rlike(r"(?s)^\[.*\]$") & ~text.rlike(r"(?s)^\[[^\]]*\].*\[[^\]]*\]$")
-    text = F.when(listed, _trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
-    return F.when(F.lower(text).isin(PLACEHOLDERS), F.lit("")).otherwise(text)
+    """Escaped, trimmed, without the brackets of the whole list; null and placeholders for nothing become ""."""
+
+    def inner(text: Column) -> Column:
+        listed = text.rlike(r"(?s)^\[.*\]$") & ~text.rlike(r"(?s)^\[[^\]]*\].*\[[^\]]*\]$")
+        body = F.when(listed, _trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+        return F.when(F.lower(body).isin(PLACEHOLDERS), F.lit("")).otherwise(body)
+
+    return _let(_trim(F.replace(F.coalesce(field, F.lit("")), F.lit(MARK), F.lit(MARK + ESCAPE))), inner)
 
 
 def split_names(field: Column) -> Column:
@@ -109,48 +118,53 @@ def split_names(field: Column) -> Column:
     inside "Last, First", and a plain comma list of "Last, F." is read in pairs, a "Jr." staying with its name.
     Null gives an empty array, as do blank fields and placeholders such as "N/A".
     """
-    text = _open(F.coalesce(field, F.lit("")))
-    masked, spans = _mask(text, _QUOTED_LIST)
     hard = r"[\r\n\t;|]+(?!\s*Section\s+[A-Z0-9]\b)|\s+/\s+"
     word = rf"[^\s;|,/&{MARK}]{{1,60}}"
     name_left = rf"(?<=(?:^|[\s,])(?!and\s|AND\s|&\s){word},?\s{{1,3}}{word})"
-    both = rf",?\s+(?:and|AND|&)\s+"
     # between full names ("A B and C D"), and between "Last, First" names
     soft_full = rf"(?:(?<=,)\s+|{name_left},?\s+)(?:and|AND|&)\s+(?={word}\s{{1,3}}(?!and\s|AND\s|&\s|/){word})"
     soft_last = rf"{name_left}\s+(?:and|AND|&)\s+(?={word},?\s{{1,3}}(?!and\s|AND\s|&\s|/){word})"
+    comma = r"\s*,\s*(?:(?:and|AND|&)\s+)?"
+    ends = "|".join(SUFFIXES)
 
-    pieces = F.filter(F.split(masked, hard, -1), lambda p: _trim(p) != "")
-    has_hard = F.size(pieces) > 1
-    comma_parts = F.filter(F.split(F.regexp_replace(masked, both, ", "), r"\s*,\s*"), lambda p: _trim(p) != "")
-    comma_list = ~has_hard & (F.size(comma_parts) > 1) & F.forall(
-        F.filter(F.split(masked, r"\s*,\s*(?:(?:and|AND|&)\s+)?", -1), lambda p: _trim(p) != ""), lambda p: (_words(p) >= 2) | p.contains(MARK)
-    )
-    by_comma = F.flatten(
-        F.transform(F.split(masked, r"\s*,\s*(?:(?:and|AND|&)\s+)?", -1), lambda p: F.split(p, soft_full, -1))
-    )
-    by_soft = F.flatten(F.transform(pieces, lambda p: F.split(p, soft_last, -1)))
-    # "Last, F., Last, F.": pairs; a suffix goes to the name before it
-    suffix = rf"(?i)^(?:{'|'.join(SUFFIXES)})\.?$"
-    flat = F.split(F.regexp_replace(masked, rf"\s*,\s*(?=(?:{'|'.join(SUFFIXES)})\.?\s*(?:,|$))", f"{ESCAPE} "), r"\s*,\s*", -1)
-    flat = F.filter(flat, lambda p: _trim(p) != "")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest((F.size(flat) / 2).cast("int") - 1, F.lit(0))),
-        lambda i: F.replace(F.concat_ws(", ", F.get(flat, 2 * i), F.get(flat, 2 * i + 1)), F.lit(ESCAPE), F.lit(",")),
-    )
-    is_pairs = (
-        ~has_hard
-        & (F.size(by_soft) == 1)
-        & (F.size(flat) >= 4)
-        & (F.size(flat) % 2 == 0)
-        & F.forall(flat, lambda p: _words(p) <= 1)
-        & ~F.exists(flat, lambda p: p.rlike(suffix))
-    )
-    listed_spans = F.size(spans) > 0
-    quoted = F.flatten(F.transform(pieces, lambda p: F.split(p, rf"\s*,\s*(?={MARK})|(?<={CLOSE})\s*,\s*", -1)))
-    parts = (
-        F.when(listed_spans, quoted).when(comma_list, by_comma).when(is_pairs, pairs).otherwise(by_soft)
-    )
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(_finish(parts, spans))
+    def full(p: Column) -> Column:
+        return (_words(p) >= 2) | p.contains(MARK)
+
+    def paired(masked: Column, by_soft: Column) -> Column:
+        # "Last, F., Last, F.": pairs; a suffix goes to the name before it
+        kept = F.regexp_replace(masked, rf"\s*,\s*(?=(?:{ends})\.?\s*(?:,|$))", f"{ESCAPE} ")
+        flat = F.filter(F.split(kept, r"\s*,\s*", -1), lambda p: _trim(p) != "")
+
+        def choose(flat: Column) -> Column:
+            pairs = F.transform(
+                F.sequence(F.lit(0), F.greatest((F.size(flat) / 2).cast("int") - 1, F.lit(0))),
+                lambda i: F.replace(F.concat_ws(", ", F.get(flat, 2 * i), F.get(flat, 2 * i + 1)), F.lit(ESCAPE), F.lit(",")),
+            )
+            fits = (F.size(flat) >= 4) & (F.size(flat) % 2 == 0) & F.forall(flat, lambda p: _words(p) <= 1)
+            fits = fits & ~F.exists(flat, lambda p: p.rlike(rf"(?i)^(?:{ends})\.?$"))
+            return F.when(fits, pairs).otherwise(by_soft)
+
+        return F.when(F.size(by_soft) == 1, _let(flat, choose)).otherwise(by_soft)
+
+    def by_pieces(masked: Column, spans: Column, pieces: Column) -> Column:
+        quoted = F.flatten(F.transform(pieces, lambda p: F.split(p, rf"\s*,\s*(?={MARK})|(?<={CLOSE})\s*,\s*", -1)))
+        by_soft = F.flatten(F.transform(pieces, lambda p: F.split(p, soft_last, -1)))
+
+        def unquoted(listed: Column) -> Column:
+            by_comma = F.flatten(F.transform(F.split(masked, comma, -1), lambda p: F.split(p, soft_full, -1)))
+            comma_list = (F.size(listed) > 1) & F.forall(listed, full)
+            return F.when(comma_list, by_comma).otherwise(_let(by_soft, lambda soft: paired(masked, soft)))
+
+        one = _let(F.filter(F.split(masked, comma, -1), lambda p: _trim(p) != ""), unquoted)
+        parts = F.when(F.size(spans) > 0, quoted).when(F.size(pieces) > 1, by_soft).otherwise(one)
+        return _finish(parts, spans)
+
+    def split(m: Column) -> Column:
+        pieces = F.filter(F.split(m["masked"], hard, -1), lambda p: _trim(p) != "")
+        return _let(pieces, lambda p: by_pieces(m["masked"], m["spans"], p))
+
+    none = F.array().cast("array<string>")
+    return _let(_open(field), lambda text: F.when(text == "", none).otherwise(_let(_mask(text, _QUOTED_LIST), split)))
 
 
 def _known_pattern(known: Iterable[str]) -> str:
@@ -166,13 +180,14 @@ def split_codes(field: Column, known: Iterable[str]) -> Column:
     protected as quoted spans are. Then ``, ; |``, tabs, line breaks and blanks separate. Null, blank fields
     and placeholders give an empty array.
     """
-    text = _open(F.coalesce(field, F.lit("")))
     protected = _known_pattern(known)
     span = _QUOTED_LIST + (rf"|(?<![\p{{L}}\p{{N}}])(?:{protected})(?![\p{{L}}\p{{N}}])" if protected else "")
-    masked, spans = _mask(text, span)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        _finish(F.split(masked, r"[,;|\s]+", -1), spans)
-    )
+    none = F.array().cast("array<string>")
+
+    def split(m: Column) -> Column:
+        return _finish(F.split(m["masked"], r"[,;|\s]+", -1), m["spans"])
+
+    return _let(_open(field), lambda text: F.when(text == "", none).otherwise(_let(_mask(text, span), split)))
 
 
 def unpack_fields(df: DataFrame, key: str, fields: dict[str, Column], least: int = 1) -> DataFrame:
