@@ -5,7 +5,7 @@ unit vectors over sqrt(2). Equal vectors are one class and are worked once.
 
 Routing. A neighbour within the radius cannot differ much from a vector in any coordinate, so a vector is sent to
 the cells {t, u} of coordinate pairs that can be the two largest ones of a neighbour within the radius (an exact
-bound), and asks in the one cell of its own two largest. Large cells are worked in blocks of queries by members.
+bound, see ``open_pairs``), and asks in the one cell of its own two largest. Large cells are worked in blocks of queries by members.
 
 Within a block each of ``projections`` random lines gives one sorted array. A query's window around its own
 projection widens by virtual rehashing (each round doubles it, reading only what is new on both sides); a member
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from folioscope.session import checkpointed
 
-PROJECTIONS = 24
+PROJECTIONS = 20
 #: Half-width of the widest window in radii, and the share of arrays that must collide: a member exactly at the
-#: radius lies in one window with probability 0.89, so it misses the threshold with probability below 0.001.
+#: radius lies in one window with probability 0.89, so it misses the threshold with probability 0.0003.
 WIDTH, THRESHOLD = 1.6, 0.6
 ROUNDS = 3
 #: Members and queries of one block; queries of one counting step.
@@ -90,6 +90,57 @@ def collision_search(
                 break
 
 
+#: Largest coordinates that enter the bound of ``open_pairs``; fewer only make it looser.
+BOUND_COORDINATES = 10
+
+
+def open_pairs(v: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, t, u, asks), t < u: the coordinate pairs that can be the two largest of a vector within ``radius`` of the row;
+    ``asks`` marks the row's own two largest.
+
+    If t and u are the two largest of w, some level lies between them and all others of w. So |v - w|^2 is at least
+    the minimum over levels x of (x - v_t)+^2 + (x - v_u)+^2 + sum over the others of (v_j - x)+^2, a convex function
+    of x whose minimum is taken here over the largest coordinates of v (leaving terms out keeps it a lower bound).
+    """
+    n, dims = v.shape
+    width = min(BOUND_COORDINATES, dims)
+    top = np.argsort(-v, axis=1, kind="stable")
+    ranked = np.take_along_axis(v, top[:, :width], axis=1).astype(np.float64)
+    # a coordinate takes part at all if lifting it to the third largest alone is cheap enough
+    third = ranked[:, 2] if width > 2 else np.zeros(n)
+    able = (v >= (third - radius * np.sqrt(2))[:, None]).sum(axis=1)
+    rows, first, second = [], [], []
+    for count in np.unique(able):
+        own = np.flatnonzero(able == count)
+        a, b = np.triu_indices(int(max(count, 2)), 1)
+        rows.append(np.repeat(own, len(a)))
+        first.append(np.tile(a, len(own)))
+        second.append(np.tile(b, len(own)))
+    row, a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, first, second))
+    keep = np.empty(len(row), dtype=bool)
+    for at in range(0, len(row), 200_000):
+        r, i, j = row[at : at + 200_000], a[at : at + 200_000], b[at : at + 200_000]
+        values = ranked[r]
+        others = values.copy()
+        place = np.arange(len(r))
+        for k in (i, j):
+            inside = k < width
+            others[place[inside], k[inside]] = -np.inf
+        x_t, x_u = v[r, top[r, i]].astype(np.float64), v[r, top[r, j]].astype(np.float64)
+        low, high = np.minimum(x_t, x_u), np.maximum(np.minimum(x_t, x_u), values.max(axis=1))
+        for _ in range(24):  # the slope changes sign once
+            level = (low + high) / 2
+            slope = np.maximum(level - x_t, 0) + np.maximum(level - x_u, 0) - np.maximum(others - level[:, None], 0).sum(axis=1)
+            low, high = np.where(slope < 0, level, low), np.where(slope < 0, high, level)
+        level = (low + high) / 2
+        cost = np.maximum(level - x_t, 0) ** 2 + np.maximum(level - x_u, 0) ** 2 + (np.maximum(others - level[:, None], 0) ** 2).sum(axis=1)
+        keep[at : at + 200_000] = cost <= radius * radius + 1e-6
+    asks = (a == 0) & (b == 1)
+    keep |= asks
+    t, u = top[row, a], top[row, b]
+    return row[keep], np.minimum(t, u)[keep], np.maximum(t, u)[keep], asks[keep]
+
+
 def usable_distributions(df: DataFrame, key: str, ts: str, vector: str) -> DataFrame:
     """(key, v): the current vector of each key divided by its sum, as ARRAY<DOUBLE>. Keys whose current vector is
     null, empty, holds a null, negative or non-finite number, or sums to 0 are left out."""
@@ -120,40 +171,17 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
     dims = classes.agg(F.max(F.size("v"))).first()[0] or 1
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach = radius * np.sqrt(2)
         for frame in frames:
-            if not len(frame):
-                continue
-            v = np.zeros((len(frame), max(dims, 2)), dtype=np.float32)
-            for i, x in enumerate(frame["v"]):
-                v[i, : len(x)] = np.sqrt(x)
-            top = np.argsort(-v, axis=1, kind="stable")
-            first, second = np.sort(top[:, :2], axis=1).T
-            ranked = np.take_along_axis(v, top, axis=1)
-            third = ranked[:, 2] if v.shape[1] > 2 else np.zeros(len(v), np.float32)
-            owner, t, u = [np.arange(len(v))], [first], [second]
-            # moving a unit vector so that a is at least b costs (b - a) / sqrt(2): a pair is open to a vector where
-            # the smaller of its two is no further than that below the largest outside the pair
-            for i in range(len(v)):
-                low = max(third[i] - reach, 0.0)
-                able = top[i][ranked[i] >= low]
-                if not len(able):
-                    continue
-                a, b = np.triu_indices(len(able), 1)
-                x, y = able[a], able[b]
-                inside = np.where((a == 0) & (b == 1), third[i], np.where(a == 0, ranked[i, 1], ranked[i, 0]))
-                ok = v[i, y] >= inside - reach
-                x, y = x[ok], y[ok]
-                x, y = np.minimum(x, y), np.maximum(x, y)
-                other = (x != first[i]) | (y != second[i])
-                owner.append(np.full(other.sum(), i))
-                t.append(x[other])
-                u.append(y[other])
-            owner, t, u = np.concatenate(owner), np.concatenate(t), np.concatenate(u)
-            yield pd.DataFrame({
-                "cell": (t.astype(np.int64) << 32) | u, "class": frame["class"].to_numpy()[owner],
-                "asks": np.arange(len(owner)) < len(v), "bits": [v[i].tobytes() for i in owner],
-            })
+            for at in range(0, len(frame), 5_000):
+                part = frame.iloc[at : at + 5_000]
+                v = np.zeros((len(part), max(dims, 2)), dtype=np.float32)
+                for i, x in enumerate(part["v"]):
+                    v[i, : len(x)] = np.sqrt(x)
+                owner, t, u, asks = open_pairs(v, radius)
+                bits = [row.tobytes() for row in v]
+                yield pd.DataFrame({
+                    "cell": (t.astype(np.int64) << 32) | u, "class": part["class"].to_numpy()[owner], "asks": asks, "bits": [bits[i] for i in owner],
+                })
 
     routed = checkpointed(classes.select("class", "v").mapInPandas(route, "cell bigint, class bigint, asks boolean, bits binary"))
     sizes = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).where("q > 0")
