@@ -33,7 +33,7 @@ _QUOTED_LIST = (
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, "^[\\s\u00a0\u200b\ufeff]+|[\\s\u00a0\u200b\ufeff]+$", "")
+    return F.btrim(c, F.lit(" \t\n\u000b\f\r\u00a0\u200b\ufeff"))
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -127,6 +127,9 @@ def split_names(field: Column) -> Column:
     comma = r"\s*,\s*(?:(?:and|AND|&)\s+)?"
     ends = "|".join(SUFFIXES)
 
+    def soft(p: Column, pattern: str) -> Column:
+        return F.when(p.rlike(r"\s(?:and|AND|&)\s"), F.split(p, pattern, -1)).otherwise(F.array(p))
+
     def full(p: Column) -> Column:
         return (_words(p) >= 2) | p.contains(MARK)
 
@@ -148,12 +151,12 @@ def split_names(field: Column) -> Column:
 
     def by_pieces(masked: Column, spans: Column, pieces: Column) -> Column:
         quoted = F.flatten(F.transform(pieces, lambda p: F.split(p, rf"\s*,\s*(?={MARK})|(?<={CLOSE})\s*,\s*", -1)))
-        by_soft = F.flatten(F.transform(pieces, lambda p: F.split(p, soft_last, -1)))
+        by_soft = F.flatten(F.transform(pieces, lambda p: soft(p, soft_last)))
 
         def unquoted(listed: Column) -> Column:
-            by_comma = F.flatten(F.transform(F.split(masked, comma, -1), lambda p: F.split(p, soft_full, -1)))
+            by_comma = F.flatten(F.transform(F.split(masked, comma, -1), lambda p: soft(p, soft_full)))
             comma_list = (F.size(listed) > 1) & F.forall(listed, full)
-            return F.when(comma_list, by_comma).otherwise(_let(by_soft, lambda soft: paired(masked, soft)))
+            return F.when(comma_list, by_comma).otherwise(_let(by_soft, lambda names: paired(masked, names)))
 
         one = _let(F.filter(F.split(masked, comma, -1), lambda p: _trim(p) != ""), unquoted)
         parts = F.when(F.size(spans) > 0, quoted).when(F.size(pieces) > 1, by_soft).otherwise(one)
