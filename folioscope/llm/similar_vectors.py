@@ -75,8 +75,8 @@ def collision_search(
                     counts[flat] += 1  # a member stands once in each array, so indices do not repeat
                     touched.append(flat)
                 low[rows, j], high[rows, j] = new_low, new_high
-            flat = np.unique(np.concatenate(touched)) if touched else np.empty(0, np.int64)
-            flat = flat[counts[flat] >= need]
+            flat = np.concatenate(touched) if touched else np.empty(0, np.int64)
+            flat = np.unique(flat[counts[flat] >= need])
             counts[flat] = np.iinfo(np.int16).min  # verified once
             q, x = flat // n, flat % n
             distance = np.sqrt(((own[q] - members[x]) ** 2).sum(axis=1)) if len(q) else np.empty(0, np.float32)
@@ -90,6 +90,9 @@ def collision_search(
                 break
 
 
+#: Rows that a group of blocks holds on average.
+GROUP_ROWS = 10_000
+
 #: Largest coordinates that enter the bound of ``open_pairs``; fewer only make it looser.
 BOUND_COORDINATES = 10
 
@@ -196,19 +199,21 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
     work = asks.select(*cols).unionByName(held.withColumn("asks", F.lit(False)).select(*cols))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        vectors_ = np.stack([np.frombuffer(b, dtype=np.float32) for b in frame["bits"]])
-        asks_ = frame["asks"].to_numpy()
-        ids = frame["class"].to_numpy()
-        q_ids, m_ids = ids[asks_], ids[~asks_]
-        out = [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        if len(q_ids) and len(m_ids):
-            found = list(collision_search(vectors_[asks_], vectors_[~asks_], radius, k + 1, seed))
-            if found:
-                q, x, d = (np.concatenate(c) for c in zip(*found))
-                out = [q_ids[q], m_ids[x], d / np.sqrt(2)]
-        return pd.DataFrame({"class": out[0], "near": out[1], "distance": np.asarray(out[2], dtype=np.float64)})
-
-    links = work.groupBy("cell", "qb", "mb").applyInPandas(search, "class bigint, near bigint, distance double")
+        vectors_ = np.frombuffer(b"".join(frame["bits"]), dtype=np.float32).reshape(len(frame), -1)
+        asks_, ids = frame["asks"].to_numpy(), frame["class"].to_numpy()
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for rows_ in frame.groupby(["cell", "qb", "mb"], sort=False).indices.values():
+            q, m = rows_[asks_[rows_]], rows_[~asks_[rows_]]
+            if len(q) and len(m):
+                for i, j, d in collision_search(vectors_[q], vectors_[m], radius, k + 1, seed):
+                    out.append((ids[q[i]], ids[m[j]], d / np.sqrt(2)))
+        found = [np.concatenate(c) for c in zip(*out)]
+        return pd.DataFrame({"class": found[0], "near": found[1], "distance": found[2].astype(np.float64)})
+
+    # blocks are small or large: many small ones make one group of work
+    groups = max(1, -(-routed.count() // GROUP_ROWS))
+    work = work.withColumn("group", F.pmod(F.xxhash64("cell", "qb", "mb"), F.lit(groups)))
+    links = work.groupBy("group").applyInPandas(search, "class bigint, near bigint, distance double")
     links = links.where(F.col("class") != F.col("near"))
     # both ways: what a finds b must also know; each class is its own neighbour at distance 0
     both = links.unionByName(links.select(F.col("near").alias("class"), F.col("class").alias("near"), "distance"))
