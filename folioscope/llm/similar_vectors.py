@@ -214,7 +214,7 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
     groups = max(1, -(-routed.count() // GROUP_ROWS))
     work = work.withColumn("group", F.pmod(F.xxhash64("cell", "qb", "mb"), F.lit(groups)))
     links = work.groupBy("group").applyInPandas(search, "class bigint, near bigint, distance double")
-    links = links.where(F.col("class") != F.col("near"))
+    links = checkpointed(links.where(F.col("class") != F.col("near")))  # read in both directions below
     # both ways: what a finds b must also know; each class is its own neighbour at distance 0
     both = links.unionByName(links.select(F.col("near").alias("class"), F.col("class").alias("near"), "distance"))
     both = both.groupBy("class", "near").agg(F.min("distance").alias("distance"))
