@@ -90,6 +90,9 @@ def collision_search(
                 break
 
 
+#: The table of cells has at most dims * (dims - 1) / 2 rows; up to these dimensions it is broadcast (500,000 rows).
+MAX_BROADCAST_DIMS = 1_000
+
 #: Rows that a group of blocks holds on average.
 GROUP_ROWS = 10_000
 
@@ -147,9 +150,9 @@ def open_pairs(v: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np
 def usable_distributions(df: DataFrame, key: str, ts: str, vector: str) -> DataFrame:
     """(key, v): the current vector of each key divided by its sum, as ARRAY<DOUBLE>. Keys whose current vector is
     null, empty, holds a null, negative or non-finite number, or sums to 0 are left out."""
-    v = F.col(vector).cast("array<double>")
-    row = F.struct(F.col(ts).alias("ts"), v.alias("v"))
-    current = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(row).alias("r")).select("key", F.col("r.v").alias("v"))
+    row = F.struct(F.col(ts).alias("ts"), F.col(vector).alias("v"))
+    current = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(row).alias("r"))
+    current = current.select("key", F.col("r.v").cast("array<double>").alias("v"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     current = current.where((F.size("v") > 0) & good).withColumn("s", total).where("s > 0")
@@ -191,7 +194,8 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
     blocks = sizes.select(
         "cell", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")
     )
-    placed = routed.join(blocks, "cell")
+    # at most dims * (dims - 1) / 2 short rows
+    placed = routed.join(F.broadcast(blocks) if dims <= MAX_BROADCAST_DIMS else blocks, "cell")
     h = F.xxhash64("class")
     asks = placed.where("asks").withColumn("qb", F.pmod(h, F.col("qb")).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
     held = placed.withColumn("mb", F.pmod(h, F.col("mb")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
