@@ -782,3 +782,77 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.to_date("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- reading topics ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {REL}, f AS (SELECT phi.topic, phi.term, CAST(weight AS DOUBLE) AS w FROM phi JOIN top ON top.topic = phi.topic AND top.term = phi.term)
+SELECT topic, term, round(w / sum(w) OVER (PARTITION BY topic), 4) AS p FROM f""")
+def filtered_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most relevant terms of each category, as distributions."""
+    w = checkpointed(category_terms(spark, d))
+    best = vo.top_terms(vo.relevance(w).withColumn("r6", F.round("relevance", 6)), 10, "r6").select("topic", "term")
+    kept = w.join(best, ["topic", "term"], "left_semi")
+    total = kept.groupBy("topic").agg(F.sum("weight").alias("t"))
+    return kept.join(total, "topic").select("topic", "term", F.round(F.col("weight") / F.col("t"), 4).alias("p"))
+
+
+@query(f"WITH {TOK} SELECT t AS term, count(*) AS n FROM tok GROUP BY t ORDER BY n DESC, term LIMIT 200")
+def frequent_words(spark: SparkSession, d: str) -> DataFrame:
+    from folioscope.operators.interpretation import word_counts
+
+    return word_counts(tokens(spark, d), "tokens", 200)
+
+
+@query(f"""WITH {PHI}, q AS (SELECT topic, term, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY topic) AS p FROM phi),
+m AS (SELECT ascii(topic) % 4 AS cluster, term, round(avg(p), 9) AS p FROM q GROUP BY 1, 2)
+SELECT cluster, term, round(p, 6) AS p, row_number() OVER (PARTITION BY cluster ORDER BY p DESC, term) AS rank FROM m QUALIFY rank <= 40""")
+def cluster_words(spark: SparkSession, d: str) -> DataFrame:
+    """Mean term probabilities over groups of categories (by their first letter)."""
+    w = category_terms(spark, d)
+    total = w.groupBy("topic").agg(F.sum("weight").alias("t"))
+    phi = checkpointed(w.join(total, "topic").select("topic", "term", (F.col("weight") / F.col("t")).alias("p")))
+    groups = phi.select("topic").distinct().withColumn("cluster", F.ascii("topic") % 4)
+    mean = phi.join(groups, "topic").groupBy("cluster", "term").agg(F.round(F.avg("p"), 9).alias("p"))
+    return vo.top_terms(mean, 40, "p", "cluster").select("cluster", "term", F.round("p", 6).alias("p"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"""WITH {DIST}, {PHI}, k AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS n FROM (SELECT DISTINCT topic FROM phi)),
+q AS (SELECT n, term, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY n) AS p FROM phi JOIN k USING (topic) WHERE term IN (SELECT term FROM phi GROUP BY term HAVING sum(weight) >= 200)),
+s AS (SELECT author_id, term, sum(dist.p * q.p) AS s FROM dist JOIN q ON q.n = dist.topic GROUP BY 1, 2) SELECT author_id, term, round(s / sum(s) OVER (PARTITION BY author_id), 5) AS p FROM s""")
+def author_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Authors over frequent terms, through their topics; topic n is the n-th category."""
+    from folioscope.operators.interpretation import author_term_distribution
+
+    w = checkpointed(category_terms(spark, d))
+    number = w.select("topic").distinct().orderBy("topic").limit(1000).collect()
+    names = spark.createDataFrame([(r[0], n) for n, r in enumerate(number)], "topic string, n int")
+    often = w.groupBy("term").agg(F.sum("weight").alias("s")).where("s >= 200").select("term")
+    kept = w.join(often, "term", "left_semi").join(names, "topic").select(F.col("n").alias("topic"), "term", "weight")
+    total = kept.groupBy("topic").agg(F.sum("weight").alias("t"))
+    phi = kept.join(total, "topic").select("topic", "term", (F.col("weight") / F.col("t")).alias("p"))
+    return author_term_distribution(distributions(spark, d), phi).withColumn("p", F.round("p", 5))
+
+
+@query()
+def topic_trajectory(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest path over neighbouring categories from the first to the last."""
+    from folioscope.operators.interpretation import trajectory
+
+    knn = checkpointed(mf.nearest_topics(_topic_pairs(spark, d), 5))
+    ends = knn.agg(F.min("i"), F.max("i")).first()
+    _, path = trajectory(knn, ends[0], ends[1])
+    return spark.createDataFrame([(n, t) for n, t in enumerate(path)], "step int, topic string")
+
+
+@query()
+def path_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances along the longest shortest paths from ten authors."""
+    from folioscope.operators.interpretation import spaced_pairs
+
+    e = checkpointed(edges(spark, d, least=2))
+    rows = distributions(spark, d).groupBy(F.col("author_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m"))
+    vectors = rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("v"))
+    sources = gr.degrees(e).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(10).select(F.col("id").alias("source"))
+    return spaced_pairs(checkpointed(gr.hop_distances(e, sources, 8)), e, vectors, vec.hellinger)
