@@ -94,7 +94,7 @@ INLINE = {
     ),
     "$": _rules(("dollars", r"\$\$(.+?)\$\$"), ("dollar", r"\$((?=\S)[^$\n]{1,200}?(?<=\S))\$(?!\d)")),
     "`": _rules(("fence", r"(?<![^\n])(`{3,})[^\n]*\n.*?(?:^\1\s*$|\Z)"), ("ticks", r"`{2}(?!`)([^`\n](?:[^\n]*?[^`\n])?)`{2}(?!`)"), ("tex_quote", r"``([^`\n]+?)''"), ("ticks", r"`([^`\n]+)`")),
-    "~": _rules(("fence", r"(?<![^\n])(~{3,})[^\n]*\n.*?(?:^\1\s*$|\Z)"), ("strike", r"~~(?=\S)(.+?)(?<=\S)~~")),
+    "~": _rules(("fence", r"(?<![^\n])(~{3,})[^\n]*\n.*?(?:^\1\s*$|\Z)"), ("strike", r"~~(?=\S)([^\n]+?)(?<=\S)~~")),
     "*": _rules(("strong", r"\*{2,3}(?=[^\s*])([^*\n]+?)(?<=\S)\*{2,3}"), ("em", r"\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?!\*)")),
     "_": _rules(("strong", r"(?<![\w_])__(?=[^\s_])([^\n]+?)(?<=[^\s_])__(?![\w_])"), ("under", r"(?<![\w_])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?![\w_])")),
     "'": _rules(("wiki_em", r"'{2,5}(?=[^\s'])([^\n]+?)'{2,5}")),
@@ -119,6 +119,9 @@ LINE = _rules(
 _TRIGGER = re.compile(r"[<\\$`~*_\[!{&]|''|^[ \t]*(?:[-+=>|#]|\d{1,3}[.)][ \t])", re.M)
 #: What a text must hold to have any leaf but prose; also a condition for the scan in Spark.
 ANY_MARK = r"[<\\$`~*_\[{&]|''|!\[|(?m)^[ \t]*(?:[-+=>|#]|\d{1,3}[.)][ \t])"
+#: Kinds that may run over lines to an end of their own; what opens them.
+PAIRED = {"html_code", "html_math", "tex_code", "tex_env_math", "tex_display", "tex_inline", "dollars"}
+_OPENER = re.compile(r"</?\w*|\\begin\{\w*|\\.|\$\$|.", re.S)
 _BRACE = re.compile(r"(?<!\\)[{}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SHAPES = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\s+"))
@@ -139,6 +142,7 @@ def leaves(text: str) -> list[Leaf]:
     at = look = 0
     inside = "-"
     n = len(text)
+    unclosed: set[tuple[str, str]] = set()
     braces: list[int] = []  # places of the braces that close what a command opened, the next one last
 
     def prose(start: int, end: int) -> None:
@@ -172,7 +176,15 @@ def leaves(text: str) -> list[Leaf]:
                 start = m.end() - 1
                 first = text[start]
             for k, p in INLINE.get(first, ()):
-                hit = p.match(text, start)
+                if k in PAIRED:
+                    opener = (k, _OPENER.match(text, start).group())
+                    if opener in unclosed:
+                        continue
+                    hit = p.match(text, start)
+                    if hit is None:  # no such end follows, so none will for a later one either
+                        unclosed.add(opener)
+                else:
+                    hit = p.match(text, start)
                 if hit:
                     kind = k
                     break

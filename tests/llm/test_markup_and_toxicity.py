@@ -1,5 +1,7 @@
 """Markup labels and clean text; toxicity scores; disguises and harmless look-alikes."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -77,6 +79,14 @@ def test_very_long_text():
     assert mk.structures(doc, mk.label_documents(mk.train(), [doc])[0]) == (1 << mk.LIST) | (1 << mk.CODE) | (1 << mk.FORMULA)
 
 
+def test_many_openers_without_an_end():
+    began = time.time()
+    for opener in ("<pre> x ", "\\begin{verbatim} x ", "$$ x\n\n", "<math> y ", "\\[ z ", "~~ z ", "[[ z "):
+        doc = mk.leaves(opener * 20_001)
+        assert doc
+    assert time.time() - began < 20
+
+
 BAD = [
     "You are such a worthless moron and everybody knows it.", "YOU ARE A STUPID IDIOT.", "What a p*thetic l0$3r you are, c r a w l back under your rock.", "Yоu are a disgusting соward.", "You aaaare a rotten b@st@rd.",
     "Watch your back, we know where you live.", "Nobody would miss you if you died tonight.", "Those people are vermin and should be kicked out of every school.", "Free live sex cams, no login.",
