@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import name_ngrams, standard_name
+from folioscope.operators.numbering import numbered
 from folioscope.session import checkpointed
 
 
@@ -75,18 +76,10 @@ def name_leaders(names: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def author_map(names: DataFrame, threshold: float = 0.9, digits: int = 7) -> DataFrame:
     """(name, leader, author_id): ids of at least ``digits`` digits, the same for the same set of names. They follow the
-    leaders' order, numbered within range partitions plus the counts of those before (one count per partition)."""
+    leaders' order."""
     leaders = name_leaders(names, threshold)
-    ordered = checkpointed(leaders.select("leader").distinct().sort("leader").select("leader", F.monotonically_increasing_id().alias("m")))
-    part = F.shiftright("m", 33)
-    sizes = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).count().collect()}
-    offsets, at = [], 10 ** (digits - 1)
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(F.lit(at).cast("bigint"))
-        at += sizes.get(p, 0)
-    first = F.get(F.array(*offsets), part.cast("int")) if offsets else F.lit(0).cast("bigint")
-    numbered = ordered.select("leader", (first + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("author_id"))
-    return leaders.join(numbered, "leader").select("name", "leader", "author_id")
+    ids = numbered(leaders.select("leader").distinct(), ["leader"], "author_id", 10 ** (digits - 1))
+    return leaders.join(ids, "leader").select("name", "leader", "author_id")
 
 
 def assign_author_ids(papers: DataFrame, mapping: DataFrame, doc: str = "paper_id", names: str = "author_names", most: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.numbering import numbered
 from folioscope.session import checkpointed
 
 MAX_ROUNDS = 60
@@ -139,9 +140,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
-    """(component, size, rank): rank 0 is the largest; ties by the smaller label. One row per component is ranked."""
+    """(component, size, rank): rank 0 is the largest; ties by the smaller label."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1)
+    return numbered(sizes, [F.desc("size"), "component"], "rank")
 
 
 def kth_component(labels: DataFrame, k: int = 0) -> DataFrame:

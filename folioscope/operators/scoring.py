@@ -88,12 +88,8 @@ def kendall_tau(a: DataFrame, b: DataFrame, key: str, max_keys: int = 20_000) ->
     return sums.select(F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 
-def candidate_links(edges: DataFrame, least: int = 1) -> DataFrame:
-    """(src, dst, common): pairs that are not linked, by their number of common neighbours, at least ``least``. A middle
-    vertex of degree d gives d (d - 1) / 2 rows before they are combined."""
-    from folioscope.operators.graph import both_ways
-
-    b = both_ways(edges)
-    two = b.alias("x").join(b.alias("y"), F.col("x.b") == F.col("y.b")).where("x.a < y.a").select(F.col("x.a").alias("src"), F.col("y.a").alias("dst"))
-    counted = two.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= least)
-    return counted.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+def unseen_links(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst): a stated set of candidate pairs without those that are linked already, each once. Scored with
+    ``dendrogram.link_likelihood`` this is link prediction; all non-edges of a graph are never formed."""
+    pairs = candidates.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return pairs.where("src < dst").join(known.select("src", "dst").distinct(), ["src", "dst"], "left_anti")

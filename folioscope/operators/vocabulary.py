@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.numbering import numbered
+
 
 def term_frequencies(df: DataFrame, doc: str, tokens: Column | str) -> DataFrame:
     """(term, df, cf): documents with the term and its occurrences; pre-aggregated per document and partition."""
@@ -32,9 +34,8 @@ def keep_terms(df: DataFrame, doc: str, tokens: str, terms: DataFrame) -> DataFr
 
 
 def numbered_terms(frequencies: DataFrame) -> DataFrame:
-    """(term, df, cf, term_id): ids by falling df, then term. The numbering is a rank over one sorted vocabulary, so
-    it is meant for filtered vocabularies."""
-    return frequencies.withColumn("term_id", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1)
+    """(term, df, cf, term_id): ids by falling df, then term."""
+    return numbered(frequencies, [F.desc("df"), "term"], "term_id")
 
 
 def relevance(weights: DataFrame, lam: float = 0.6, floor: float = 1e-12) -> DataFrame:

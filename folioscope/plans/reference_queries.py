@@ -714,9 +714,18 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     return sc.kendall_tau(a, b, "id").select(F.round("tau", 4).alias("tau"))
 
 
-@query(f"""WITH {EDGES.replace('GROUP BY 1, 2),', 'GROUP BY 1, 2 HAVING count(*) >= 2),', 1)} SELECT x.a AS src, y.a AS dst, count(*) AS common FROM bidi x JOIN bidi y ON x.b = y.b AND x.a < y.a ANTI JOIN edges e ON e.src = x.a AND e.dst = y.a GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query(f"""WITH {DA}, {DIST}, e AS (SELECT DISTINCT x.author_id AS src, y.author_id AS dst, year(x.date) >= 2010 AS late FROM da x JOIN da y ON x.paper_id = y.paper_id AND x.author_id < y.author_id WHERE x.date IS NOT NULL),
+c AS (SELECT src, dst FROM e WHERE late EXCEPT SELECT src, dst FROM e WHERE NOT late), g AS (SELECT author_id, topic // 8 AS g, sum(p) AS p FROM dist GROUP BY 1, 2),
+ln AS (SELECT i, j, CAST(1.0 AS DOUBLE) / (1 + abs(i - j)) AS l FROM range(8) a(i), range(8) b(j))
+SELECT src, dst, round(sum(u.p * v.p * l), 5) AS score FROM c JOIN g u ON u.author_id = src JOIN g v ON v.author_id = dst JOIN ln ON ln.i = u.g AND ln.j = v.g GROUP BY 1, 2""")
 def predicted_links(spark: SparkSession, d: str) -> DataFrame:
-    return sc.candidate_links(checkpointed(edges(spark, d, least=2)), 2)
+    """Pairs that first publish together from 2010 on, scored by the link model."""
+    p = papers(spark, d, "author_ids", "date").where("date IS NOT NULL").withColumn("late", F.year("date") >= 2010)
+    e = checkpointed(gr.coauthor_edges(p, by=["late"]))
+    groups = distributions(spark, d).groupBy("author_id", F.floor(F.col("topic") / 8).cast("int").alias("topic")).agg(F.sum("p").alias("p"))
+    links = spark.createDataFrame([(i, j, 1.0 / (1 + abs(i - j))) for i in range(8) for j in range(8)], "i int, j int, p double")
+    out = tree.link_likelihood(sc.unseen_links(e.where("late"), e.where("NOT late")), groups, links)
+    return out.withColumn("score", F.round("score", 5))
 
 
 @query()
