@@ -72,19 +72,21 @@ def top_percent(scores: DataFrame, key: str, percent: float = 5.0) -> DataFrame:
     return ranked(scores, key, max(1, int(n * percent / 100))) if n else scores
 
 
-def kendall_tau(a: DataFrame, b: DataFrame, key: str, max_keys: int = 20_000) -> DataFrame:
-    """One row ``tau``: tau-b of the scores of common keys, null where one of them has no order. Exact over pairs, so limited to ``max_keys`` common keys;
-    rankings above that raise an error."""
+def kendall_tau(a: DataFrame, b: DataFrame, key: str, max_cells: int = 20_000) -> DataFrame:
+    """One row ``tau``: tau-b of the scores of common keys, null where one of them has no order. Keys with the same two
+    scores are one cell with its count, so rankings by counts cost little however many keys they have. Exact over pairs of
+    cells, worked in blocks; more than ``max_cells`` distinct score pairs raise an error."""
     common = a.select(key, F.col("score").alias("x")).join(b.select(key, F.col("score").alias("y")), key)
-    if common.limit(max_keys + 1).count() > max_keys:
-        raise ValueError(f"more than {max_keys} common keys")
-    # each key meets those after it, in 16 blocks by 16, so that no task holds all pairs
-    block = F.pmod(F.xxhash64(key), F.lit(16))
-    l = common.select(F.col(key).alias("k1"), F.col("x").alias("x1"), F.col("y").alias("y1"), block.alias("b1")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(15))))  # noqa: E741
-    r = common.select(F.col(key).alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), block.alias("b2")).withColumn("b1", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    pairs = l.join(r, ["b1", "b2"]).where("k1 < k2")
+    cells = common.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    if cells.limit(max_cells + 1).count() > max_cells:
+        raise ValueError(f"more than {max_cells} distinct pairs of scores")
+    block, every = F.pmod(F.xxhash64("x", "y"), F.lit(16)), F.sequence(F.lit(0), F.lit(15))
+    one = cells.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n").alias("n1"), block.alias("b1"), F.explode(every).alias("b2"))
+    two = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), F.explode(every).alias("b1"), block.alias("b2"))
     dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    sums = pairs.agg(F.sum(dx * dy).alias("s"), F.sum(dx * dx).alias("nx"), F.sum(dy * dy).alias("ny"))
+    w = F.col("n1") * F.col("n2")
+    # every pair of cells comes twice, which the ratio does not see
+    sums = one.join(two, ["b1", "b2"]).agg(F.sum(w * dx * dy).alias("s"), F.sum(w * dx * dx).alias("nx"), F.sum(w * dy * dy).alias("ny"))
     return sums.select(F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 

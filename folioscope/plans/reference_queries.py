@@ -827,21 +827,23 @@ def cluster_words(spark: SparkSession, d: str) -> DataFrame:
     return vo.top_terms(mean, 40, "p", "cluster").select("cluster", "term", F.round("p", 6).alias("p"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""WITH {DIST}, {PHI}, k AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS n FROM (SELECT DISTINCT topic FROM phi)),
-q AS (SELECT n, term, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY n) AS p FROM phi JOIN k USING (topic) WHERE term IN (SELECT term FROM phi GROUP BY term HAVING sum(weight) >= 200)),
-s AS (SELECT author_id, term, sum(dist.p * q.p) AS s FROM dist JOIN q ON q.n = dist.topic GROUP BY 1, 2) SELECT author_id, term, round(s / sum(s) OVER (PARTITION BY author_id), 5) AS p FROM s""")
+@query(f"""WITH {DIST}, {REL}, k AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS n FROM (SELECT DISTINCT topic FROM phi)),
+q AS (SELECT n, phi.term, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY n) AS p FROM phi JOIN top ON top.topic = phi.topic AND top.term = phi.term JOIN k ON k.topic = phi.topic),
+s AS (SELECT author_id, term, sum(dist.p * q.p) AS s FROM dist JOIN q ON q.n = dist.topic WHERE dist.p >= 0.02 GROUP BY 1, 2)
+SELECT author_id, term, round(s / sum(s) OVER (PARTITION BY author_id), 5) AS p FROM s""")
 def author_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Authors over frequent terms, through their topics; topic n is the n-th category."""
+    """Authors over the relevant terms of their main topics (2 percent or more); topic n is the n-th category."""
     from folioscope.operators.interpretation import author_term_distribution
+    from folioscope.operators.numbering import numbered
 
     w = checkpointed(category_terms(spark, d))
-    number = w.select("topic").distinct().orderBy("topic").limit(1000).collect()
-    names = spark.createDataFrame([(r[0], n) for n, r in enumerate(number)], "topic string, n int")
-    often = w.groupBy("term").agg(F.sum("weight").alias("s")).where("s >= 200").select("term")
-    kept = w.join(often, "term", "left_semi").join(names, "topic").select(F.col("n").alias("topic"), "term", "weight")
+    best = vo.top_terms(vo.relevance(w).withColumn("r6", F.round("relevance", 6)), 10, "r6").select("topic", "term")
+    names = numbered(w.select("topic").distinct(), ["topic"], "n")
+    kept = w.join(best, ["topic", "term"], "left_semi").join(names, "topic").select(F.col("n").cast("int").alias("topic"), "term", "weight")
     total = kept.groupBy("topic").agg(F.sum("weight").alias("t"))
     phi = kept.join(total, "topic").select("topic", "term", (F.col("weight") / F.col("t")).alias("p"))
-    return author_term_distribution(distributions(spark, d), phi).withColumn("p", F.round("p", 5))
+    main = distributions(spark, d).where("p >= 0.02")
+    return author_term_distribution(main, phi).withColumn("p", F.round("p", 5))
 
 
 @query()

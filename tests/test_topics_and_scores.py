@@ -83,6 +83,18 @@ def test_document_scores(spark):
         assert abs(got[d] + (q * np.log2(q)).sum()) < 1e-9
 
 
+def test_kendall_tau(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 6, 60), rng.integers(0, 9, 60)
+    frame = lambda v: spark.createDataFrame([(i, int(s)) for i, s in enumerate(v)], "id int, score int")
+    dx, dy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    want = (dx * dy).sum() / np.sqrt((dx**2).sum() * (dy**2).sum())
+    assert abs(sc.kendall_tau(frame(x), frame(y), "id").first()[0] - want) < 1e-12
+    assert sc.kendall_tau(frame(x * 0), frame(y), "id").first()[0] is None
+    with pytest.raises(ValueError):
+        sc.kendall_tau(frame(x), frame(y), "id", 5)
+
+
 def test_silhouette(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(0, 1, (20, 3)), rng.normal(4, 1, (25, 3))])
