@@ -409,6 +409,7 @@ comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
 
 @query(f"WITH {_COMP} SELECT id, component FROM comp")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    """Over links seen in at least two papers, as the SQL states; ``all_connected_components`` takes every link."""
     return gr.components(edges(spark, d, least=2))
 
 
@@ -417,16 +418,34 @@ SQL["connected_components"] = SQL["connected_components"].replace("GROUP BY 1, 2
 
 @query(SQL["connected_components"].replace("SELECT id, component FROM comp", "SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS rank FROM comp GROUP BY component"))
 def component_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Over links seen in at least two papers, as the SQL states; ``all_component_ranking`` takes every link."""
     return gr.component_sizes(gr.components(edges(spark, d, least=2))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(SQL["connected_components"].replace("SELECT id, component FROM comp", """, v AS (SELECT component, count(*) AS vertices FROM comp GROUP BY component), e AS (SELECT component, count(*) AS edges FROM edges JOIN comp ON comp.id = src GROUP BY component)
 SELECT v.component, vertices, edges, round(2.0 * edges / (vertices * (vertices - 1)), 4) AS density FROM v JOIN e ON e.component = v.component"""))
 def component_densities(spark: SparkSession, d: str) -> DataFrame:
+    """Over links seen in at least two papers, as the SQL states; ``all_component_densities`` takes every link."""
     e = checkpointed(edges(spark, d, least=2))
     return gr.component_density(e, gr.components(e)).withColumn("density", F.round("density", 4))
 
 
+@query()
+def all_connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return gr.components(edges(spark, d))
+
+
+@query()
+def all_component_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return gr.component_sizes(gr.components(edges(spark, d))).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query()
+def all_component_densities(spark: SparkSession, d: str) -> DataFrame:
+    e = checkpointed(edges(spark, d))
+    return gr.component_density(e, gr.components(e)).withColumn("density", F.round("density", 4))
+
+
 @query(f"""WITH {DA}, n AS (SELECT author_id FROM da GROUP BY author_id HAVING count(*) BETWEEN 3 AND 5) SELECT DISTINCT paper_id FROM da WHERE author_id IN (SELECT author_id FROM n)""")
 def papers_by_productivity(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d, "author_ids")
@@ -461,18 +480,18 @@ def labeling_agreement(spark: SparkSession, d: str) -> DataFrame:
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     """Seeds: each author whose id is divisible by 10 and who has a distribution, labelled by its main topic."""
     main = distributions(spark, d).where("author_id % 10 = 0").groupBy(F.col("author_id").alias("id")).agg(F.max_by("topic", F.struct("p", "topic")).cast("bigint").alias("label"))
-    e = edges(spark, d, least=2)
+    e = edges(spark, d)
     return gr.propagate_labels(e, main.join(gr.degrees(e).select("id"), "id", "left_semi"))
 
 
 @query()
 def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
-    return gr.louvain(edges(spark, d, least=2))
+    return gr.louvain(edges(spark, d))
 
 
 @query()
 def distance_by_path_length(spark: SparkSession, d: str) -> DataFrame:
-    e = checkpointed(edges(spark, d, least=2))
+    e = checkpointed(edges(spark, d))
     rows = distributions(spark, d).groupBy(F.col("author_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m"))
     vectors = rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("v"))
     sources = gr.degrees(e).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(20).select(F.col("id").alias("source"))
@@ -862,7 +881,7 @@ def path_distances(spark: SparkSession, d: str) -> DataFrame:
     """Distances along the longest shortest paths from ten authors."""
     from folioscope.operators.interpretation import spaced_pairs
 
-    e = checkpointed(edges(spark, d, least=2))
+    e = checkpointed(edges(spark, d))
     rows = distributions(spark, d).groupBy(F.col("author_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m"))
     vectors = rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("v"))
     sources = gr.degrees(e).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(10).select(F.col("id").alias("source"))
