@@ -727,12 +727,22 @@ def top_percent(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EDGES}, n AS (SELECT author_id AS id, count(*) AS n FROM da GROUP BY author_id), c AS (SELECT id, degree AS x, n AS y FROM deg JOIN n USING (id) WHERE degree >= 20)
 SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(CAST(sum(abs(sign(a.x - b.x))) AS DOUBLE) * sum(abs(sign(a.y - b.y)))), 4) AS tau FROM c a JOIN c b ON a.id < b.id""")
 def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Over authors of degree 20 or more, as the SQL states; ``all_rank_correlation`` ranks all."""
     p = papers(spark, d, "author_ids")
     a = gr.degrees(gr.coauthor_edges(p)).where("degree >= 20").select("id", F.col("degree").alias("score"))
     b = gr.doc_authors(p).groupBy(F.col("author_id").alias("id")).agg(F.count(F.lit(1)).alias("score"))
     return sc.kendall_tau(a, b, "id").select(F.round("tau", 4).alias("tau"))
 
 
+@query()
+def all_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Of degree and number of papers, over all linked authors."""
+    p = papers(spark, d, "author_ids")
+    a = gr.degrees(gr.coauthor_edges(p)).select("id", F.col("degree").alias("score"))
+    b = gr.doc_authors(p).groupBy(F.col("author_id").alias("id")).agg(F.count(F.lit(1)).alias("score"))
+    return sc.kendall_tau(a, b, "id").select(F.round("tau", 4).alias("tau"))
+
+
 @query(f"""WITH {DA}, {DIST}, e AS (SELECT DISTINCT x.author_id AS src, y.author_id AS dst, year(x.date) >= 2010 AS late FROM da x JOIN da y ON x.paper_id = y.paper_id AND x.author_id < y.author_id WHERE x.date IS NOT NULL),
 c AS (SELECT src, dst FROM e WHERE late EXCEPT SELECT src, dst FROM e WHERE NOT late), g AS (SELECT author_id, topic // 8 AS g, sum(p) AS p FROM dist GROUP BY 1, 2),
 ln AS (SELECT i, j, CAST(1.0 AS DOUBLE) / (1 + abs(i - j)) AS l FROM range(8) a(i), range(8) b(j))

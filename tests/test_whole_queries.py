@@ -50,3 +50,16 @@ def test_louvain_places_every_linked_author(spark, tables):
 def test_distances_follow_links_seen_once(spark, tables):
     got = QUERIES["distance_by_path_length"](spark, tables).collect()
     assert {3, 7} <= {r.source for r in got} and {r.hops for r in got if r.source == 3} == {4}
+
+
+def test_rank_correlation_of_all_authors(spark, tables):
+    near, docs = {}, {}
+    for g in GROUPS:
+        for v in set(g):
+            docs[v] = docs.get(v, 0) + 1
+            near.setdefault(v, set()).update(set(g) - {v})
+    pairs = [(len(near[v]), docs[v]) for v in near if near[v]]
+    sign = lambda x: (x > 0) - (x < 0)
+    s = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for a in pairs for b in pairs]
+    tau = sum(x * y for x, y in s) / (sum(x * x for x, _ in s) * sum(y * y for _, y in s)) ** 0.5
+    assert abs(QUERIES["all_rank_correlation"](spark, tables).first().tau - tau) < 1e-4
