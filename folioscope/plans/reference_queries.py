@@ -478,8 +478,8 @@ def labeling_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds: each author whose id is divisible by 10 and who has a distribution, labelled by its main topic."""
-    main = distributions(spark, d).where("author_id % 10 = 0").groupBy(F.col("author_id").alias("id")).agg(F.max_by("topic", F.struct("p", "topic")).cast("bigint").alias("label"))
+    """Seeds: each author who has a usable distribution, labelled by its main topic; the others take labels from them."""
+    main = distributions(spark, d).groupBy(F.col("author_id").alias("id")).agg(F.max_by("topic", F.struct("p", "topic")).cast("bigint").alias("label"))
     e = edges(spark, d)
     return gr.propagate_labels(e, main.join(gr.degrees(e).select("id"), "id", "left_semi"))
 

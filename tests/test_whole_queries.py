@@ -52,6 +52,13 @@ def test_distances_follow_links_seen_once(spark, tables):
     assert {3, 7} <= {r.source for r in got} and {r.hops for r in got if r.source == 3} == {4}
 
 
+def test_labels_start_from_every_distribution(spark, tables):
+    got = {r.id: r.label for r in QUERIES["label_propagation"](spark, tables).collect()}
+    # ties go to the smaller label: 5 between 4 and 6, then 6 between 5 and the fixed 7
+    want = {**{v: 5 for v in range(1, 7)}, **{v: 6 for v in range(7, 13)}, 20: 1, 21: 1, 22: 1, 30: 2, 31: 2}
+    assert got == want
+
+
 def test_rank_correlation_of_all_authors(spark, tables):
     near, docs = {}, {}
     for g in GROUPS:
