@@ -188,12 +188,14 @@ def propagate_labels(edges: DataFrame, fixed: DataFrame) -> DataFrame:
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """(source, id, hops) of everything within ``most`` hops of each source (column source); the sources are a
-    chosen set. Level by level, each vertex once per source."""
+def hop_distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, id, hops) of everything that each source (column source) reaches, within ``most`` hops if given; the
+    sources are a chosen set. Level by level until nothing new is met, each vertex once per source."""
     pairs = checkpointed(both_ways(edges))
     seen = front = checkpointed(sources.select("source", F.col("source").alias("id"), F.lit(0).alias("hops")))
-    for hop in range(1, most + 1):
+    hop = 0
+    while most is None or hop < most:
+        hop += 1
         reached = front.join(pairs, front["id"] == pairs["a"]).select("source", F.col("b").alias("id")).distinct()
         front = checkpointed(reached.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.limit(1).count() == 0:

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from folioscope.operators import graph as gr
 from folioscope.plans.reference_queries import QUERIES
 
 # most links occur in one paper only; 1 to 12 is a chain with a shortcut-free tail, 20 to 22 a triangle, 30 and 31 a pair seen twice
@@ -70,3 +71,9 @@ def test_rank_correlation_of_all_authors(spark, tables):
     s = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for a in pairs for b in pairs]
     tau = sum(x * y for x, y in s) / (sum(x * x for x, _ in s) * sum(y * y for _, y in s)) ** 0.5
     assert abs(QUERIES["all_rank_correlation"](spark, tables).first().tau - tau) < 1e-4
+
+
+def test_hops_end_with_the_graph(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(23)], "src bigint, dst bigint")
+    hops = gr.hop_distances(e, spark.createDataFrame([(0,)], "source bigint"))
+    assert {r.id: r.hops for r in hops.collect()} == {i: i for i in range(24)}
