@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from folioscope.operators import graph as gr
+from folioscope.operators import topic_models as tp
 from folioscope.plans.reference_queries import QUERIES
 
 # most links occur in one paper only; 1 to 12 is a chain with a shortcut-free tail, 20 to 22 a triangle, 30 and 31 a pair seen twice
@@ -77,3 +78,8 @@ def test_hops_end_with_the_graph(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(23)], "src bigint, dst bigint")
     hops = gr.hop_distances(e, spark.createDataFrame([(0,)], "source bigint"))
     assert {r.id: r.hops for r in hops.collect()} == {i: i for i in range(24)}
+
+
+def test_every_term_is_in_the_vocabulary(spark):
+    docs = spark.range(300).selectExpr("id AS d", "transform(sequence(id * 1000, id * 1000 + 999), x -> cast(x AS string)) AS t")
+    assert len(tp.fit_topics(docs, "t", 2, rounds=1).words.vocabulary) == 300_000
