@@ -28,11 +28,42 @@ def test_labels(spark):
     assert mk.label_markup(df.limit(0), "raw_text", ["paper_id"]).count() == 0
 
 
-def test_held_out_accuracy():
-    documents, labels = mk.labelled(300, 777)
-    got = mk.label_documents(mk.train(), documents)
-    ambiguous = [(a, b) for doc, want, have in zip(documents, labels, got) for leaf, a, b in zip(doc, want, have) if len(mk.ADMITS[leaf[0]]) > 1]
-    assert len(ambiguous) > 200 and np.mean([a == b for a, b in ambiguous]) > 0.98
+# Written by hand, apart from the generator: names, numbers, lengths and mixes that it does not write.
+BY_HAND = [
+    ("Prices rose from US$4 to US$9 and fell again.", set()), ("1987. It was a dry year.", set()), ("as shown in\n2014. The next study", set()), ("Use R&D; then Q&A;", set()), ("the block [[1, 0], [0, 1]] and [[x]] next", {"other"}),
+    ("998. first of the last\n999. second\n1000. third\n1001. fourth", {"list"}), ("sum $" + " + ".join(f"a_{i}" for i in range(200)) + "$ here", {"formula"}), ("&#0000000038; and &thetasym; signs", {"other"}), ("&nosuchname; stays", set()),
+    ("# one\n# two\n# three", {"list"}), ("## Closing words ##\nText follows.", {"heading"}), ("===Deep===\ntext", {"heading"}), ("<H3 class=x>Aims</H3>\ntext", {"heading"}), ("\\chapter{Aims}\ntext", {"heading"}),
+    ("<ol start=4><li>four</li><li>five</li></ol>", {"list"}), ("<dl><dt>term</dt><dd>meaning</dd></dl>", {"list"}), ("\\begin{description}\n\\item[term] meaning\n\\end{description}", {"list"}),
+    ("press <kbd>q</kbd> to leave", {"code"}), ("\\begin{minted}{c}\nint x = 1; /* $y$ */\n\\end{minted}", {"code"}), ("~~~ruby\nputs 1\n~~~", {"code"}), ("say ``x = y`` twice", {"code"}), ("unclosed <pre x then <pre>a * b</pre>", {"code"}),
+    ("\\begin{gather}\na = b\n\\end{gather}", {"formula"}), ("so \\(a \\le b\\) holds", {"formula"}), ("{{Infobox|name=River}}", {"other"}), ("'''Bold''' and ''slanted'' words", {"other"}), ("{| class=x\n|-\n! a !! b\n|-\n| 1 || 2\n|}", {"other"}),
+    ("text <!-- a $x$ `y` --> text", {"other"}), ("one [^2] two\n\n[^2]: note", {"other"}), ("<p>One.</p><p>Two &lt; three.</p>", {"other"}), ("caf\\'e and na\\\"{\\i}ve", {"other"}), ("~~" + "struck words, " * 20 + "gone~~", {"other"}),
+    ("== Aims ==\n* one\n* two with <code>f()</code>\n\n$$x$$", {"heading", "list", "code", "formula"}), ("i_max and j_min, 2*3*4 = 24, a < b > c", set()), ("- 4 degrees at night", {"list"}),
+]
+
+
+def found(net, texts):
+    documents = [mk.leaves(t) for t in texts]
+    bits = [mk.structures(d, x) for d, x in zip(documents, mk.label_documents(net, documents))]
+    return [{n for i, n in enumerate(mk.LABELS) if b >> i & 1} for b in bits]
+
+
+def test_texts_written_by_hand():
+    got = found(mk.train(), [t for t, _ in BY_HAND])
+    wrong = [(t, g, w) for (t, w), g in zip(BY_HAND, got) if g != w]
+    assert len(wrong) <= 2, wrong  # held out: 35 texts that the training never saw
+
+
+def test_the_network_decides():
+    """Every mark may get every label, and neither the kinds alone nor the network without its context do as well."""
+    documents, labels = mk.labelled(400, 777)
+    net = mk.train()
+    marks = lambda given: [(a, b) for d, want, have in zip(documents, labels, given) for leaf, a, b in zip(d, want, have) if leaf[0] not in ("prose", "close")]
+    share = lambda given: np.mean([a == b for a, b in marks(given)])
+    full = share(mk.label_documents(net, documents))
+    by_kind = share([[mk.TAUGHT[leaf[0]][0] for leaf in d] for d in documents])
+    no_context = share(mk.label_documents({**net, "v": np.zeros_like(net["v"])}, documents))
+    untrained = share(mk.label_documents({k: np.zeros_like(v) for k, v in net.items()}, documents))
+    assert full > 0.99 and full - by_kind > 0.03 and 1 - no_context > 3 * (1 - full) and untrained < 0.5
 
 
 def test_leaves_cover_the_text():
@@ -45,12 +76,13 @@ def test_gradient():
     rng = np.random.default_rng(0)
     documents, labels = mk.labelled(6, 5)
     keep = [i for i, d in enumerate(documents) if d]
-    x, lengths, y = mk.vectors([documents[i] for i in keep]), np.array([len(documents[i]) for i in keep]), np.concatenate([labels[i] for i in keep])
+    chosen = [documents[i] for i in keep]
+    x, lengths, y = mk.vectors([leaf for d in chosen for leaf in d]), np.array([len(documents[i]) for i in keep]), np.concatenate([labels[i] for i in keep])
     net = {k: v + rng.normal(0, 0.05, v.shape).astype(np.float32) for k, v in mk.train(20, 1, 3).items()}
     net = {k: v.astype(np.float64) for k, v in net.items()}
 
     def loss():
-        s = mk.forward(net, x, lengths)
+        s = mk.forward(net, chosen, lengths)
         s = s - s.max(axis=1, keepdims=True)
         return -(s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(len(y)), y].mean()
 
@@ -79,12 +111,22 @@ def test_very_long_text():
     assert mk.structures(doc, mk.label_documents(mk.train(), [doc])[0]) == (1 << mk.LIST) | (1 << mk.CODE) | (1 << mk.FORMULA)
 
 
-def test_many_openers_without_an_end():
-    began = time.time()
-    for opener in ("<pre> x ", "\\begin{verbatim} x ", "$$ x\n\n", "<math> y ", "\\[ z ", "~~ z ", "[[ z "):
-        doc = mk.leaves(opener * 20_001)
-        assert doc
-    assert time.time() - began < 20
+OPENERS = [
+    "<pre> x ", "\\begin{verbatim} x ", "$$ x\n\n", "<math> y ", "\\[ z ", "~~ z ", "[[ z ", "\\emph{ z", "__a ", "*a ", "**a ", "''a ", "[http://a ", "![a ", "`a``b ", "$x ", "&a ", "\\emph[a ", "{{a ", "_a ",
+    "<a ", "[a](x \"", "\\verb|a\n", "> ", "1. ", "| a ", "== a ", "\\section{\\emph{", "\\item[a ", "\\lstinline[a ", "\\begin{x}{ ", "<!- ", "&#1 ",
+]
+
+
+@pytest.mark.parametrize("opener", OPENERS)
+def test_time_grows_with_the_text(opener):
+    """Openers without an end, one line of a megabyte: four times the text may take about four times the time."""
+    n = 1_000_000 // len(opener)
+    seconds = []
+    for part in (n // 4, n):
+        began = time.process_time()
+        assert mk.leaves(opener * part)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * max(seconds[0], 0.25)
 
 
 BAD = [
