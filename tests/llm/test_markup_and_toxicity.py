@@ -7,6 +7,7 @@ import pytest
 
 from folioscope.llm import markup as mk
 from folioscope.llm import toxicity as tox
+from tests.llm.toxicity_held_out import ABUSIVE, HARMLESS
 
 CASES = [
     ("== Results ==\nplain", {"heading"}), ("# Title\ntext", {"heading"}), ("Title\n=====\ntext", {"heading"}), ("<h2>1 Intro</h2>\nx", {"heading"}), (r"\subsection*{On it} x", {"heading"}),
@@ -154,3 +155,21 @@ def test_toxicity(spark):
 def test_toxic_sentence_in_a_long_text():
     lex = tox.Lexicon()
     assert tox.score_text(lex, "We measured the density of the sample. " * 3000 + BAD[0]) >= tox.THRESHOLD
+
+
+def test_held_out_sentences():
+    """Written apart from the lexicon and never used to change it; 0.89 and 0.0 when first measured."""
+    lex = tox.Lexicon()
+    recall = np.mean([tox.score_text(lex, t) >= tox.THRESHOLD for t in ABUSIVE])
+    false = np.mean([tox.score_text(lex, t) >= tox.THRESHOLD for t in HARMLESS])
+    assert recall >= 0.8 and false <= 0.1
+
+
+def test_long_stretches_hide_nothing():
+    lex = tox.Lexicon()
+    filler = " ".join(f"sample{i} was measured and" for i in range(60))
+    for bad in ("you are a worthless moron", "we should kill all the foreigners", "i will cut your throat"):
+        assert tox.score_text(lex, f"{filler} {bad} {filler}") >= tox.THRESHOLD
+        assert tox.score_text(lex, f"the code of conduct and the word list {filler} {bad}") >= tox.THRESHOLD
+    assert tox.score_text(lex, 'He wrote: "' + "you are a worthless moron and " * 60 + '" in his mail.') < 3 * tox.THRESHOLD
+    assert tox.score_text(lex, filler) == 0.0
