@@ -3,19 +3,26 @@
 Distributions are divided by their sums and square-rooted, so that Hellinger distance is the Euclidean distance of
 unit vectors over sqrt(2). Equal vectors are one class and are worked once.
 
-Routing. A neighbour within the radius cannot differ much from a vector in any coordinate, so a vector is sent to
-the cells {t, u} of coordinate pairs that can be the two largest ones of a neighbour within the radius (an exact
-bound, see ``open_pairs``), and asks in the one cell of its own two largest. Large cells are worked in blocks of queries by members.
-
-Within a block each of ``projections`` random lines gives one sorted array. A query's window around its own
-projection widens by virtual rehashing (each round doubles it, reading only what is new on both sides); a member
-that lies in the windows of enough arrays - the collision threshold - is verified by its true distance. A query
-stops when it has its k neighbours within the distance its windows cover, or when they cover the radius.
+Routing. A tree of projections, fitted on a bounded sample, sorts all vectors into leaves: each inner node projects on
+the line through two sample vectors and cuts where few vectors lie near the cut. Every vector is stored in one leaf
+only. It first asks in its own leaf, and then goes, as a query only, to the leaves whose cuts lie within a margin of
+its own projections. The margin shrinks with the distance of its k-th neighbour so far, so a vector in a crowded place
+travels little. A pair is found if either of its vectors reaches the other's leaf.
+
+Within a leaf each of ``projections`` random lines gives one sorted array. A query's window around its own
+projection widens by virtual rehashing, and a member that lies in the windows of enough arrays - the collision
+threshold - is verified by its true distance. A query stops when it has its k neighbours within the distance its
+windows cover, or when they cover the radius.
+
+Cost. Leaves hold LEAF_VECTORS vectors as long as the sample can tell that many leaves apart (about SAMPLE / LEAF_SAMPLE
+leaves); a vector is shuffled twice as a member and once for each leaf it travels to. How many those are depends on the
+data: see README for measured numbers on peaked and dense vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,16 +35,96 @@ PROJECTIONS = 20
 #: Half-width of the widest window in radii, and the share of arrays that must collide: a member exactly at the
 #: radius lies in one window with probability 0.89, so it misses the threshold with probability 0.0003.
 WIDTH, THRESHOLD = 1.6, 0.6
-ROUNDS = 3
-#: Members and queries of one block; queries of one counting step.
-BLOCK_MEMBERS, BLOCK_QUERIES, STEP = 20_000, 20_000, 2_000_000
+#: Parts of the radius that the windows cover, one round after the other.
+ROUNDS = (0.25, 1.0)
+#: Query-member places counted at once.
+STEP = 2_000_000
+#: Vectors of a leaf, sample vectors the tree is fitted on (those with the smallest hashes), and fewest of them in a leaf.
+LEAF_VECTORS, SAMPLE, LEAF_SAMPLE = 1_000, 20_000, 12
+#: Margin of a query at a cut in radii. Two vectors at the radius that are parted by a cut lie together at most one
+#: radius from it, so 0.5 loses nothing; vectors of 64 dimensions differ along one line by an eighth of their
+#: distance (standard deviation), and 0.125 finds 0.999 of them.
+MARGIN = 0.125
+#: Lines tried at each node.
+CANDIDATES = 12
+#: Queries of one group of work in a leaf that many vectors travel to.
+BLOCK_QUERIES = 20_000
+
+
+@dataclass
+class Tree:
+    """Inner nodes: line, cut, children (an inner node, or -1 - leaf); ``root`` likewise."""
+
+    root: int
+    lines: np.ndarray
+    cuts: np.ndarray
+    children: np.ndarray
+    leaves: int
+
+
+def fit_tree(sample: np.ndarray, leaf: int, margin: float, seed: int) -> Tree:
+    """A tree whose leaves hold at most ``leaf`` of the sample, unless they cannot be told apart."""
+    rng = np.random.default_rng(seed)
+    lines: list[np.ndarray] = []
+    cuts: list[float] = []
+    children: list[list[int]] = []
+    leaves = 0
+    todo = [(np.arange(len(sample)), -1, 0)]  # rows, parent, side
+    root = -1
+    while todo:
+        rows, parent, side = todo.pop()
+        best = _cut(sample[rows], margin, rng) if len(rows) > leaf else None
+        if best is None:
+            here = -1 - leaves
+            leaves += 1
+        else:
+            line, cut, left = best
+            here = len(lines)
+            lines.append(line)
+            cuts.append(cut)
+            children.append([0, 0])
+            todo += [(rows[left], here, 0), (rows[~left], here, 1)]
+        if parent < 0:
+            root = here
+        else:
+            children[parent][side] = here
+    dims = sample.shape[1]
+    return Tree(root, np.array(lines, np.float32).reshape(-1, dims), np.array(cuts, np.float32), np.array(children, np.int64).reshape(-1, 2), leaves)
+
 
+def _cut(x: np.ndarray, margin: float, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Line, cut and the rows left of it: of some lines through two rows, the middle cut with the fewest rows near it."""
+    best = None
+    for _ in range(CANDIDATES):
+        i, j = rng.integers(len(x), size=2)
+        line = x[i] - x[j]
+        length = np.linalg.norm(line)
+        if length < 1e-9:
+            continue
+        placed = x @ (line / length)
+        cuts = np.quantile(placed, np.linspace(0.3, 0.7, 17))
+        ranked = np.sort(placed)
+        near = np.searchsorted(ranked, cuts + margin, "right") - np.searchsorted(ranked, cuts - margin)
+        k = int(near.argmin())
+        left = placed <= cuts[k]
+        if left.any() and not left.all() and (best is None or near[k] < best[0]):
+            best = (near[k], line / length, float(cuts[k]), left)
+    return None if best is None else best[1:]
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, position) of all positions low[i] <= position < high[i]."""
-    n = np.maximum(high - low, 0)
-    owner = np.repeat(np.arange(len(n)), n)
-    return owner, low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+def route(tree: Tree, v: np.ndarray, margins: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf): the leaf of each vector, and the others it comes within its margin of."""
+    row, node = np.arange(len(v)), np.full(len(v), tree.root)
+    out = []
+    while len(row):
+        done = node < 0
+        out.append((row[done], -1 - node[done]))
+        row, node = row[~done], node[~done]
+        away = np.einsum("ij,ij->i", v[row], tree.lines[node]) - tree.cuts[node]
+        margin = np.broadcast_to(margins, len(v))[row]
+        left, right = away <= margin, (away > 0) | (away > -margin)
+        row, node = np.concatenate([row[left], row[right]]), np.concatenate([tree.children[node[left], 0], tree.children[node[right], 1]])
+    return np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out])
 
 
 def collision_search(
@@ -45,108 +132,42 @@ def collision_search(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, member, Euclidean distance) of verified members within ``radius``; a query that found k within what
     its windows cover asks no further, so at least its k nearest within the radius are among its rows."""
-    m, dims = projections, members.shape[1]
-    lines = np.random.default_rng(seed).standard_normal((dims, m)).astype(np.float32)
+    m, n = projections, len(members)
+    lines = np.random.default_rng(seed).standard_normal((members.shape[1], m)).astype(np.float32)
     placed = members @ lines
     order = np.argsort(placed, axis=0, kind="stable")
-    arrays = [np.ascontiguousarray(placed[order[:, j], j]) for j in range(m)]
+    arrays = [placed[order[:, j], j] for j in range(m)]
+    # the place of each member in each array, so a window [low, high) is one comparison of unsigned numbers
+    kind = np.uint16 if n < 60_000 else np.uint32
+    place = np.empty((m, n), dtype=kind)
+    for j in range(m):
+        place[j, order[:, j]] = np.arange(n, dtype=kind)
     need = int(np.ceil(THRESHOLD * m))
-    n = len(members)
     chunk = max(1, STEP // max(1, n))
     for at in range(0, len(queries), chunk):
         own = queries[at : at + chunk]
         centre = own @ lines
-        counts = np.zeros(len(own) * n, dtype=np.int16)
-        low = np.stack([np.searchsorted(arrays[j], centre[:, j]) for j in range(m)], axis=1)
-        high = low.copy()
-        active = np.ones(len(own), dtype=bool)
-        within = np.zeros(len(own), dtype=np.int64)
-        for round_ in range(ROUNDS):
-            cover = radius / 2 ** (ROUNDS - 1 - round_)
-            half = WIDTH * cover
-            rows = np.flatnonzero(active)
-            touched = []
+        active = np.arange(len(own))
+        for part in ROUNDS:
+            cover = radius * part
+            counts = np.zeros((len(active), n), dtype=np.uint8)
             for j in range(m):
-                new_low = np.searchsorted(arrays[j], centre[rows, j] - half, "left")
-                new_high = np.searchsorted(arrays[j], centre[rows, j] + half, "right")
-                for a, b in ((new_low, low[rows, j]), (high[rows, j], new_high)):
-                    owner, position = _ranges(a, b)
-                    flat = rows[owner] * n + order[position, j]
-                    counts[flat] += 1  # a member stands once in each array, so indices do not repeat
-                    touched.append(flat)
-                low[rows, j], high[rows, j] = new_low, new_high
-            flat = np.concatenate(touched) if touched else np.empty(0, np.int64)
-            flat = np.unique(flat[counts[flat] >= need])
-            counts[flat] = np.iinfo(np.int16).min  # verified once
-            q, x = flat // n, flat % n
-            distance = np.sqrt(((own[q] - members[x]) ** 2).sum(axis=1)) if len(q) else np.empty(0, np.float32)
-            near = distance <= radius
-            if near.any():
-                yield q[near] + at, x[near], distance[near]
-            # what was verified beyond the covered distance counts in a later round
-            np.add.at(within, q[distance <= cover], 1)
-            active &= within < k
-            if not active.any():
+                low = np.searchsorted(arrays[j], centre[active, j] - WIDTH * cover, "left").astype(kind)
+                high = np.searchsorted(arrays[j], centre[active, j] + WIDTH * cover, "right").astype(kind)
+                counts += (place[j][None, :] - low[:, None]) < (high - low)[:, None]
+            q, x = np.nonzero(counts >= need)
+            distance = np.sqrt(((own[active[q]] - members[x]).astype(np.float64) ** 2).sum(axis=1))
+            near = distance <= cover
+            enough = np.bincount(q[near], minlength=len(active)) >= k
+            # what is found is given once: in the last round, or when the query stops
+            given = (distance <= radius) & (enough[q] | (part == ROUNDS[-1]))
+            if given.any():
+                yield active[q[given]] + at, x[given], distance[given]
+            active = active[~enough]
+            if not len(active):
                 break
 
 
-#: The table of cells has at most dims * (dims - 1) / 2 rows; up to these dimensions it is broadcast (500,000 rows).
-MAX_BROADCAST_DIMS = 1_000
-
-#: Rows that a group of blocks holds on average.
-GROUP_ROWS = 10_000
-
-#: Largest coordinates that enter the bound of ``open_pairs``; fewer only make it looser.
-BOUND_COORDINATES = 10
-
-
-def open_pairs(v: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, t, u, asks), t < u: the coordinate pairs that can be the two largest of a vector within ``radius`` of the row;
-    ``asks`` marks the row's own two largest.
-
-    If t and u are the two largest of w, some level lies between them and all others of w. So |v - w|^2 is at least
-    the minimum over levels x of (x - v_t)+^2 + (x - v_u)+^2 + sum over the others of (v_j - x)+^2, a convex function
-    of x whose minimum is taken here over the largest coordinates of v (leaving terms out keeps it a lower bound).
-    """
-    n, dims = v.shape
-    width = min(BOUND_COORDINATES, dims)
-    top = np.argsort(-v, axis=1, kind="stable")
-    ranked = np.take_along_axis(v, top[:, :width], axis=1).astype(np.float64)
-    # a coordinate takes part at all if lifting it to the third largest alone is cheap enough
-    third = ranked[:, 2] if width > 2 else np.zeros(n)
-    able = (v >= (third - radius * np.sqrt(2))[:, None]).sum(axis=1)
-    rows, first, second = [], [], []
-    for count in np.unique(able):
-        own = np.flatnonzero(able == count)
-        a, b = np.triu_indices(int(max(count, 2)), 1)
-        rows.append(np.repeat(own, len(a)))
-        first.append(np.tile(a, len(own)))
-        second.append(np.tile(b, len(own)))
-    row, a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, first, second))
-    keep = np.empty(len(row), dtype=bool)
-    for at in range(0, len(row), 200_000):
-        r, i, j = row[at : at + 200_000], a[at : at + 200_000], b[at : at + 200_000]
-        values = ranked[r]
-        others = values.copy()
-        place = np.arange(len(r))
-        for k in (i, j):
-            inside = k < width
-            others[place[inside], k[inside]] = -np.inf
-        x_t, x_u = v[r, top[r, i]].astype(np.float64), v[r, top[r, j]].astype(np.float64)
-        low, high = np.minimum(x_t, x_u), np.maximum(np.minimum(x_t, x_u), values.max(axis=1))
-        for _ in range(24):  # the slope changes sign once
-            level = (low + high) / 2
-            slope = np.maximum(level - x_t, 0) + np.maximum(level - x_u, 0) - np.maximum(others - level[:, None], 0).sum(axis=1)
-            low, high = np.where(slope < 0, level, low), np.where(slope < 0, high, level)
-        level = (low + high) / 2
-        cost = np.maximum(level - x_t, 0) ** 2 + np.maximum(level - x_u, 0) ** 2 + (np.maximum(others - level[:, None], 0) ** 2).sum(axis=1)
-        keep[at : at + 200_000] = cost <= radius * radius + 1e-6
-    asks = (a == 0) & (b == 1)
-    keep |= asks
-    t, u = top[row, a], top[row, b]
-    return row[keep], np.minimum(t, u)[keep], np.maximum(t, u)[keep], asks[keep]
-
-
 def usable_distributions(df: DataFrame, key: str, ts: str, vector: str) -> DataFrame:
     """(key, v): the current vector of each key divided by its sum, as ARRAY<DOUBLE>. Keys whose current vector is
     null, empty, holds a null, negative or non-finite number, or sums to 0 are left out."""
@@ -159,6 +180,26 @@ def usable_distributions(df: DataFrame, key: str, ts: str, vector: str) -> DataF
     return current.select("key", F.transform("v", lambda x: x / F.col("s")).alias("v"))
 
 
+def _found(queries: np.ndarray, members: np.ndarray, radius: float, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, Hellinger distance) within the radius."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if len(queries) and len(members):
+        out += list(collision_search(queries, members, radius, k, seed))
+    query, member, distance = (np.concatenate(c) for c in zip(*out))
+    return query, member, distance / np.sqrt(2)
+
+
+def _kth(query: np.ndarray, distance: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Distance of the k-th nearest of each of ``n`` queries, infinite where there are fewer."""
+    order = np.lexsort((distance, query))
+    query, distance = query[order], distance[order]
+    first = np.searchsorted(query, np.arange(n))
+    out = np.full(n, np.inf)
+    has = np.bincount(query, minlength=n) >= k
+    out[has] = distance[first[has] + k - 1]
+    return out
+
+
 def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed: int = 7) -> DataFrame:
     """(key, other, distance, rank): for each key its ``k`` nearest other keys at a Hellinger distance of at most
     ``max_distance``, nearest first, ties by the smaller key.
@@ -169,56 +210,65 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
     only the k + 1 smallest keys can be anybody's neighbours.
     """
     radius = float(max_distance * np.sqrt(2)) + 1e-6
-    rows = vectors.withColumn("class", F.xxhash64("v"))
+    rows = checkpointed(vectors.withColumn("class", F.xxhash64("v")))
     order = Window.partitionBy("class").orderBy("key")
-    rows = checkpointed(rows)
     targets = rows.select("class", "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    classes = checkpointed(rows.groupBy("class").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("size")))
-    dims = classes.agg(F.max(F.size("v"))).first()[0] or 1
+    classes = checkpointed(rows.groupBy("class").agg(F.min("v").alias("v")))
+    total, dims = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    dims = dims or 1
+
+    def unit(lists: pd.Series) -> np.ndarray:
+        v = np.zeros((len(lists), dims), dtype=np.float32)
+        for i, x in enumerate(lists):
+            v[i, : len(x)] = np.sqrt(x)
+        return v
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sample = unit(classes.orderBy("class").limit(SAMPLE).toPandas()["v"])  # at most SAMPLE vectors
+    leaf = max(LEAF_SAMPLE, LEAF_VECTORS * len(sample) // max(1, total))
+    tree = fit_tree(sample, leaf, MARGIN * radius, seed)
+
+    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 5_000):
-                part = frame.iloc[at : at + 5_000]
-                v = np.zeros((len(part), max(dims, 2)), dtype=np.float32)
-                for i, x in enumerate(part["v"]):
-                    v[i, : len(x)] = np.sqrt(x)
-                owner, t, u, asks = open_pairs(v, radius)
-                bits = [row.tobytes() for row in v]
-                yield pd.DataFrame({
-                    "cell": (t.astype(np.int64) << 32) | u, "class": part["class"].to_numpy()[owner], "asks": asks, "bits": [bits[i] for i in owner],
-                })
-
-    routed = checkpointed(classes.select("class", "v").mapInPandas(route, "cell bigint, class bigint, asks boolean, bits binary"))
-    sizes = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).where("q > 0")
-    blocks = sizes.select(
-        "cell", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")
-    )
-    # at most dims * (dims - 1) / 2 short rows
-    placed = routed.join(F.broadcast(blocks) if dims <= MAX_BROADCAST_DIMS else blocks, "cell")
-    h = F.xxhash64("class")
-    asks = placed.where("asks").withColumn("qb", F.pmod(h, F.col("qb")).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
-    held = placed.withColumn("mb", F.pmod(h, F.col("mb")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-    cols = ["cell", "qb", "mb", "class", "asks", "bits"]
-    work = asks.select(*cols).unionByName(held.withColumn("asks", F.lit(False)).select(*cols))
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        vectors_ = np.frombuffer(b"".join(frame["bits"]), dtype=np.float32).reshape(len(frame), -1)
-        asks_, ids = frame["asks"].to_numpy(), frame["class"].to_numpy()
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for rows_ in frame.groupby(["cell", "qb", "mb"], sort=False).indices.values():
-            q, m = rows_[asks_[rows_]], rows_[~asks_[rows_]]
-            if len(q) and len(m):
-                for i, j, d in collision_search(vectors_[q], vectors_[m], radius, k + 1, seed):
-                    out.append((ids[q[i]], ids[m[j]], d / np.sqrt(2)))
-        found = [np.concatenate(c) for c in zip(*out)]
-        return pd.DataFrame({"class": found[0], "near": found[1], "distance": found[2].astype(np.float64)})
-
-    # blocks are small or large: many small ones make one group of work
-    groups = max(1, -(-routed.count() // GROUP_ROWS))
-    work = work.withColumn("group", F.pmod(F.xxhash64("cell", "qb", "mb"), F.lit(groups)))
-    links = work.groupBy("group").applyInPandas(search, "class bigint, near bigint, distance double")
-    links = checkpointed(links.where(F.col("class") != F.col("near")))  # read in both directions below
+            v = unit(frame["v"])
+            row, where = route(tree, v)
+            yield pd.DataFrame({"leaf": where.astype(np.int32), "class": frame["class"].to_numpy()[row], "bits": [v[i].tobytes() for i in row]})
+
+    members = classes.mapInPandas(home, "leaf int, class bigint, bits binary")
+
+    def vectors_of(frame: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(frame["bits"]), dtype=np.float32).reshape(len(frame), dims)
+
+    def own_leaf(frame: pd.DataFrame) -> pd.DataFrame:
+        v, ids = vectors_of(frame), frame["class"].to_numpy()
+        query, member, distance = _found(v, v, radius, k + 1, seed)  # one more: each finds itself
+        other = query != member
+        query, member, distance = query[other], member[other], distance[other]
+        # a crowded vector needs only what is nearer than the k-th it has
+        margins = MARGIN * np.minimum(radius, 2 * np.sqrt(2) * _kth(query, distance, len(v), k))
+        row, where = route(tree, v, margins)
+        away = where != frame["leaf"].iloc[0]
+        row, where = row[away], where[away]
+        pairs, once = np.unique(np.stack([np.minimum(query, member), np.maximum(query, member)]), axis=1, return_index=True)
+        near = pd.DataFrame({"class": ids[pairs[0]], "near": ids[pairs[1]], "distance": distance[once]}, columns=["class", "near", "distance", "leaf", "bits"])
+        travels = pd.DataFrame({"class": ids[row], "leaf": where, "bits": [v[i].tobytes() for i in row]}, columns=near.columns)
+        return pd.concat([x.astype({"near": "Int64", "leaf": "Int32"}) for x in (near, travels)], ignore_index=True)
+
+    first = checkpointed(members.groupBy("leaf").applyInPandas(own_leaf, "class bigint, near bigint, distance double, leaf int, bits binary"))
+    links, travels = first.where("near IS NOT NULL").select("class", "near", "distance"), first.where("leaf IS NOT NULL")
+    # a leaf that many vectors travel to is worked in several groups, each with the leaf's members; one row per leaf
+    crowd = travels.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("groups"))
+    crowd = F.broadcast(crowd) if tree.leaves <= SAMPLE else crowd
+    asks = travels.join(crowd, "leaf").select("leaf", F.pmod(F.xxhash64("class"), F.col("groups")).cast("int").alias("group"), "class", "bits", F.lit(True).alias("asks"))
+    held = members.join(crowd, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "class", "bits", F.lit(False).alias("asks"))
+
+    def other_leaf(frame: pd.DataFrame) -> pd.DataFrame:
+        ask = frame["asks"].to_numpy()
+        v, ids = vectors_of(frame), frame["class"].to_numpy()
+        query, member, distance = _found(v[ask], v[~ask], radius, k, seed)
+        return pd.DataFrame({"class": ids[ask][query], "near": ids[~ask][member], "distance": distance})
+
+    second = asks.unionByName(held).groupBy("leaf", "group").applyInPandas(other_leaf, "class bigint, near bigint, distance double")
+    links = checkpointed(links.unionByName(second))  # read in both directions below
     # both ways: what a finds b must also know; each class is its own neighbour at distance 0
     both = links.unionByName(links.select(F.col("near").alias("class"), F.col("class").alias("near"), "distance"))
     both = both.groupBy("class", "near").agg(F.min("distance").alias("distance"))

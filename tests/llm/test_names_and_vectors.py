@@ -128,14 +128,42 @@ def test_search_equals_brute_force(spark):
     assert len(true) > 500 and len(true & have) / len(true) > 0.99 and len(have - true) <= 0.01 * len(true)
 
 
-def test_blocks_of_large_cells(spark, monkeypatch):
-    monkeypatch.setattr(sv, "BLOCK_MEMBERS", 30)
+def test_leaves_and_travelling_queries(spark, monkeypatch):
+    monkeypatch.setattr(sv, "LEAF_VECTORS", 30)
     monkeypatch.setattr(sv, "BLOCK_QUERIES", 20)
-    x = clustered(200)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, v array<double>")
+    x = clustered()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, v array<double>").repartition(3)
     have = {(r.key, r.other) for r in sv.similar_distributions(df, 10, 0.15).collect()}
     true = {(i, j) for i, v in brute_neighbours(x, 10, 0.15).items() for j, _ in v}
-    assert len(true & have) / len(true) > 0.99
+    assert len(true & have) / len(true) > 0.97
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.2, 0.02])
+def test_recall_of_the_tree_on_dense_and_peaked_vectors(alpha):
+    """Pairs at the radius and nearer, by brute force; both ways of a pair count, as in the search."""
+    rng = np.random.default_rng(4)
+    radius = 0.15 * np.sqrt(2)
+    base = np.sqrt(rng.dirichlet(np.full(64, alpha), 8_000))
+    near = base[:2_000] + rng.normal(0, 0.14 / 8, (2_000, 64))
+    v = np.concatenate([base, np.abs(near) / np.linalg.norm(near, axis=1, keepdims=True)]).astype(np.float32)
+    tree = sv.fit_tree(v[rng.permutation(len(v))[:4_000]], 60, sv.MARGIN * radius, 7)
+    row, leaf = sv.route(tree, v, sv.MARGIN * radius)
+    home_row, home_leaf = sv.route(tree, v)
+    home = np.empty(len(v), int)
+    home[home_row] = home_leaf
+    reached = set(zip(row.tolist(), leaf.tolist()))
+    pairs = np.argwhere(np.triu(v @ v.T >= 1 - radius**2 / 2, 1))
+    assert len(pairs) > 1_500 and len(home_row) == len(v) and np.bincount(home_leaf).max() < 400
+    assert np.mean([(a, home[b]) in reached or (b, home[a]) in reached for a, b in pairs.tolist()]) > 0.99
+
+
+def test_collision_counting_equals_brute_force():
+    rng = np.random.default_rng(8)
+    v = np.sqrt(rng.dirichlet(np.full(20, 0.1), 1_500)).astype(np.float32)
+    got = {(int(a), int(b)) for q, x, _ in sv.collision_search(v[:700], v, 0.3, 10_000) for a, b in zip(q, x)}
+    distance = np.sqrt(np.maximum(0, 2 - 2 * v[:700].astype(float) @ v.T.astype(float)))
+    true = {tuple(p) for p in np.argwhere(distance <= 0.3).tolist()}
+    assert len(true) > 700 and len(got & true) / len(true) > 0.99 and not {p for p in got if distance[p] > 0.301}
 
 
 def test_usable_rows(spark):
