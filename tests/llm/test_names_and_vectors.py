@@ -50,6 +50,30 @@ def test_close_keys_loses_no_pair(spark, radius):
     assert got == {(a, b) for a in words for b in words if true_distance(a, b) <= radius}
 
 
+def test_cells_are_parted_level_after_level(spark, monkeypatch):
+    monkeypatch.setattr(nv, "CELL_STRINGS", 10)
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(3, 7))) for _ in range(300)})
+    df = spark.createDataFrame([(w,) for w in words], "key string")
+    got = {tuple(r) for r in nv.close_keys(df, 1, 8).collect()}
+    assert got == {(a, b) for a in words for b in words if true_distance(a, b) <= 1}
+
+
+def linked(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "name_id bigint, author_names string, affiliation string")
+    return {tuple(r) for r in nv.linked_pairs(nv.link_names(df)).collect()}
+
+
+def test_organisations_meet_by_their_words(spark):
+    names = ["Centre of River Dynamics", "Centre of Piver Dynamics", "Dynamics of River Centre", "Centre of Harbour Dynamics"]
+    assert linked(spark, [(n, AFF) for n in names]) == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_short_middle_names_tell_people_apart(spark):
+    names = ["Maria Ann Stone", "Maria Joy Stone", "Stone, Maria Ann", "Maria van der Weir", "Maria Weir", "Maria vna der Weir"]
+    assert linked(spark, [(n, AFF) for n in names]) == {(0, 2), (3, 4), (3, 5), (4, 5)}
+
+
 AFF = "University of Northam"
 ROWS = [
     ("Northam University", ["Maria J. Stone", "Stone, Maria", "STONE, MARIA", "Maria Stoen", "Mária Stone", "MariaStone", "Stone M", "Dr. Maria Stone", "Stone Maria"]),
