@@ -114,8 +114,8 @@ media 0: photos / photo / pictures / pics / video / videos / clips / clip / self
 subject 0: word / words / term / terms / slur / slurs / phrase / phrases / called / labelled / labeled / classified / annotators / annotator / annotated / annotation / detect / detects / detecting / detection / detector / classifier / dataset / datasets / corpus / lexicon / example / examples / quoted / quote / quotes / survey item / questionnaire / item / hate speech / abusive language / offensive language / toxic comments / moderation / moderators / code of conduct / tweets / posts / comments such as / participants / respondents / interviewees / patients / victims / stereotypes / stereotype / propaganda / the study / we study / studied / prejudice / discrimination / harassment / reported / reports / told us / testified / historians / masked / insults / filter / filters / banned / novel / poem / the film / character / characters / etymology / translation / sex education / sexual health / beleidigung / schimpfwort / insulte / insultos
 """
 
-# Weight, then classes in their order, with the most words between two of them; "|" stands between
-# alternatives and "^" for the start of the stretch. Of the patterns on one line only the heaviest counts.
+# Weight, then classes in their order, with the most words between two of them; "^" is the start of the
+# stretch. Of the patterns on one line only the heaviest counts.
 PATTERNS = """
 0.9 you 4 insult; 0.9 insult 4 you; 0.5 you 12 insult; 0.5 insult 12 you; 1.3 other 2 be 3 insult; 1.2 other 2 be 3 weak; 0.6 other 4 insult; 0.9 you 2 be 3 insult
 1.4 you 2 be 3 weak; 1.2 weak 0 exclaim; 1.2 exclaim 2 weak 2 you; 1.2 you 1 weak; 0.7 you 5 weak; 0.7 weak 2 you; 0.7 weak 3 abuse; 0.7 abuse 1 weak
@@ -154,6 +154,7 @@ PATTERNS = """
 -1.6 iam 3 insult; -1.6 iam 3 weak; -1.6 neg 2 insult; -1.6 neg 2 weak; -2.2 neg 2 harsh; -2.2 nobody 0 shouldbe; -1.2 neg 2 degrade
 """
 
+FOLK_ENTRY = " * "
 #: Plural names of peoples by their endings; they count only where what is said of them is degrading in itself.
 FOLK = re.compile(r"[a-z]{2,}(?:ians|eans|ites|folk|aks|ese|ards|landers|ners|ari|iens|iens|enses|aner|ier|aken|aren|acos|aris|elios)")
 
@@ -210,7 +211,14 @@ class Lexicon:
         for key in self.entries:
             self.automaton.add_word(key, (key, key.count(" ") - 1))
         self.automaton.make_automaton()
+        self.entries[FOLK_ENTRY] = [("folk", 0.0)]
         self.rules = [[_pattern(p) for p in line.split(";")] for line in patterns.strip().splitlines()]
+        # one bit per class: which patterns can hold is looked up by the classes that occur
+        names = sorted({n for got in self.entries.values() for n, _ in got} | {c for line in self.rules for _, classes, _ in line for c in classes} | {"^"})
+        self.bits = {n: 1 << i for i, n in enumerate(names)}
+        self.masks = {e: sum(self.bits[n] for n, _ in got) for e, got in self.entries.items()}
+        self.heavy = sum({self.bits[n] for got in self.entries.values() for n, w in got if w})
+        self._possible: dict[int, list] = {}
         self.misread: dict[str, str] = {}
         for w in sorted(self.words, key=lambda w: (-weight.get(w, 0.0), w)):
             if len(w) >= 5 or (len(w) == 4 and weight.get(w, 0.0) > 0):
@@ -220,6 +228,16 @@ class Lexicon:
             self.by_shape.setdefault(len(w), []).append(w)
         self.known: dict[str, str] = {}
 
+    def possible(self, mask: int) -> list[list[tuple[float, list[str], list[int]]]]:
+        """The lines of patterns all of whose classes are among those of ``mask``."""
+        got = self._possible.get(mask)
+        if got is None:
+            lines = [[r for r in line if all(self.bits[c] & mask for c in r[1])] for line in self.rules]
+            got = [line for line in lines if line]
+            if len(self._possible) < 200_000:  # a cache, so its bound changes no result
+                self._possible[mask] = got
+        return got
+
     def joined(self, letters: str) -> str:
         """Spaced letters as one word; an article before them stays apart."""
         word = letters.replace(" ", "")
@@ -271,10 +289,10 @@ def _flat(text: str) -> str:
     return text.lower().translate(HOMOGLYPHS)
 
 
-def _pattern(text: str) -> tuple[float, list[tuple[str, ...]], list[int]]:
-    """Weight, alternatives of classes, and the most words between neighbours, of one slot pattern."""
+def _pattern(text: str) -> tuple[float, list[str], list[int]]:
+    """Weight, classes, and the most words between neighbours, of one slot pattern."""
     weight, *rest = text.split()
-    return float(weight), [tuple(c.split("|")) for c in rest[::2]], [int(g) for g in rest[1::2]]
+    return float(weight), rest[::2], [int(g) for g in rest[1::2]]
 
 
 @functools.lru_cache(maxsize=2)
@@ -282,17 +300,11 @@ def lexicon(text: str = LEXICON) -> Lexicon:
     return Lexicon(text)
 
 
-#: Classes that can be part of a weight; a stretch without any of them needs no pattern.
-_IDLE = frozenset("you other be exclaim iam neg too they will owner subject nobody media sexad adj never body lair know group folk like hope start".split())
-
-
-def _holds(where: dict[str, list[tuple[int, int]]], classes: list[tuple[str, ...]], gaps: list[int]) -> bool:
-    """Do hits of the classes follow each other within the gaps?"""
-    if any(not any(c in where for c in slot) for slot in classes):
-        return False
-    ends = [last for c in classes[0] for _, last in where.get(c, ())]
-    for slot, gap in zip(classes[1:], gaps):
-        ends = [last for c in slot for first, last in where.get(c, ()) if any(0 < first - end <= gap + 1 for end in ends)]
+def _holds(where: dict[str, list[tuple[int, int]]], classes: list[str], gaps: list[int]) -> bool:
+    """Do hits of the classes, all of which occur, follow each other within the gaps?"""
+    ends = [last for _, last in where[classes[0]]]
+    for name, gap in zip(classes[1:], gaps):
+        ends = [last for first, last in where[name] for end in ends if 0 < first - end <= gap + 1]
         if not ends:
             return False
     return True
@@ -300,18 +312,21 @@ def _holds(where: dict[str, list[tuple[int, int]]], classes: list[tuple[str, ...
 
 def _window_weight(lex: Lexicon, hits: list[tuple[int, int, str]]) -> float:
     """Weight of the entries found in one window, given as (first word, last word, entry)."""
-    where: dict[str, list[tuple[int, int]]] = {}
+    mask = lex.bits["^"]
+    for _, _, entry in hits:
+        mask |= lex.masks[entry]
+    lines = lex.possible(mask)
+    if not lines and not mask & lex.heavy:
+        return 0.0
+    where: dict[str, list[tuple[int, int]]] = {"^": [(-1, -1)]}
     alone: dict[str, float] = {}
     for first, last, entry in hits:
-        for name, weight in lex.entries.get(entry, (("folk", 0.0),)):
+        for name, weight in lex.entries[entry]:
             where.setdefault(name, []).append((first, last))
             if weight:
                 alone[entry] = max(alone.get(entry, 0.0), weight)
-    if not where.keys() - _IDLE:
-        return 0.0
-    where["^"] = [(-1, -1)]
     total = sum(alone.values())
-    for line in lex.rules:
+    for line in lines:
         best = 0.0
         for weight, classes, gaps in line:
             if abs(weight) > abs(best) and _holds(where, classes, gaps):
@@ -325,7 +340,10 @@ def _weight(lex: Lexicon, words: list[str]) -> float:
     """Weight of a sentence: that of its worst window of USUAL_WORDS words."""
     joined = " " + " ".join(words) + " "
     found = list(lex.automaton.iter(joined))
-    if not found:
+    mask = lex.bits["^"] | lex.bits["folk"]
+    for _, (entry, _) in found:
+        mask |= lex.masks[entry]
+    if not mask & lex.heavy and not lex.possible(mask):
         return 0.0
     starts, at = [], 1
     for w in words:
@@ -335,7 +353,7 @@ def _weight(lex: Lexicon, words: list[str]) -> float:
     for end, (entry, n) in found:
         last = bisect_right(starts, end - 1) - 1
         hits.append((last - n + 1, last, entry))
-    hits += [(i, i, "folk") for i, w in enumerate(words) if FOLK.fullmatch(w)]
+    hits += [(i, i, FOLK_ENTRY) for i, w in enumerate(words) if FOLK.fullmatch(w)]
     if len(words) <= USUAL_WORDS:
         return _window_weight(lex, hits)
     hits.sort()
