@@ -223,7 +223,8 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
             v[i, : len(x)] = np.sqrt(x)
         return v
 
-    sample = unit(classes.orderBy("class").limit(SAMPLE).toPandas()["v"])  # at most SAMPLE vectors
+    drawn = classes.orderBy("class").limit(SAMPLE).select(F.transform("v", lambda x: x.cast("float")).alias("v"))
+    sample = unit(drawn.toPandas()["v"])  # at most SAMPLE vectors
     leaf = max(LEAF_SAMPLE, LEAF_VECTORS * len(sample) // max(1, total))
     tree = fit_tree(sample, leaf, MARGIN * radius, seed)
 
