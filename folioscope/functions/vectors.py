@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.bind import let
+
 FLOOR = 1e-10
 
 
@@ -29,19 +31,32 @@ def _sum2(p: Column | str, q: Column | str, f: Callable[[Column, Column], Column
 
 def normalised(v: Column | str) -> Column:
     """Divided by the sum where that is positive, else unchanged."""
-    s = total(v)
-    return F.transform(_c(v), lambda x: F.when(s > 0, x / s).otherwise(x.cast("double")))
+    return let(_scale(v), lambda s: F.transform(_c(v), lambda x: x.cast("double") / s))
+
+
+def _scale(v: Column | str) -> Column:
+    """The sum where that is positive, else 1."""
+    return let(total(v), lambda s: F.when(s > 0, s).otherwise(1.0))
+
+
+def _shares(p: Column | str, q: Column | str, f: Callable[[Column, Column], Column]) -> Column:
+    """Sum of f over the entries of both normalised vectors; each sum is taken once."""
+    return let(F.struct(_scale(p).alias("p"), _scale(q).alias("q")), lambda s: _sum2(p, q, lambda a, b: f(a / s["p"], b / s["q"])))
 
 
 def unit(v: Column | str) -> Column:
     """Divided by the Euclidean norm; a zero vector stays."""
-    n = F.sqrt(_sum2(v, v, lambda a, b: a * b))
-    return F.transform(_c(v), lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+    norm = F.sqrt(_squares(v))
+    return let(norm, lambda n: F.transform(_c(v), lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))
+
+
+def _squares(v: Column | str) -> Column:
+    return F.aggregate(_c(v), F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0)))
 
 
 def hellinger(p: Column | str, q: Column | str) -> Column:
     """Of the normalised vectors; in [0, 1]."""
-    return F.sqrt(0.5 * _sum2(normalised(p), normalised(q), lambda a, b: F.pow(F.sqrt(a) - F.sqrt(b), 2)))
+    return F.sqrt(0.5 * _shares(p, q, lambda a, b: F.pow(F.sqrt(a) - F.sqrt(b), 2)))
 
 
 def hellinger_similarity(p: Column | str, q: Column | str) -> Column:
@@ -63,13 +78,13 @@ def manhattan(p: Column | str, q: Column | str) -> Column:
 
 def cosine(p: Column | str, q: Column | str) -> Column:
     """0 where either vector is zero."""
-    norms = F.sqrt(_sum2(p, p, lambda a, b: a * b)) * F.sqrt(_sum2(q, q, lambda a, b: a * b))
-    return F.when(norms > 0, _sum2(p, q, lambda a, b: a * b) / norms).otherwise(0.0)
+    norms = F.sqrt(_squares(p)) * F.sqrt(_squares(q))
+    return let(norms, lambda n: F.when(n > 0, _sum2(p, q, lambda a, b: a * b) / n).otherwise(0.0))
 
 
 def kl_divergence(p: Column | str, q: Column | str) -> Column:
     """Natural logarithm, normalised vectors, over places where both are positive."""
-    return _sum2(normalised(p), normalised(q), lambda a, b: F.when((a > 0) & (b > 0), a * F.log(a / b)).otherwise(0.0))
+    return _shares(p, q, lambda a, b: F.when((a > 0) & (b > 0), a * F.log(a / b)).otherwise(0.0))
 
 
 def jensen_shannon(p: Column | str, q: Column | str) -> Column:
@@ -79,7 +94,7 @@ def jensen_shannon(p: Column | str, q: Column | str) -> Column:
         right = F.when(b > 0, b * F.log(b / m)).otherwise(0.0)
         return (left + right) / 2
 
-    return _sum2(normalised(p), normalised(q), part)
+    return _shares(p, q, part)
 
 
 def bhattacharyya(p: Column | str, q: Column | str) -> Column:
@@ -97,8 +112,7 @@ def variation_by_mean(p: Column | str, q: Column | str) -> Column:
 
 def inverse_l1(p: Column | str, q: Column | str) -> Column:
     """1 / L1 distance, 1 where that is (almost) 0."""
-    d = manhattan(p, q)
-    return F.when(d > FLOOR, 1 / d).otherwise(1.0)
+    return let(manhattan(p, q), lambda d: F.when(d > FLOOR, 1 / d).otherwise(1.0))
 
 
 def entropy_bits(p: Column | str) -> Column:
@@ -113,10 +127,26 @@ def entropy_nats(p: Column | str) -> Column:
 
 def gini(p: Column | str) -> Column:
     """Of the non-zero entries; 0 if there are none."""
-    x = F.array_sort(F.filter(_c(p), lambda v: v != 0))
-    n = F.size(x)
-    weighted = total(F.transform(x, lambda v, i: (2 * (i + 1) - n - 1) * v))
-    return F.when((n > 0) & (total(x) != 0), weighted / (n * total(x))).otherwise(0.0)
+
+    def of(x: Column) -> Column:
+        def ratio(s: Column) -> Column:
+            weighted = total(F.transform(x, lambda v, i: (2 * (i + 1) - s["n"] - 1) * v))
+            return F.when((s["n"] > 0) & (s["t"] != 0), weighted / (s["n"] * s["t"])).otherwise(0.0)
+
+        return let(F.struct(F.size(x).alias("n"), total(x).alias("t")), ratio)
+
+    return let(F.array_sort(F.filter(_c(p), lambda v: v != 0)), of)
+
+
+def mean_entropy(df: DataFrame, vector: str) -> DataFrame:
+    """One row ``mean_entropy``: mean of the rows' entropies in nats; null for an empty table."""
+    return df.agg(F.avg(entropy_nats(vector)).alias("mean_entropy"))
+
+
+def entropy_of_max_weighted_mean(df: DataFrame, vector: str) -> DataFrame:
+    """One row ``entropy``: entropy in bits of ``max_weighted_mean``."""
+    x = F.col("x")
+    return max_weighted_mean(df, vector).agg((-F.sum(F.when(x > 0, x * F.log2(x)).otherwise(0.0))).alias("entropy"))
 
 
 def argmax(p: Column | str) -> Column:

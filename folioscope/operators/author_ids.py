@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,33 +44,35 @@ def similar_names(names: DataFrame, threshold: float = 0.9) -> DataFrame:
     return dot.groupBy("block", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
+MAX_ROUNDS = 200
+
+
 def name_leaders(names: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(name, leader): greedy in the order of names - a name that is not taken leads and takes all similar names that
-    are not taken yet (no transitive closure). Only names with similar ones go through the sequential step, one
-    connected group at a time; all others lead themselves."""
-    from folioscope.operators.graph import components
-
-    pairs = checkpointed(similar_names(names, threshold).select("a", "b"))
-    ids = checkpointed(names.select("name").withColumn("id", F.monotonically_increasing_id()))
-    edges = pairs.join(ids.select(F.col("name").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("name").alias("b"), F.col("id").alias("dst")), "b")
-    groups = components(edges.select("src", "dst"))
-    grouped = edges.join(groups.select(F.col("id").alias("src"), "component"), "src").select("component", "a", "b")
-
-    def lead(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(frame["a"], frame["b"]):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        leader: dict[str, str] = {}
-        for name in sorted(near):
-            if name not in leader:
-                leader[name] = name
-                for other in near[name]:
-                    leader.setdefault(other, name)
-        return pd.DataFrame({"name": list(leader), "leader": list(leader.values())})
-
-    taken = grouped.groupBy("component").applyInPandas(lead, "name string, leader string")
-    return names.select("name").join(taken, "name", "left").select("name", F.coalesce("leader", "name").alias("leader"))
+    are not taken yet (no transitive closure).
+
+    Decided in rounds over all names at once: a name is taken as soon as a smaller similar name leads, and leads as soon
+    as all of them are taken. No group goes through one task, whatever its size; there are as many rounds as the longest
+    chain of decisions that hang on each other. RuntimeError after MAX_ROUNDS.
+    """
+    pairs = checkpointed(similar_names(names, threshold).select("a", "b"))  # a < b
+    open_ = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    leads = open_.join(pairs.select(F.col("b").alias("name")), "name", "left_anti")
+    decided = checkpointed(leads.select("name", F.lit(True).alias("leads")))
+    waiting = checkpointed(pairs.where("a < b"))  # pairs whose larger name is not decided
+    for _ in range(MAX_ROUNDS):
+        state = waiting.join(decided.select(F.col("name").alias("a"), "leads"), "a", "left")
+        per = state.groupBy("b").agg(F.max("leads").alias("led"), F.count_if(F.col("leads").isNull()).alias("unknown"))
+        fresh = per.where("led OR unknown = 0").select(F.col("b").alias("name"), (~F.coalesce("led", F.lit(False))).alias("leads"))
+        fresh = checkpointed(fresh.join(decided.select("name"), "name", "left_anti"))
+        if fresh.limit(1).count() == 0:
+            break
+        decided = checkpointed(decided.unionByName(fresh))
+        waiting = checkpointed(waiting.join(fresh.select(F.col("name").alias("b")), "b", "left_anti"))
+    else:
+        raise RuntimeError(f"names are still undecided after {MAX_ROUNDS} rounds")
+    takers = pairs.join(decided.where("leads").select(F.col("name").alias("a")), "a").groupBy(F.col("b").alias("name")).agg(F.min("a").alias("leader"))
+    return names.select("name").join(takers, "name", "left").select("name", F.coalesce("leader", "name").alias("leader"))
 
 
 def author_map(names: DataFrame, threshold: float = 0.9, digits: int = 7) -> DataFrame:

@@ -51,14 +51,17 @@ def uci(pairs: DataFrame, n_docs: int, eps: float = 1e-12) -> DataFrame:
     return pairs.groupBy("topic").agg(F.avg(F.when((F.col("df_a") > 0) & (F.col("df_b") > 0), F.log(p / (a * b)))).alias("coherence"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, label: str, max_rows: int = 200_000) -> DataFrame:
-    """One row ``silhouette``: exact Euclidean silhouette. All rows meet all rows, in blocks of numpy arrays, so the table
-    is limited to ``max_rows`` (checked); 0 for a single label. Rows alone in their label count 0."""
+#: Rows of one side of a block of the silhouette.
+SILHOUETTE_ROWS = 5_000
+
+
+def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """One row ``silhouette``: exact Euclidean silhouette; 0 for a single label. Rows alone in their label count 0.
+
+    The measure is defined over the distances of all rows to all rows. They are taken in blocks of numpy arrays and leave
+    each block as one sum per row and label, so time grows with the square of the rows and tables with rows times blocks."""
     rows = df.select(key, F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l"))
-    n = rows.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"more than {max_rows} rows")
-    blocks = max(1, -(-n // 2_000))
+    blocks = max(1, -(-rows.count() // SILHOUETTE_ROWS))
     side = F.pmod(F.xxhash64(key), F.lit(blocks))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.select(F.lit(True).alias("asks"), key, "v", "l", side.alias("i"), F.explode(every).alias("j"))

@@ -245,20 +245,70 @@ def agreement(labels: DataFrame, a: str, b: str) -> DataFrame:
     return row.select(ari.alias("ari"), nmi.alias("nmi"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_edges: int = 2_000_000) -> DataFrame:
-    """(id, community): greedy modularity, one level after another, on the driver over sorted arrays (about 50 bytes an
-    edge). For graphs of a checked size: more than ``max_edges`` distinct edges raise an error (use components or label
-    propagation there)."""
-    rows = edges.select("src", "dst").distinct().limit(max_edges + 1).toArrow()
-    if rows.num_rows > max_edges:
-        raise ValueError(f"more than {max_edges} edges")
-    src, dst = (rows.column(c).to_numpy().astype(np.int64) for c in ("src", "dst"))
-    del rows
-    src, dst = src[src != dst], dst[src != dst]
-    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    ids, half = names, len(src)
-    codes = np.unique(np.concatenate([ends[:half] * len(names) + ends[half:], ends[half:] * len(names) + ends[:half]]))
-    value = np.ones(len(codes))
+#: Links that the driver may hold for the sequential part of ``louvain`` (about 50 bytes a link).
+DRIVER_LINKS = 2_000_000
+#: Rounds of moves on one level of the distributed part.
+MOVES = 12
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, driver_links: int = DRIVER_LINKS) -> DataFrame:
+    """(id, community): greedy modularity, one level after another.
+
+    A graph of more than ``driver_links`` distinct links is first moved and contracted level by level on the cluster (see
+    ``_moved``) until it fits; what then fits is moved vertex by vertex, in order, over sorted arrays on the driver.
+    RuntimeError if moves no longer contract a graph that does not fit.
+    """
+    pairs = both_ways(edges.where("src <> dst"))
+    links = checkpointed(pairs.select("a", "b", F.lit(1.0).alias("w")))
+    members = None  # (id, v): where a vertex stands on the current level
+    while True:
+        n = links.count()
+        if n <= 2 * driver_links:
+            break
+        to = _moved(links, resolution)
+        members = to.select(F.col("v").alias("id"), F.col("c").alias("v")) if members is None else checkpointed(members.join(to, "v").select("id", F.col("c").alias("v")))
+        one, two = to.select(F.col("v").alias("a"), F.col("c").alias("ca")), to.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+        links = checkpointed(links.join(one, "a").join(two, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        if links.count() > 0.95 * n:
+            raise RuntimeError(f"{n} links do not contract any further")
+    last = _greedy(links, resolution)
+    return last.select(F.col("v").alias("id"), F.col("c").alias("community")) if members is None else members.join(last, "v").select("id", F.col("c").alias("community"))
+
+
+def _moved(links: DataFrame, resolution: float) -> DataFrame:
+    """(v, c): communities after rounds of moves over weighted links (a, b, w), both ways, with loops. In each round a
+    hashed half of the vertices moves to the neighbouring community of the highest gain, so that neighbours rarely swap."""
+    weights = checkpointed(links.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")))
+    m2 = weights.agg(F.sum("k")).first()[0]
+    own = checkpointed(weights.select("v", "k", F.col("v").alias("c")))
+    for turn in range(MOVES):
+        total = own.groupBy("c").agg(F.sum("k").alias("t"))
+        near = links.where("a <> b").join(own.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
+        stay = own.select("v", "c", F.lit(0.0).alias("w"))  # a vertex may always stay
+        choices = near.unionByName(stay).groupBy("v", "c").agg(F.sum("w").alias("w"))
+        here = own.select("v", "k", F.col("c").alias("home"))
+        rest = F.col("t") - F.when(F.col("c") == F.col("home"), F.col("k")).otherwise(0.0)
+        gain = F.col("w") - F.lit(resolution) * rest * F.col("k") / F.lit(m2)
+        scored = choices.join(here, "v").join(total, "c").withColumn("gain", gain)
+        best = scored.groupBy("v", "k", "home").agg(F.max_by("c", F.struct("gain", (F.col("c") == F.col("home")).alias("same"), (-F.col("c")).alias("o"))).alias("best"))
+        mine = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
+        moved = checkpointed(best.select("v", "k", F.when(mine, F.col("best")).otherwise(F.col("home")).alias("c"), (mine & (F.col("best") != F.col("home"))).alias("went")))
+        went = moved.where("went").count()
+        own = moved.select("v", "k", "c")
+        if turn > 0 and went == 0:
+            break
+    return own.select("v", "c")
+
+
+def _greedy(links: DataFrame, resolution: float) -> DataFrame:
+    """(v, c): moves in the order of vertices, level after level, on the driver; ``links`` as in ``_moved``."""
+    spark = links.sparkSession
+    rows = links.orderBy("a", "b").toArrow()
+    ends = [rows.column(c).to_numpy().astype(np.int64) for c in "ab"]
+    value = rows.column("w").to_numpy().astype(float)
+    names, flat = np.unique(np.concatenate(ends), return_inverse=True)
+    ids, half = names, len(ends[0])
+    codes = flat[:half] * len(names) + flat[half:]
     member = np.arange(len(names))
     while len(names):
         size = len(names)
@@ -294,4 +344,4 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_edges: int = 2_000_00
         value = np.bincount(at, value)
         if len(kept) == size:
             break
-    return edges.sparkSession.createDataFrame(list(zip(ids.tolist(), names[member].tolist())), "id bigint, community bigint")
+    return spark.createDataFrame(list(zip(ids.tolist(), names[member].tolist())), "v bigint, c bigint")

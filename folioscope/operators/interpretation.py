@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.vocabulary import relevance, top_terms
+from folioscope.session import checkpointed
 
 # The two ways to filter topics by their most relevant terms.
 N_HOT, VOCAB_MASK = "n_hot", "vocab_mask"
@@ -72,16 +73,17 @@ def representatives(coords: np.ndarray, clusters: list[int], rounds: int = 100,
     return chosen
 
 
-def trajectory(knn: DataFrame, start: int, end: int, max_edges: int = 1_000_000) -> tuple[float, list[int]]:
+def trajectory(knn: DataFrame, start: int, end: int, driver_edges: int = 1_000_000) -> tuple[float, list[int]]:
     """(length, topics) of the shortest path between two topics over neighbour distances (i, j, distance), both ways; (inf,
-    []) if there is none. The neighbour graph of topics is small; more than ``max_edges`` rows raise an error."""
-    rows = knn.select("i", "j", "distance").limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges")
-    near: dict[int, dict[int, float]] = {}
+    []) if there is none. Up to ``driver_edges`` rows the heap on the driver finds it, beyond them rounds of joins do."""
+    both = knn.select("i", "j", "distance").unionByName(knn.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+    links = both.groupBy("i", "j").agg(F.min("distance").alias("distance"))
+    rows = links.limit(2 * driver_edges + 1).collect()
+    if len(rows) > 2 * driver_edges:
+        return _relaxed(links, start, end)
+    near: dict[int, list[tuple[int, float]]] = {}
     for i, j, d in rows:
-        for a, b in ((i, j), (j, i)):
-            near.setdefault(a, {})[b] = min(d, near.get(a, {}).get(b, math.inf))
+        near.setdefault(i, []).append((j, d))
     best, come, heap = {start: 0.0}, {}, [(0.0, start)]
     while heap:
         length, v = heapq.heappop(heap)
@@ -92,13 +94,34 @@ def trajectory(knn: DataFrame, start: int, end: int, max_edges: int = 1_000_000)
             return length, path[::-1]
         if length > best[v]:
             continue
-        for u, d in near.get(v, {}).items():
+        for u, d in near.get(v, ()):
             if length + d < best.get(u, math.inf):
                 best[u], come[u] = length + d, v
                 heapq.heappush(heap, (length + d, u))
     return math.inf, []
 
 
+def _relaxed(links: DataFrame, start: int, end: int) -> tuple[float, list[int]]:
+    """Shortest path by rounds: every topic whose length fell offers its neighbours a path; no longer path than the best
+    one to ``end`` is followed."""
+    kind = dict(links.dtypes)["i"]
+    links = checkpointed(links)
+    best = front = checkpointed(links.sparkSession.createDataFrame([(start, 0.0, [start])], f"v {kind}, length double, path array<{kind}>"))
+    limit = 0.0 if start == end else math.inf
+    while True:
+        offered = front.join(links, front["v"] == links["i"]).select(F.col("j").alias("v"), (F.col("length") + F.col("distance")).alias("length"), F.concat("path", F.array("j")).alias("path"))
+        offered = offered.where(F.col("length") < limit).groupBy("v").agg(F.min_by("path", "length").alias("path"), F.min("length").alias("length"))
+        old = best.select("v", F.col("length").alias("old"))
+        front = checkpointed(offered.join(old, "v", "left").where("old IS NULL OR length < old").select("v", "length", "path"))
+        if front.limit(1).count() == 0:
+            break
+        best = checkpointed(best.join(front.select("v"), "v", "left_anti").unionByName(front))
+        done = best.where(F.col("v") == end).select("length").first()
+        limit = done[0] if done else limit
+    found = best.where(F.col("v") == end).first()
+    return (found["length"], list(found["path"])) if found else (math.inf, [])
+
+
 def spaced_pairs(hops: DataFrame, edges: DataFrame, vectors: DataFrame, metric) -> DataFrame:
     """(source, id, hops, distance) along the longest shortest path of each source: its farthest vertex (the smallest id
     of those) and all vertices between, found backwards by hops."""

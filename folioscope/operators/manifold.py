@@ -7,19 +7,42 @@ joins over sparse topics, and only what is bounded by a checked number of topics
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.session import checkpointed
+
 #: Topics whose square matrix the driver may hold.
 MAX_TOPICS = 4_000
 
 
+#: Entries of one group of terms in ``hellinger_pairs``.
+GROUP_ENTRIES = 2_000_000
+
+
 def hellinger_pairs(topics: DataFrame) -> DataFrame:
     """(i, j, distance), i < j, of sparse topics (topic, term, p) that share a term: sqrt(1 - sum sqrt(p q)) with each
-    topic divided by its sum. Pairs that share none have distance 1 and no row."""
-    norm = topics.where("p > 0").withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("topic")))
-    a, b = norm.select(F.col("topic").alias("i"), "term", F.col("p").alias("p")), norm.select(F.col("topic").alias("j"), "term", F.col("p").alias("q"))
-    met = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.sqrt(F.col("p") * F.col("q"))).alias("bc"))
+    topic divided by its sum. Pairs that share none have distance 1 and no row.
+
+    Terms are spread over groups of about GROUP_ENTRIES entries. A group multiplies its part of the topics as one numpy
+    matrix and gives one number per pair of topics, so a term that all topics hold makes no rows of its own.
+    """
+    norm = checkpointed(topics.where("p > 0").select("topic", "term", (F.col("p") / F.sum("p").over(Window.partitionBy("topic"))).alias("p")))
+    groups = max(1, -(-norm.count() // GROUP_ENTRIES))
+    kind = dict(norm.dtypes)["topic"]
+
+    def gram(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, names = pd.factorize(frame["topic"], sort=True)
+        columns = pd.factorize(frame["term"])[0]
+        x = np.zeros((len(names), columns.max() + 1), dtype=np.float64)
+        x[rows, columns] = np.sqrt(frame["p"].to_numpy())
+        product = np.triu(x @ x.T, 1)
+        i, j = np.nonzero(product)
+        return pd.DataFrame({"i": np.asarray(names)[i], "j": np.asarray(names)[j], "bc": product[i, j]})
+
+    spread = norm.withColumn("group", F.pmod(F.xxhash64("term"), F.lit(groups)))
+    met = spread.groupBy("group").applyInPandas(gram, f"i {kind}, j {kind}, bc double").groupBy("i", "j").agg(F.sum("bc").alias("bc"))
     return met.select("i", "j", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("bc"))).alias("distance"))
 
 

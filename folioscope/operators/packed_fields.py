@@ -7,11 +7,13 @@ the final removal of repeated rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.bind import let
+
 # Marks of a placeholder. An input that holds MARK itself is escaped with ESCAPE first, so a
 # placeholder (MARK, digits, CLOSE) can never be confused with what stood in the input.
 MARK, CLOSE, ESCAPE = "\ue000", "\ue001", "\ue002"
@@ -36,11 +38,6 @@ def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\u000b\f\r\u00a0\u200b\ufeff"))
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with ``value`` computed once per row, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _mask(text: Column, span: str) -> Column:
     """Struct of ``masked``, the text with the i-th match of ``span`` replaced by placeholder i, and ``spans``, the
     matches. The pattern must not match "", else split and extract would disagree."""
@@ -64,7 +61,7 @@ def _restore(value: Column, spans: Column) -> Column:
         )
         return F.array_join(pieces, "")
 
-    filled = _let(F.regexp_extract_all(value, F.lit(place), F.lit(1)), put)
+    filled = let(F.regexp_extract_all(value, F.lit(place), F.lit(1)), put)
     return F.when(value.contains(MARK), filled).otherwise(value)
 
 
@@ -92,7 +89,7 @@ def _finish(parts: Column, spans: Column) -> Column:
     """Restored, trimmed, unquoted and non-empty values in their order."""
 
     def value(v: Column) -> Column:
-        bare = _let(_trim(_restore(v, spans)), _unquote)
+        bare = let(_trim(_restore(v, spans)), _unquote)
         return _trim(F.replace(bare, F.lit(MARK + ESCAPE), F.lit(MARK)))
 
     return F.filter(F.transform(parts, value), lambda v: v != "")
@@ -106,7 +103,7 @@ def _open(field: Column) -> Column:
         body = F.when(listed, _trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
         return F.when(F.lower(body).isin(PLACEHOLDERS), F.lit("")).otherwise(body)
 
-    return _let(_trim(F.replace(F.coalesce(field, F.lit("")), F.lit(MARK), F.lit(MARK + ESCAPE))), inner)
+    return let(_trim(F.replace(F.coalesce(field, F.lit("")), F.lit(MARK), F.lit(MARK + ESCAPE))), inner)
 
 
 def split_names(field: Column) -> Column:
@@ -147,7 +144,7 @@ def split_names(field: Column) -> Column:
             fits = fits & ~F.exists(flat, lambda p: p.rlike(rf"(?i)^(?:{ends})\.?$"))
             return F.when(fits, pairs).otherwise(by_soft)
 
-        return F.when(F.size(by_soft) == 1, _let(flat, choose)).otherwise(by_soft)
+        return F.when(F.size(by_soft) == 1, let(flat, choose)).otherwise(by_soft)
 
     def by_pieces(masked: Column, spans: Column, pieces: Column) -> Column:
         quoted = F.flatten(F.transform(pieces, lambda p: F.split(p, rf"\s*,\s*(?={MARK})|(?<={CLOSE})\s*,\s*", -1)))
@@ -156,18 +153,18 @@ def split_names(field: Column) -> Column:
         def unquoted(listed: Column) -> Column:
             by_comma = F.flatten(F.transform(F.split(masked, comma, -1), lambda p: soft(p, soft_full)))
             comma_list = (F.size(listed) > 1) & F.forall(listed, full)
-            return F.when(comma_list, by_comma).otherwise(_let(by_soft, lambda names: paired(masked, names)))
+            return F.when(comma_list, by_comma).otherwise(let(by_soft, lambda names: paired(masked, names)))
 
-        one = _let(F.filter(F.split(masked, comma, -1), lambda p: _trim(p) != ""), unquoted)
+        one = let(F.filter(F.split(masked, comma, -1), lambda p: _trim(p) != ""), unquoted)
         parts = F.when(F.size(spans) > 0, quoted).when(F.size(pieces) > 1, by_soft).otherwise(one)
         return _finish(parts, spans)
 
     def split(m: Column) -> Column:
         pieces = F.filter(F.split(m["masked"], hard, -1), lambda p: _trim(p) != "")
-        return _let(pieces, lambda p: by_pieces(m["masked"], m["spans"], p))
+        return let(pieces, lambda p: by_pieces(m["masked"], m["spans"], p))
 
     none = F.array().cast("array<string>")
-    return _let(_open(field), lambda text: F.when(text == "", none).otherwise(_let(_mask(text, _QUOTED_LIST), split)))
+    return let(_open(field), lambda text: F.when(text == "", none).otherwise(let(_mask(text, _QUOTED_LIST), split)))
 
 
 def _known_pattern(known: Iterable[str]) -> str:
@@ -190,7 +187,7 @@ def split_codes(field: Column, known: Iterable[str]) -> Column:
     def split(m: Column) -> Column:
         return _finish(F.split(m["masked"], r"[,;|\s]+", -1), m["spans"])
 
-    return _let(_open(field), lambda text: F.when(text == "", none).otherwise(_let(_mask(text, span), split)))
+    return let(_open(field), lambda text: F.when(text == "", none).otherwise(let(_mask(text, span), split)))
 
 
 def unpack_fields(df: DataFrame, key: str, fields: dict[str, Column], least: int = 1) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.numbering import numbered
+from folioscope.session import checkpointed
+
 
 def _entropy(p: Column) -> Column:
     return F.sum(F.when(p > 0, -p * F.log2(p)).otherwise(0.0))
@@ -66,28 +71,89 @@ def ranked(scores: DataFrame, key: str, n: int | None = None) -> DataFrame:
 
 
 def top_percent(scores: DataFrame, key: str, percent: float = 5.0) -> DataFrame:
-    """The first max(1, floor(n * percent / 100)) rows by score. The cut is found with a limit, so no single task sorts
-    all rows."""
+    """The first max(1, floor(n * percent / 100)) rows by score, ties by key. Rows are numbered over ranges of scores, so
+    no task sorts or gathers more than one range, however many rows a percent is."""
     n = scores.count()
-    return ranked(scores, key, max(1, int(n * percent / 100))) if n else scores
-
-
-def kendall_tau(a: DataFrame, b: DataFrame, key: str, max_cells: int = 20_000) -> DataFrame:
-    """One row ``tau``: tau-b of the scores of common keys, null where one of them has no order. Keys with the same two
-    scores are one cell with its count, so rankings by counts cost little however many keys they have. Exact over pairs of
-    cells, worked in blocks; more than ``max_cells`` distinct score pairs raise an error."""
-    common = a.select(key, F.col("score").alias("x")).join(b.select(key, F.col("score").alias("y")), key)
-    cells = common.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    if cells.limit(max_cells + 1).count() > max_cells:
-        raise ValueError(f"more than {max_cells} distinct pairs of scores")
-    block, every = F.pmod(F.xxhash64("x", "y"), F.lit(16)), F.sequence(F.lit(0), F.lit(15))
-    one = cells.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n").alias("n1"), block.alias("b1"), F.explode(every).alias("b2"))
-    two = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), F.explode(every).alias("b1"), block.alias("b2"))
-    dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    w = F.col("n1") * F.col("n2")
-    # every pair of cells comes twice, which the ratio does not see
-    sums = one.join(two, ["b1", "b2"]).agg(F.sum(w * dx * dy).alias("s"), F.sum(w * dx * dx).alias("nx"), F.sum(w * dy * dy).alias("ny"))
-    return sums.select(F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+    if not n:
+        return scores
+    return numbered(scores, [F.desc("score"), key], "__rank").where(F.col("__rank") < max(1, int(n * percent / 100))).select(*scores.columns)
+
+
+#: Bounds of score ranges; the driver holds the square of twice as many numbers.
+TAU_RANGES = 128
+
+
+def _weighted_order(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Sum over pairs of sign(dx) sign(dy) n n', by bits of the rank of y: in O(m log m), nothing is paired."""
+    order = np.lexsort((y, x))
+    x, n = x[order], n[order]
+    rank = np.unique(y[order], return_inverse=True)[1]
+    # rows of equal x stand together and must not count against each other: their pairs are taken off again
+    return _below_minus_above(rank, n) - _below_minus_above(rank, n, np.unique(x, return_inverse=True)[1])
+
+
+def _below_minus_above(rank: np.ndarray, n: np.ndarray, group: np.ndarray | None = None) -> float:
+    """Over pairs i < j (within a group): n_i n_j for rank_i < rank_j, minus the same for rank_i > rank_j."""
+    total = 0.0
+    group = np.zeros(len(rank), np.int64) if group is None else group
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        # pairs that differ first in this bit share all higher ones
+        _, part = np.unique(np.stack([group, rank >> (bit + 1)]), axis=1, return_inverse=True)
+        part = part.reshape(-1)
+        order = np.argsort(part, kind="stable")
+        one = ((rank[order] >> bit) & 1).astype(bool)
+        w, p = n[order], part[order]
+        first = np.r_[True, p[1:] != p[:-1]]
+        before = []
+        for mask in (~one, one):
+            c = np.cumsum(np.where(mask, w, 0.0)) - np.where(mask, w, 0.0)
+            before.append(c - np.maximum.accumulate(np.where(first, c, 0.0)))
+        total += float((w * np.where(one, before[0], -before[1])).sum())
+    return total
+
+
+def kendall_tau(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row ``tau``: tau-b of the scores of common keys, null where one of them has no order.
+
+    Exact for any number of keys. Keys with the same two scores are one cell with its count. Both scores are cut into
+    ranges (TAU_RANGES quantiles, a frequent score being a range of its own). Pairs of cells in different ranges of both
+    scores come from a table of ranges by ranges; those in one range of x, and those in one range of y but not of x, are
+    counted within that range, by sorting.
+    """
+    common = a.select(key, F.col("score").cast("double").alias("x")).join(b.select(key, F.col("score").cast("double").alias("y")), key)
+    cells = checkpointed(common.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    shares = [i / TAU_RANGES for i in range(1, TAU_RANGES)]
+    for c in "xy":
+        bounds = sorted(set(cells.approxQuantile(c, shares, 1 / (4 * TAU_RANGES)))) if cells.take(1) else []
+        known = F.array(*[F.lit(float(v)) for v in bounds]).cast("array<double>")
+        below = F.size(F.filter(known, lambda v: v < F.col(c)))  # noqa: B023
+        cells = cells.withColumn(f"r{c}", 2 * below + F.array_contains(known, F.col(c)).cast("int"))
+    size = 2 * TAU_RANGES + 2
+    table = np.zeros((size, size))
+    for rx, ry, n in cells.groupBy("rx", "ry").agg(F.sum("n")).collect():  # at most size * size rows
+        table[rx, ry] = n
+    # all ranges below and to the left, minus all above and to the left
+    left = np.vstack([np.zeros(size), np.cumsum(table, axis=0)[:-1]])
+    lower = np.hstack([np.zeros((size, 1)), np.cumsum(left, axis=1)[:, :-1]])
+    upper = left.sum(axis=1, keepdims=True) - lower - left
+    apart = float((table * (lower - upper)).sum())
+
+    def inside(one: str, two: str):
+        def count(frame: pd.DataFrame) -> pd.DataFrame:
+            x, y = frame[one].to_numpy(), frame[two].to_numpy()
+            return pd.DataFrame({"s": [_weighted_order(x, y, frame["n"].to_numpy())]})
+
+        return count
+
+    # a range with a single score holds no ordered pair
+    by_x = cells.where(F.col("rx") % 2 == 0).select("rx", "x", "y", "n").groupBy("rx").applyInPandas(inside("x", "y"), "s double")
+    by_y = cells.where(F.col("ry") % 2 == 0).select("ry", "rx", "y", "n").groupBy("ry", "rx", "y").agg(F.sum("n").alias("n")).groupBy("ry").applyInPandas(inside("rx", "y"), "s double")
+    within = by_x.unionByName(by_y).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    every = cells.agg(F.sum("n").alias("t"))
+    ties = [cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias(f"t{c}")) for c in "xy"]
+    row = within.join(F.broadcast(every)).join(F.broadcast(ties[0])).join(F.broadcast(ties[1]))  # one row each
+    pairs = [(F.col("t") * F.col("t") - F.col(f"t{c}")) / 2 for c in "xy"]
+    return row.select(F.try_divide(F.col("s") + apart, F.sqrt(pairs[0] * pairs[1])).alias("tau"))
 
 
 def unseen_links(candidates: DataFrame, known: DataFrame) -> DataFrame:

@@ -43,12 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: what spark.checkpoint.dir names, else (tests, local mode) a local one."""
+    """The shared checkpoint folder: what spark.checkpoint.dir names. Where it is unset, local mode (tests) gets a folder of
+    its own and a cluster an error, since a folder of one machine would be lost with it."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        path = tempfile.mkdtemp(prefix="folioscope-")
     context.setCheckpointDir(path)
     return path
 
