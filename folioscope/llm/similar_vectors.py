@@ -39,7 +39,7 @@ WIDTH, THRESHOLD = 1.6, 0.6
 ROUNDS = (0.25, 1.0)
 #: Query-member places counted at once.
 STEP = 2_000_000
-#: Vectors of a leaf, sample vectors the tree is fitted on (those with the smallest hashes), and fewest of them in a leaf.
+#: Vectors of a leaf, vectors the tree is fitted on (up to twice as many, by hash), and fewest of them in a leaf.
 LEAF_VECTORS, SAMPLE, LEAF_SAMPLE = 1_000, 20_000, 12
 #: Margin of a query at a cut in radii. Two vectors at the radius that are parted by a cut lie together at most one
 #: radius from it, so 0.5 loses nothing; vectors of 64 dimensions differ along one line by an eighth of their
@@ -47,6 +47,8 @@ LEAF_VECTORS, SAMPLE, LEAF_SAMPLE = 1_000, 20_000, 12
 MARGIN = 0.125
 #: Lines tried at each node.
 CANDIDATES = 12
+#: Links that are broadcast with a vector each to get their exact distances; beyond it the tables are shuffled.
+BROADCAST_LINKS = 50_000
 #: Queries of one group of work in a leaf that many vectors travel to.
 BLOCK_QUERIES = 20_000
 
@@ -223,8 +225,8 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
             v[i, : len(x)] = np.sqrt(x)
         return v
 
-    drawn = classes.orderBy("class").limit(SAMPLE).select(F.transform("v", lambda x: x.cast("float")).alias("v"))
-    sample = unit(drawn.toPandas()["v"])  # at most SAMPLE vectors
+    drawn = classes.where(F.pmod("class", F.lit(max(1, total // SAMPLE))) == 0).select(F.transform("v", lambda x: x.cast("float")).alias("v"))
+    sample = unit(drawn.toPandas()["v"])  # about SAMPLE vectors, whatever their number
     leaf = max(LEAF_SAMPLE, LEAF_VECTORS * len(sample) // max(1, total))
     tree = fit_tree(sample, leaf, MARGIN * radius, seed)
 
@@ -270,18 +272,19 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
 
     second = asks.unionByName(held).groupBy("leaf", "group").applyInPandas(other_leaf, "class bigint, near bigint, distance double")
     links = checkpointed(links.unionByName(second))  # read in both directions below
-    # both ways: what a finds b must also know; each class is its own neighbour at distance 0
+    # both ways: what a finds b must also know
     both = links.unionByName(links.select(F.col("near").alias("class"), F.col("class").alias("near"), "distance"))
     both = both.groupBy("class", "near").agg(F.min("distance").alias("distance"))
-    itself = classes.select("class", F.col("class").alias("near"), F.lit(0.0).alias("distance"))
-    nearest = Window.partitionBy("class").orderBy("distance", "near")
+    nearest = Window.partitionBy("class").orderBy("distance")
     # k + 1 classes are enough only by distance, so ties at the last distance are kept
-    kept = both.withColumn("r", F.rank().over(Window.partitionBy("class").orderBy("distance"))).where(F.col("r") <= k + 1).drop("r")
-    kept = kept.unionByName(itself)
-    shared = kept.join(classes.select("class", F.col("v").alias("p")), "class").join(classes.select(F.col("class").alias("near"), F.col("v").alias("q")), "near")
+    kept = both.withColumn("r", F.rank().over(nearest)).where(F.col("r") <= k + 1).select("class", "near")
+    small = F.broadcast if links.count() <= BROADCAST_LINKS else lambda df: df
+    one = classes.select("class", F.col("v").alias("p")).join(small(kept), "class")
+    two = classes.select(F.col("class").alias("near"), F.col("v").alias("q")).join(small(one), "near")
     bc = F.aggregate(F.zip_with("p", "q", lambda a, b: F.sqrt(a * b)), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    exact = F.when(F.col("class") == F.col("near"), F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - bc)))
-    kept = shared.select("class", "near", exact.alias("distance")).where(F.col("distance") <= max_distance)
+    kept = two.select("class", "near", F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - bc)).alias("distance")).where(F.col("distance") <= max_distance)
+    # each class is its own neighbour at distance 0
+    kept = kept.unionByName(classes.select("class", F.col("class").alias("near"), F.lit(0.0).alias("distance")))
     pairs = rows.select("key", "class").join(kept, "class").join(
         targets.select(F.col("class").alias("near"), F.col("key").alias("other")), "near"
     ).where("key <> other")
