@@ -25,29 +25,35 @@ PLACEHOLDERS = ["-", "--", "?", ".", "n/a", "na", "n.a.", "none", "null", "nil",
 PARTICLES = ["van", "von", "der", "den", "de", "la", "le", "du", "da", "di", "del", "ten", "ter", "zu", "zum", "af", "av"]
 SUFFIXES = ["Jr", "Sr", "II", "III", "IV", "PhD", "MD"]
 
-_EDGE = r"\s\[\],;|/"
-_QUOTED = (
-    rf'(?<=^|[;,|/\t\n\r\[]\s{{0,8}})(?:"(?:[^"]++|"")*+")(?=\s*(?:$|[;,|/\t\n\r\]]))'
-)
-_QUOTED_LIST = (
-    rf"(?<=^|[;,|/\t\n\r\[]\s{{0,8}})(?:\"(?:[^\"]++|\"\")*+\"|'(?:[^']++|'(?!\s*(?:$|[,;\]])))*+')(?=\s*(?:$|[;,|/\t\n\r\]]))"
-)
+# What stands before a quoted span: the start of the field or a separator with any blanks. It is part of the match, and
+# a ";" takes its place. After an inner bracket, which stays, there may be a few blanks only.
+_BEFORE = r"(?:(?:^|[;,|\t\n\r]|\s/)\s*+|(?<=\[\s{0,8}))"
+_AFTER = r"(?=\s*(?:$|[;,|/\t\n\r\]]))"
+_QUOTED_LIST = rf"{_BEFORE}(\"(?:[^\"]++|\"\")*+\"|'(?:[^']++|'(?!\s*(?:$|[,;\]])))*+'){_AFTER}"
 
 
 def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\u000b\f\r\u00a0\u200b\ufeff"))
 
 
-def _mask(text: Column, span: str) -> Column:
-    """Struct of ``masked``, the text with the i-th match of ``span`` replaced by placeholder i, and ``spans``, the
-    matches. The pattern must not match "", else split and extract would disagree."""
-    pieces = F.transform(
-        F.split(text, span, -1),
-        lambda piece, i: F.when(i == 0, piece).otherwise(
-            F.concat(F.lit(MARK), (i - 1).cast("string"), F.lit(CLOSE), piece)
-        ),
-    )
-    return F.struct(F.array_join(pieces, "").alias("masked"), F.regexp_extract_all(text, F.lit(span), F.lit(0)).alias("spans"))
+def _mask(text: Column, span: str, groups: int) -> Column:
+    """Struct of ``masked``, the text with the i-th match of ``span`` replaced by placeholder i, and ``spans``, what the
+    matches hold: group 1 (quoted; a ";" goes before its placeholder) or group 2. The pattern must not match "", else
+    split and extract would disagree."""
+    quoted = F.regexp_extract_all(text, F.lit(span), F.lit(1))
+    listed = F.regexp_extract_all(text, F.lit(span), F.lit(2)) if groups > 1 else quoted
+
+    def put(q: Column) -> Column:
+        pieces = F.transform(
+            F.split(text, span, -1),
+            lambda piece, i: F.when(i == 0, piece).otherwise(
+                F.concat(F.when(F.get(q, i - 1) != "", ";").otherwise(""), F.lit(MARK), (i - 1).cast("string"), F.lit(CLOSE), piece)
+            ),
+        )
+        spans = F.zip_with(q, listed, lambda a, b: F.when(a != "", a).otherwise(b))
+        return F.struct(F.array_join(pieces, "").alias("masked"), spans.alias("spans"))
+
+    return let(quoted, put)
 
 
 def _restore(value: Column, spans: Column) -> Column:
@@ -116,16 +122,34 @@ def split_names(field: Column) -> Column:
     Null gives an empty array, as do blank fields and placeholders such as "N/A".
     """
     hard = r"[\r\n\t;|]+(?!\s*Section\s+[A-Z0-9]\b)|\s+/\s+"
-    word = rf"[^\s;|,/&{MARK}]{{1,60}}"
-    name_left = rf"(?<=(?:^|[\s,])(?!and\s|AND\s|&\s){word},?\s{{1,3}}{word})"
-    # between full names ("A B and C D"), and between "Last, First" names
-    soft_full = rf"(?:(?<=,)\s+|{name_left},?\s+)(?:and|AND|&)\s+(?={word}\s{{1,3}}(?!and\s|AND\s|&\s|/){word})"
-    soft_last = rf"{name_left}\s+(?:and|AND|&)\s+(?={word},?\s{{1,3}}(?!and\s|AND\s|&\s|/){word})"
+    word = rf"[^\s;|,/&{MARK}]++"
+    link = r"\s+(?:and|AND|&)\s+"
+    two_before = rf"(?:^|[\s,])(?!and\s|AND\s|&\s){word},?\s+{word}"
     comma = r"\s*,\s*(?:(?:and|AND|&)\s+)?"
     ends = "|".join(SUFFIXES)
 
-    def soft(p: Column, pattern: str) -> Column:
-        return F.when(p.rlike(r"\s(?:and|AND|&)\s"), F.split(p, pattern, -1)).otherwise(F.array(p))
+    def soft(p: Column, left: str, right: str) -> Column:
+        """Parts at each "and" between texts that end like ``left`` and begin like ``right``; elsewhere it stays."""
+
+        def fold(x: Column) -> Column:
+            def step(done: Column, i: Column) -> Column:
+                before, after = F.get(x["parts"], i - 1), F.get(x["parts"], i)
+                whole = F.concat(F.element_at(done, -1), F.get(x["links"], i - 1), after)
+                names = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.regexp_replace(F.element_at(done, -1), r",\s*$", ""), after))
+                return F.when(before.rlike(left) & after.rlike(right), names).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(whole)))
+
+            return F.aggregate(F.sequence(F.lit(1), F.size(x["links"])), F.array(F.get(x["parts"], F.lit(0))), step)
+
+        split = let(F.struct(F.split(p, link, -1).alias("parts"), F.regexp_extract_all(p, F.lit(link), F.lit(0)).alias("links")), fold)
+        return F.when(p.rlike(link), split).otherwise(F.array(p))
+
+    def soft_full(p: Column) -> Column:
+        """Between full names ("A B and C D")."""
+        return soft(p, rf"(?:,|{two_before},?)$", rf"^{word}\s+(?!/){word}")
+
+    def soft_last(p: Column) -> Column:
+        """Between "Last, First" names as well."""
+        return soft(p, rf"{two_before}$", rf"^{word},?\s+(?!/){word}")
 
     def full(p: Column) -> Column:
         return (_words(p) >= 2) | p.contains(MARK)
@@ -148,10 +172,10 @@ def split_names(field: Column) -> Column:
 
     def by_pieces(masked: Column, spans: Column, pieces: Column) -> Column:
         quoted = F.flatten(F.transform(pieces, lambda p: F.split(p, rf"\s*,\s*(?={MARK})|(?<={CLOSE})\s*,\s*", -1)))
-        by_soft = F.flatten(F.transform(pieces, lambda p: soft(p, soft_last)))
+        by_soft = F.flatten(F.transform(pieces, soft_last))
 
         def unquoted(listed: Column) -> Column:
-            by_comma = F.flatten(F.transform(F.split(masked, comma, -1), lambda p: soft(p, soft_full)))
+            by_comma = F.flatten(F.transform(F.split(masked, comma, -1), soft_full))
             comma_list = (F.size(listed) > 1) & F.forall(listed, full)
             return F.when(comma_list, by_comma).otherwise(let(by_soft, lambda names: paired(masked, names)))
 
@@ -164,7 +188,7 @@ def split_names(field: Column) -> Column:
         return let(pieces, lambda p: by_pieces(m["masked"], m["spans"], p))
 
     none = F.array().cast("array<string>")
-    return let(_open(field), lambda text: F.when(text == "", none).otherwise(let(_mask(text, _QUOTED_LIST), split)))
+    return let(_open(field), lambda text: F.when(text == "", none).otherwise(let(_mask(text, _QUOTED_LIST, 1), split)))
 
 
 def _known_pattern(known: Iterable[str]) -> str:
@@ -181,13 +205,13 @@ def split_codes(field: Column, known: Iterable[str]) -> Column:
     and placeholders give an empty array.
     """
     protected = _known_pattern(known)
-    span = _QUOTED_LIST + (rf"|(?<![\p{{L}}\p{{N}}])(?:{protected})(?![\p{{L}}\p{{N}}])" if protected else "")
+    span = _QUOTED_LIST + (rf"|(?<![\p{{L}}\p{{N}}])({protected})(?![\p{{L}}\p{{N}}])" if protected else "")
     none = F.array().cast("array<string>")
 
     def split(m: Column) -> Column:
         return _finish(F.split(m["masked"], r"[,;|\s]+", -1), m["spans"])
 
-    return let(_open(field), lambda text: F.when(text == "", none).otherwise(let(_mask(text, span), split)))
+    return let(_open(field), lambda text: F.when(text == "", none).otherwise(let(_mask(text, span, 2 if protected else 1), split)))
 
 
 def unpack_fields(df: DataFrame, key: str, fields: dict[str, Column], least: int = 1) -> DataFrame:

@@ -27,6 +27,11 @@ NAMES = [
     ("Ashe R&D Survey", ["Ashe R&D Survey"]),
     ("Roe, Ann", ["Roe, Ann"]),
     (" Ann Roe ", ["Ann Roe"]),
+    ('"Roe, Ann";' + " " * 30 + '"Doe; Co"', ["Roe, Ann", "Doe; Co"]),
+    ("Ann Roe and Bob" + " " * 9 + "Doe", ["Ann Roe", "Bob" + " " * 9 + "Doe"]),
+    ("A" * 90 + " Roe and Bob " + "D" * 90, ["A" * 90 + " Roe", "Bob " + "D" * 90]),
+    ("River and Lake Institute and Ann Roe", ["River and Lake Institute", "Ann Roe"]),
+    ("Ann Roe,  and Bob Doe and Cid Poe", ["Ann Roe", "Bob Doe", "Cid Poe"]),
     ("N/A", []), ("-", []), ("", []), ("  \t", []), (";", []), (None, []),
 ]
 CODES = [
