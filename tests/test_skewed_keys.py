@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from folioscope.operators.current import current_rows
 from folioscope.operators.skewed_keys import heavy_keys, key_counts, key_results
 
@@ -54,3 +56,16 @@ def test_current_rows(spark):
     t = lambda d: dt.datetime(2020, 1, d)
     df = spark.createDataFrame([(1, "a", t(1)), (1, "b", t(3)), (1, "b", t(3)), (2, None, t(5)), (2, "x", t(4)), (None, "n", t(9)), (3, "only", None)], "k int, v string, ts timestamp")
     assert {tuple(r) for r in current_rows(df, "k", "ts", ["v"]).collect()} == {(1, "b"), (2, None), (3, "only")}
+
+
+@pytest.mark.parametrize("keys", [0, 1_000_000])
+def test_current_wide_rows(spark, monkeypatch, keys):
+    from folioscope.operators import current
+
+    monkeypatch.setattr(current, "BROADCAST_KEYS", keys)
+    t = lambda d: dt.datetime(2020, 1, d)
+    rows = [(1, t(1), ["a"]), (1, t(3), ["b"]), (1, t(3), ["b"]), (2, None, ["c"]), (2, t(1), None), (3, t(1), None), (None, t(1), ["x"]), (4, None, ["y"]), (4, None, ["y"])]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, v array<string>").repartition(3)
+    wide, plain = current.current_wide_rows(df, "k", "ts", ["v"]), current.current_rows(df, "k", "ts", ["v"])
+    assert sorted(map(str, wide.collect())) == sorted(map(str, plain.collect())) and wide.count() == 4
+    assert current.current_wide_rows(df.limit(0), "k", "ts", ["v"]).count() == 0
