@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import cooccurrence, frequency, markup, mixing, name_variants, similar_vectors, tokens, toxicity
-from folioscope.operators.current import current_rows
+from folioscope.operators.current import current_rows, current_wide_rows
 from folioscope.session import table
 
 
@@ -56,16 +56,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = _papers(spark, sf_dir, ["preprocessed_text"])
-    counts, total = frequency.ngram_counts(papers, "paper_id", frequency.normalised_terms(F.col("preprocessed_text")))
+    papers = current_wide_rows(table(spark, sf_dir, "papers"), "paper_id", "ingested_at", ["preprocessed_text"])
+    counts, total = frequency.ngram_counts(papers, frequency.normalised_terms(F.col("preprocessed_text")))
     marked = frequency.term_marks(counts, total).where(F.col("mark").isNotNull())
     return marked.select(F.get("ngram", F.lit(0)).alias("term"), "mark")
 
 
 def p7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all terms and pairs of neighbouring terms."""
-    papers = _papers(spark, sf_dir, ["preprocessed_text"])
-    counts, total = frequency.ngram_counts(papers, "paper_id", frequency.normalised_terms(F.col("preprocessed_text")), 2)
+    papers = current_wide_rows(table(spark, sf_dir, "papers"), "paper_id", "ingested_at", ["preprocessed_text"])
+    counts, total = frequency.ngram_counts(papers, frequency.normalised_terms(F.col("preprocessed_text")), 2)
     return frequency.term_marks(counts, total).select(F.array_join("ngram", "\t").alias("ngram"), "occurrences", "records", "mark")
 
 

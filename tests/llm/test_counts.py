@@ -72,14 +72,36 @@ def test_ngrams(spark):
     docs = [rng.choice([None, [], ["", None]]) if i % 12 == 0 else [rng.choice(["a", "A ", "\ta", "b", "c d", "", None, rng.choice("xyz")]) for _ in range(rng.randint(1, 12))] for i in range(200)]
     df = spark.createDataFrame([(i, t, 1, "q") for i, t in enumerate(docs)], "paper_id int, t array<string>, n int, suffix string").repartition(4)
     for n in (1, 2, 3):
-        counts, total = fr.ngram_counts(df, "paper_id", fr.normalised_terms(F.col("t")), n)
+        counts, total = fr.ngram_counts(df, fr.normalised_terms(F.col("t")), n)
         want, number = brute_ngrams(docs, n)
         assert {tuple(r.ngram): (r.occurrences, r.records) for r in counts.collect()} == want and total == number
-    marked = {r.ngram[0]: r.mark for r in fr.term_marks(*fr.ngram_counts(df, "paper_id", fr.normalised_terms(F.col("t")))).collect()}
+    marked = {r.ngram[0]: r.mark for r in fr.term_marks(*fr.ngram_counts(df, fr.normalised_terms(F.col("t")))).collect()}
     one, number = brute_ngrams(docs, 1)
     assert marked == {g[0]: "rare" if v[1] <= 2 else "common" if v[1] > 0.3 * number else None for g, v in one.items()}
 
 
 def test_ngrams_empty(spark):
-    counts, total = fr.ngram_counts(spark.createDataFrame([], "paper_id int, t array<string>"), "paper_id", fr.normalised_terms(F.col("t")), 2)
+    counts, total = fr.ngram_counts(spark.createDataFrame([], "paper_id int, t array<string>"), fr.normalised_terms(F.col("t")), 2)
     assert counts.count() == 0 and total == 0
+
+
+def test_tables_that_are_full(spark, monkeypatch):
+    monkeypatch.setattr(fr, "TABLE_SUFFIXES", 5)
+    rng = random.Random(4)
+    docs = [[rng.choice("abcdefg") for _ in range(rng.randint(0, 15))] for _ in range(80)]
+    merged = collections.Counter()
+    for n in (1, 3):
+        tables = list(fr._runs(iter(docs), n))
+        assert len(tables) > 10
+        merged = collections.Counter()
+        for t in tables:
+            for k, v in t.items():
+                merged[k] += v[0]
+        assert merged[()] == sum(map(bool, docs)) and sum(v for k, v in merged.items() if k) == sum(map(len, docs))
+
+
+def test_the_stack_adds_up_equal_suffixes():
+    suffixes = [["b", "a"], ["b", "a"], ["b"], ["a", "c"], ["a", "b"], ["a", "b"], ["a"]]
+    batch = fr.pa.RecordBatch.from_arrays([fr.pa.array(suffixes), fr.pa.array([1, 2, 3, 1, 1, 1, 1]), fr.pa.array([[1, 1], [2, 2], [1, 0], [1, 1], [0, 1], [1, 1], [1, 0]])], ["s", "n", "f"])
+    got = {tuple(g): (n, r) for out in fr._stack(iter([batch])) for g, n, r in zip(*(out.column(i).to_pylist() for i in range(3)))}
+    assert got == {("b", "a"): (3, 3), ("b",): (6, 4), ("a", "c"): (1, 1), ("a", "b"): (2, 2), ("a",): (4, 3)}
