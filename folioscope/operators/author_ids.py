@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import name_ngrams, standard_name
@@ -75,14 +75,50 @@ def name_leaders(names: DataFrame, threshold: float = 0.9) -> DataFrame:
     return names.select("name").join(takers, "name", "left").select("name", F.coalesce("leader", "name").alias("leader"))
 
 
-def author_map(names: DataFrame, threshold: float = 0.9, digits: int = 7) -> DataFrame:
+def author_map(names: DataFrame, threshold: float = 0.9, digits: int = 7, known: DataFrame | None = None) -> DataFrame:
     """(name, leader, author_id): ids of at least ``digits`` digits, the same for the same set of names. They follow the
-    leaders' order."""
-    leaders = name_leaders(names, threshold)
-    ids = numbered(leaders.select("leader").distinct(), ["leader"], "author_id", 10 ** (digits - 1))
+    leaders' order. With ``known``, an earlier map, its names are kept, a group with known names has the smallest of their
+    ids, and new ids begin after the largest one."""
+    every = names.select("name") if known is None else names.select("name").unionByName(known.select("name")).distinct()
+    leaders = checkpointed(name_leaders(checkpointed(every), threshold))
+    first = 10 ** (digits - 1)
+    if known is None:
+        ids = numbered(leaders.select("leader").distinct(), ["leader"], "author_id", first)
+        return leaders.join(ids, "leader").select("name", "leader", "author_id")
+    old = leaders.join(known.select("name", "author_id"), "name", "left").groupBy("leader").agg(F.min("author_id").alias("old"))
+    top = known.agg(F.max("author_id")).first()[0]
+    ids = numbered(old.where("old IS NULL").select("leader"), ["leader"], "author_id", max(first, (top or 0) + 1))
+    ids = ids.unionByName(old.where("old IS NOT NULL").select("leader", F.col("old").alias("author_id")))
     return leaders.join(ids, "leader").select("name", "leader", "author_id")
 
 
+def sync_map(mapping: DataFrame, observed: DataFrame) -> DataFrame:
+    """(name, leader, author_id) after a look at ids that documents have (name, author_id; nulls ignored): pairs that the map
+    lacks are added, names of ids that no document has are dropped, and a name that has several ids keeps the smallest.
+    Without any observed id the map stays as it is."""
+    seen = observed.where("name IS NOT NULL AND author_id IS NOT NULL").select("name", "author_id").distinct()
+    if seen.limit(1).count() == 0:
+        return mapping.select("name", "leader", "author_id")
+    kept = mapping.select("name", "author_id").join(seen.select("author_id").distinct(), "author_id", "left_semi").select("name", "author_id")
+    pairs = kept.unionByName(seen).groupBy("name").agg(F.min("author_id").alias("author_id"))
+    leaders = pairs.groupBy("author_id").agg(F.min("name").alias("leader"))
+    return pairs.join(leaders, "author_id").select("name", "leader", "author_id")
+
+
+def save_map(mapping: DataFrame, path: str) -> None:
+    mapping.select("name", "leader", "author_id").write.mode("overwrite").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str) -> DataFrame:
+    """A saved map; ValueError where columns are missing or a name stands there twice."""
+    mapping = spark.read.parquet(path)
+    if not {"name", "leader", "author_id"} <= set(mapping.columns):
+        raise ValueError(f"{path} is no author map")
+    if mapping.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"{path} has a name twice")
+    return mapping.select("name", "leader", "author_id")
+
+
 def assign_author_ids(papers: DataFrame, mapping: DataFrame, doc: str = "paper_id", names: str = "author_names", most: int = 20) -> DataFrame:
     """(doc, author_ids): ids of a document's names in their order; names that cannot be matched are left out, documents
     with more than ``most`` names get an empty list."""

@@ -105,3 +105,22 @@ def leaf_groups(dist: DataFrame, groups: DataFrame) -> DataFrame:
     """(author_id, leaf, p): an author's mass per group of topics (topic, leaf), divided by its sum."""
     s = dist.join(groups, "topic").groupBy("author_id", "leaf").agg(F.sum("p").alias("p"))
     return s.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("author_id")))
+
+
+def cut_groups(closure: DataFrame, cells: DataFrame) -> DataFrame:
+    """(topic, leaf): the cell (see ``truncate``) that each topic lies in."""
+    return closure.join(cells.select("node"), "node").select(F.col("leaf").alias("topic"), F.col("node").alias("leaf"))
+
+
+def link_table(closure: DataFrame, nodes: DataFrame, cells: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """(i, j, p), both ways and with the diagonal: link probability of two cells (the leaves of a cut tree, column node),
+    which is that of the smallest node above both, or of the cell itself on the diagonal. ``probabilities``: see
+    ``link_probabilities``; nodes without a row, such as single topics, have 0. Bounded by the square of the cells."""
+    # any node above one topic of each of two cells is above both cells
+    topic = closure.join(cells.select("node"), "node").groupBy(F.col("node").alias("cell")).agg(F.min("leaf").alias("leaf"))
+    above = topic.join(closure, "leaf").join(nodes.select("node", "leaves"), "node").select("cell", "node", "leaves")
+    one, two = above.select(F.col("cell").alias("i"), "node", "leaves"), above.select(F.col("cell").alias("j"), "node")
+    common = one.join(two, "node").where("i <> j").groupBy("i", "j").agg(F.min_by("node", F.struct("leaves", "node")).alias("node"))
+    own = cells.select(F.col("node").alias("i"), F.col("node").alias("j"), "node")
+    known = probabilities.select("node", F.col("probability").alias("p"))
+    return common.unionByName(own).join(known, "node", "left").select("i", "j", F.coalesce("p", F.lit(0.0)).alias("p"))

@@ -167,6 +167,40 @@ def documents_of(papers: DataFrame, authors: DataFrame, doc: str = "paper_id", b
     return papers.join(wanted, doc, "left_semi")
 
 
+def documents_within(papers: DataFrame, edges: DataFrame, authors: DataFrame, doc: str = "paper_id", by: str = "author_ids") -> tuple[DataFrame, DataFrame]:
+    """(papers, edges) of chosen authors (column author_id): documents with at least one of them, and the links between two
+    of them."""
+    ids = authors.select("author_id").distinct()
+    kept = edges
+    for end in ("src", "dst"):
+        kept = kept.join(ids.select(F.col("author_id").alias(end)), end, "left_semi")
+    return documents_of(papers, ids, doc, by), kept.select(*edges.columns)
+
+
+def authors_by_degree(edges: DataFrame, least: int, most: int) -> DataFrame:
+    """(author_id) with a number of co-authors within the limits."""
+    return degrees(edges).where(F.col("degree").between(least, most)).select(F.col("id").alias("author_id"))
+
+
+def authors_by_component(edges: DataFrame, sizes: tuple[int, int] | None = None, densities: tuple[float, float] | None = None) -> DataFrame:
+    """(author_id) in connected components whose size and density lie within the limits, if given."""
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    labels = components(edges)
+    kept = component_density(edges, labels)
+    if sizes is not None:
+        kept = kept.where(F.col("vertices").between(*sizes))
+    if densities is not None:
+        kept = kept.where(F.col("density").between(*densities))
+    return labels.join(kept.select("component"), "component", "left_semi").select(F.col("id").alias("author_id"))
+
+
+def authors_connected_with(edges: DataFrame, authors: DataFrame) -> DataFrame:
+    """(author_id) of everybody in the connected components of the given authors (column author_id)."""
+    labels = components(edges)
+    chosen = labels.join(authors.select(F.col("author_id").alias("id")), "id", "left_semi").select("component").distinct()
+    return labels.join(chosen, "component", "left_semi").select(F.col("id").alias("author_id"))
+
+
 def propagate_labels(edges: DataFrame, fixed: DataFrame) -> DataFrame:
     """(id, label): synchronous majority labels from fixed ones (id, label), until nothing changes. Unlabelled
     neighbours do not vote; ties go to the smaller label; vertices that no label reaches are left out. Where two

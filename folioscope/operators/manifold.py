@@ -195,35 +195,94 @@ def potential_embedding(d: np.ndarray, n: int = 2, knn: int = 5, decay: float =
     return classical_scaling(np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * potential @ potential.T, 0)), n)
 
 
-def smooth_path(points: np.ndarray, axis: int = 0, second: int = 1, n: int = 10, tolerance: float = 0.05) -> list[int]:
-    """Indices of a walk along ``axis`` in ``n`` steps: at each step, among points within ``tolerance`` of the axis' range,
-    the one farthest up the second axis that was not taken before; steps without a point are left out."""
-    x = points[:, axis]
+def _near_extreme(x: np.ndarray, how: str, slack: float) -> np.ndarray:
+    """Which values lie within ``slack`` of the largest ("max") or smallest ("min"); all for another word."""
+    if how == "max":
+        return x >= x.max() - slack
+    return x <= x.min() + slack if how == "min" else np.ones(len(x), bool)
+
+
+def smooth_path(
+    points: np.ndarray, axis: int = 0, second: int = 1, third: int | None = None, n: int = 10, second_method: str = "max",
+    second_range: tuple[float, float] | None = None, third_method: str = "max", tolerance: float = 0.05, step_tolerance: float = 0.5,
+) -> list[int]:
+    """Indices of a walk along ``axis`` in ``n`` steps, refined by ``refined_path``.
+
+    At each step the points within ``tolerance`` of the axis' range are taken; of them those near the overall largest or
+    smallest value of the second axis (``tolerance`` of its range), or within its percentiles ``second_range``
+    ("percentile"); of them the first one near the extreme of the third axis among them, at both ends the extreme itself.
+    Steps without a point are left out. Without a third axis (two-dimensional points) the second one takes its part.
+    """
+    third = (2 if points.shape[1] > 2 else second) if third is None else third
+    x, y, z = points[:, axis], points[:, second], points[:, third]
     grid = np.linspace(x.min(), x.max(), n)
-    band = tolerance * (x.max() - x.min())
+    if second_method == "percentile" and second_range is not None:
+        low, high = np.percentile(y, second_range)
+        allowed = (y >= low) & (y <= high)
+    else:
+        allowed = _near_extreme(y, second_method, tolerance * (y.max() - y.min()))
     path: list[int] = []
-    for g in grid:
-        near = [i for i in np.flatnonzero(np.abs(x - g) <= band) if i not in path]
-        if near:
-            path.append(int(max(near, key=lambda i: (points[i, second], -i))))
-    return path
+    for step, g in enumerate(grid):
+        chosen = np.flatnonzero((np.abs(x - g) <= tolerance * (x.max() - x.min())) & allowed)
+        if len(chosen):
+            slack = 0.0 if step in (0, n - 1) else tolerance * (z[chosen].max() - z[chosen].min())
+            path.append(int(chosen[_near_extreme(z[chosen], third_method, slack)][0]))
+    return refined_path(points, path, step_tolerance)
 
 
 def refined_path(points: np.ndarray, path: list[int], tolerance: float = 0.5, rounds: int = 100) -> list[int]:
     """Interior points farther from the midpoint of their neighbours than ``tolerance`` times the neighbours' distance are
-    replaced by the point nearest that midpoint, until nothing changes or ``rounds`` are over."""
+    replaced by the point nearest that midpoint if it lies within that radius, until nothing changes or ``rounds`` are
+    over. Any point may be taken, a neighbour too, so an index can come twice."""
     path = list(path)
     for _ in range(rounds):
-        changed = False
+        before = list(path)
         for k in range(1, len(path) - 1):
             a, b = points[path[k - 1]], points[path[k + 1]]
-            middle = (a + b) / 2
-            if np.linalg.norm(points[path[k]] - middle) > tolerance * np.linalg.norm(b - a):
-                order = np.argsort(np.linalg.norm(points - middle, axis=1), kind="stable")
-                new = next((int(i) for i in order if i not in path), path[k])
-                if np.linalg.norm(points[new] - middle) < np.linalg.norm(points[path[k]] - middle):
-                    path[k] = new
-                    changed = True
-        if not changed:
+            away = np.linalg.norm(points - (a + b) / 2, axis=1)
+            radius = tolerance * np.linalg.norm(b - a)
+            if away[path[k]] > radius and away.min() <= radius:
+                path[k] = int(away.argmin())
+        if path == before:
             break
     return path
+
+
+def hellinger_between(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(i, j, distance): of every topic of ``left`` and every one of ``right`` (both topic, term, p) that share a term; the
+    others have distance 1 and no row."""
+    tagged = [
+        df.where("p > 0").select(F.lit(side).alias("side"), "topic", "term", (F.col("p") / F.sum("p").over(Window.partitionBy("topic"))).alias("p"))
+        for side, df in ((True, left), (False, right))
+    ]
+    both = checkpointed(tagged[0].unionByName(tagged[1]))
+    groups = max(1, -(-both.count() // GROUP_ENTRIES))
+    kind = dict(both.dtypes)["topic"]
+
+    def product(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(at=pd.factorize(frame["term"])[0])
+        sides = []
+        for side in (True, False):
+            part = frame[frame["side"] == side]
+            rows, names = pd.factorize(part["topic"], sort=True)
+            x = np.zeros((len(names), frame["at"].max() + 1))
+            x[rows, part["at"].to_numpy()] = np.sqrt(part["p"].to_numpy())
+            sides.append((x, np.asarray(names)))
+        dot = sides[0][0] @ sides[1][0].T
+        i, j = np.nonzero(dot)
+        return pd.DataFrame({"i": sides[0][1][i], "j": sides[1][1][j], "bc": dot[i, j]})
+
+    spread = both.withColumn("group", F.pmod(F.xxhash64("term"), F.lit(groups)))
+    met = spread.groupBy("group").applyInPandas(product, f"i {kind}, j {kind}, bc double").groupBy("i", "j").agg(F.sum("bc").alias("bc"))
+    return met.select("i", "j", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("bc"))).alias("distance"))
+
+
+def placed_points(distances: np.ndarray, coords: np.ndarray, knn: int = 5, decay: float = 40.0) -> np.ndarray:
+    """Coordinates of new points in a fitted embedding: the mean of their nearest fitted points, weighted by the kernel of
+    ``potential_embedding``. ``distances``: new by fitted; a new point at distance 0 gets the fitted one's place.
+    ValueError without fitted points."""
+    if not len(coords):
+        raise ValueError("nothing is fitted")
+    width = np.sort(distances, axis=1)[:, [min(knn, len(coords)) - 1]] + 1e-12
+    weights = np.exp(-((distances / width) ** decay)) / (distances / width + 1e-9)
+    return weights @ coords / weights.sum(axis=1, keepdims=True)

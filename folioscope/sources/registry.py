@@ -102,6 +102,27 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return ends.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted names in a folder of any file system that the cluster knows; empty if there is no such folder."""
+    files, where = _files(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def discover(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the files of a folder that a reader is registered for."""
+    return [f"{folder}/{n}" for n in list_files(spark, folder) if PurePosixPath(n).suffix in _READERS]
+
+
 def load(
     spark: SparkSession, paths: str | list[str], mapping: dict[str, str] | None = None, filters: dict | None = None,
     entry: T.StructType | None = None, strict: bool = False, keep: list[str] | None = None,

@@ -41,5 +41,31 @@ def write_graphml(edges: DataFrame, path: str) -> None:
     graphml_lines(edges).write.mode("overwrite").text(path)
 
 
+def convert_graph(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> bool:
+    """One GraphML file rewritten with sorted ends and ids made of them; whether it was written (an existing target stays
+    unless ``overwrite``)."""
+    from folioscope.sources.registry import exists, read_graph
+
+    if exists(spark, target) and not overwrite:
+        return False
+    write_graphml(read_graph(spark, source), target)
+    return True
+
+
+def convert_graphs(spark: SparkSession, folder: str, prefix: str = "viz_", overwrite: bool = False) -> list[str]:
+    """Every GraphML file of a folder that has not the prefix, written beside it with the prefix; the names written."""
+    from folioscope.sources.registry import list_files
+
+    names = [n for n in list_files(spark, folder) if n.endswith(".graphml") and not n.startswith(prefix)]
+    return [prefix + n for n in names if convert_graph(spark, f"{folder}/{n}", f"{folder}/{prefix}{n}", overwrite)]
+
+
+def graph_to_pairs(spark: SparkSession, source: str, target: str) -> None:
+    """The links of a GraphML file as tab-separated pairs."""
+    from folioscope.sources.registry import read_graph
+
+    write_pairs(read_graph(spark, source), target)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -88,3 +88,35 @@ def test_streams(spark, tmp_path):
     papers.write.parquet(str(tmp_path / "pp"))
     live = streams.read_events(spark, str(tmp_path / "pp"), "*.parquet", papers.schema)
     assert {tuple(r) for r in streams.incremental_edges(live, str(tmp_path / "e"), str(tmp_path / "c")).collect()} == {(1, 2, 2), (1, 3, 1), (2, 3, 1)}
+
+
+def test_pipeline_to_the_end_and_back(spark, lines, tmp_path):
+    folder = str(tmp_path / "run")
+    settings = Settings(months=60, docs_per_topic=10, rounds=3, high=1.0, low=0, cut=0.5, smallest_cluster=1, alpha=0.2, eta=0.1)
+    p = Pipeline.from_files(spark, lines, settings, folder, MAPPING)
+    topics = p.get("models.phi").select("topic").distinct().count()
+    assert p.get("embedding").count() == topics and p.get("tree.closure").where(f"node = {2 * topics - 2}").count() == topics
+    cells = {r.node for r in p.get("links.cells").collect()}
+    table = {(r.i, r.j): r.p for r in p.get("links.table").collect()}
+    assert set(table) == {(a, b) for a in cells for b in cells} and all(abs(table[a, b] - table[b, a]) < 1e-12 for a, b in table)
+    assert p.get("links.scores").count() == p.get("network").count()
+    assert p.get("diffused_docs").select("doc_id").distinct().count() == 40 and p.get("doc_scores").count() == 40
+    p.get("documents")
+    again = Pipeline.restore(spark, folder)
+    assert again.settings == settings and again.status()["links"] and again.get("network").count() == p.get("network").count()
+    again.configure(cut=0.9)
+    assert not again.status()["tree"] and again.status()["models"] and not (tmp_path / "run/tree_linkage").exists() and (tmp_path / "run/models_phi").exists()
+    assert Pipeline.restore(spark, folder).settings.cut == 0.9
+    with pytest.raises(Exception):
+        Pipeline.restore(spark, str(tmp_path / "nothing"))
+
+
+def test_files_of_a_folder(spark, lines, tmp_path):
+    e = spark.createDataFrame([(2, 1), (3, 1)], "src bigint, dst bigint")
+    (tmp_path / "graphs").mkdir()
+    (tmp_path / "graphs/a.graphml").write_text("\n".join(r.value for r in sinks.graphml_lines(e).collect()))
+    folder = str(tmp_path / "graphs")
+    assert sinks.convert_graphs(spark, folder) == ["viz_a.graphml"] and sinks.convert_graphs(spark, folder) == []
+    sinks.graph_to_pairs(spark, f"{folder}/viz_a.graphml", str(tmp_path / "pairs"))
+    assert spark.read.csv(str(tmp_path / "pairs"), sep="\t").count() == 2
+    assert registry.discover(spark, str(tmp_path)) == [lines] and registry.discover(spark, str(tmp_path / "none")) == []

@@ -50,7 +50,7 @@ def test_embedding_and_path():
     assert np.allclose(np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1)), d, atol=1e-6)
     assert mf.potential_embedding(d, 2).shape == (40, 2) and mf.principal_axes(x, 2).shape == (40, 2)
     path = mf.smooth_path(x, n=8, tolerance=0.2)
-    assert len(path) == len(set(path)) and len(mf.refined_path(x, path)) == len(path)
+    assert len(path) <= 8 and mf.refined_path(x, path) == path  # a neighbour itself may take a point's place
 
 
 def test_tree_tables(spark):
