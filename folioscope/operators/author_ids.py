@@ -127,6 +127,13 @@ def assign_author_ids(papers: DataFrame, mapping: DataFrame, doc: str = "paper_i
     return papers.select(doc).join(ids, doc, "left").select(doc, F.coalesce(F.col("a.author_id"), F.array().cast("array<bigint>")).alias("author_ids"))
 
 
+def id_names(papers: DataFrame, doc: str = "paper_id", ids: str = "author_ids", names: str = "author_names") -> DataFrame:
+    """(author_id, papers, names): documents of each id and its distinct names, names[i] belonging to ids[i]. An id without a
+    name at its place (a shorter list, a null) counts for documents but gives no name."""
+    rows = papers.select(doc, F.explode(F.arrays_zip(F.col(ids).alias("i"), F.col(names).alias("n"))).alias("a")).where("a.i IS NOT NULL")
+    return rows.groupBy(F.col("a.i").alias("author_id")).agg(F.count_distinct(doc).alias("papers"), F.count_distinct("a.n").alias("names"))
+
+
 def mapping_stats(mapping: DataFrame) -> DataFrame:
     """One row: names, authors, mean and largest number of names of an author."""
     per = mapping.groupBy("author_id").agg(F.count(F.lit(1)).alias("n"))

@@ -81,6 +81,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
 
 
+def two_hop_pairs(edges: DataFrame, hub: int = 100) -> DataFrame:
+    """(src, dst) that are not linked but share a co-author with at most ``hub`` links, each once: candidates for new links.
+    What two people have in common through somebody whom everybody knows says little, and its pairs would grow with the
+    square of the links; ``hub`` is part of what a candidate is."""
+    pairs = checkpointed(both_ways(edges))
+    low = pairs.join(degrees(edges).where(F.col("degree") <= hub).select(F.col("id").alias("a")), "a", "left_semi")
+    met = low.select("a", F.col("b").alias("src")).join(low.select("a", F.col("b").alias("dst")), "a").where("src < dst").select("src", "dst").distinct()
+    return met.join(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"], "left_anti")
+
+
 def hyperedges(papers: DataFrame, doc: str = "paper_id", authors: str = "author_ids") -> DataFrame:
     """(doc, members, size): the sorted authors of each document that has any."""
     ids = F.array_sort(F.array_distinct(F.array_compact(F.col(authors))))

@@ -16,12 +16,14 @@ from folioscope.session import checkpointed
 N_HOT, VOCAB_MASK = "n_hot", "vocab_mask"
 
 
-def filtered_topics(phi: DataFrame, n: int = 100, lam: float = 0.6, how: str = N_HOT) -> DataFrame:
+def filtered_topics(phi: DataFrame, n: int = 100, lam: float = 0.6, how: str = N_HOT, digits: int = 9) -> DataFrame:
     """(topic, term, p): ``n_hot`` keeps each topic's own n most relevant terms, ``vocab_mask`` keeps in every topic the
-    terms that are relevant for any; each topic is divided by its sum."""
+    terms that are relevant for any; each topic is divided by its sum. Relevance is compared to ``digits`` places, ties by
+    term."""
     if how not in (N_HOT, VOCAB_MASK):
         raise ValueError(f"unknown filter {how!r}")
-    best = top_terms(relevance(phi.select("topic", "term", F.col("p").alias("weight")), lam), n).select("topic", "term")
+    scores = relevance(phi.select("topic", "term", F.col("p").alias("weight")), lam)
+    best = top_terms(scores.withColumn("relevance", F.round("relevance", digits)), n).select("topic", "term")
     on = ["topic", "term"] if how == N_HOT else ["term"]
     kept = phi.join(best if how == N_HOT else best.select("term").distinct(), on, "left_semi")
     return kept.select("topic", "term", (F.col("p") / F.sum("p").over(Window.partitionBy("topic"))).alias("p"))
@@ -34,9 +36,10 @@ def author_term_distribution(author_topic: DataFrame, topics: DataFrame) -> Data
     return s.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("author_id")))
 
 
-def cluster_words(phi: DataFrame, clusters: DataFrame, n: int = 40) -> DataFrame:
-    """(cluster, term, p, rank): mean probability of a term over the topics of a cluster that have it, the n best."""
-    mean = phi.join(clusters, "topic").where("p > 0").groupBy("cluster", "term").agg(F.avg("p").alias("p"))
+def cluster_words(phi: DataFrame, clusters: DataFrame, n: int = 40, digits: int = 9) -> DataFrame:
+    """(cluster, term, p, rank): mean probability of a term over the topics of a cluster that have it, to ``digits`` places,
+    the n best, ties by term."""
+    mean = phi.join(clusters, "topic").where("p > 0").groupBy("cluster", "term").agg(F.round(F.avg("p"), digits).alias("p"))
     return top_terms(mean, n, "p", "cluster")
 
 
@@ -122,18 +125,81 @@ def _relaxed(links: DataFrame, start: int, end: int) -> tuple[float, list[int]]:
     return (found["length"], list(found["path"])) if found else (math.inf, [])
 
 
-def spaced_pairs(hops: DataFrame, edges: DataFrame, vectors: DataFrame, metric) -> DataFrame:
-    """(source, id, hops, distance) along the longest shortest path of each source: its farthest vertex (the smallest id
-    of those) and all vertices between, found backwards by hops."""
-    from folioscope.operators.graph import both_ways
-
-    far = hops.groupBy("source").agg(F.max_by("id", F.struct("hops", (-F.col("id")).alias("m"))).alias("id"), F.max("hops").alias("hops"))
-    pairs = both_ways(edges)
-    path = at = far.where("hops > 0")
-    for _ in range(int(far.agg(F.max("hops")).first()[0] or 0)):
-        back = at.join(pairs, at["id"] == pairs["a"]).select("source", F.col("b").alias("id"), (F.col("hops") - 1).alias("hops"))
-        on_path = back.join(hops, ["source", "id", "hops"], "left_semi").where("hops > 0")
-        at = on_path.groupBy("source", "hops").agg(F.min("id").alias("id")).select("source", "id", "hops")
-        path = path.unionByName(at)
-    known = path.distinct().join(vectors.select("id", "v"), "id").join(vectors.select(F.col("id").alias("source"), F.col("v").alias("sv")), "source")
+def disjoint_longest_paths(edges: DataFrame, vectors: DataFrame, metric, samples: int = 10_000, seed: int = 0, driver_links: int = 2_000_000) -> DataFrame:
+    """(source, id, hops, distance) along long shortest paths that share no link: from a vertex drawn by a seeded generator
+    a shortest path to one of the farthest vertices is taken, the vertices on it are paired with its source, and its
+    links are removed; again until ``samples`` pairs are found or no link is left. ``vectors``: id, v; pairs without both
+    vectors give no row.
+
+    One path hangs on those before it, so they follow one another; up to ``driver_links`` links each is found on sorted
+    arrays in the driver, beyond them by joins (see ``graph.hop_distances``)."""
+    spark = edges.sparkSession
+    pairs = checkpointed(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    found = _paths_on_arrays(pairs, samples, seed) if pairs.count() <= driver_links else _paths_by_joins(pairs, samples, seed)
+    rows = spark.createDataFrame(found, "source bigint, id bigint, hops int")
+    known = rows.join(vectors.select("id", "v"), "id").join(vectors.select(F.col("id").alias("source"), F.col("v").alias("sv")), "source")
     return known.select("source", "id", "hops", metric("sv", "v").alias("distance"))
+
+
+def _paths_on_arrays(pairs: DataFrame, samples: int, seed: int) -> list[tuple[int, int, int]]:
+    table = pairs.orderBy("src", "dst").toArrow()
+    ends = [table.column(c).to_numpy().astype(np.int64) for c in ("src", "dst")]
+    names, flat = np.unique(np.concatenate(ends), return_inverse=True)
+    half = len(ends[0])
+    a, b = np.concatenate([flat[:half], flat[half:]]), np.concatenate([flat[half:], flat[:half]])
+    order = np.lexsort((b, a))
+    a, b, link = a[order], b[order], np.tile(np.arange(half), 2)[order]
+    begin = np.searchsorted(a, np.arange(len(names) + 1))
+    alive = np.ones(half, bool)
+    rng = np.random.default_rng(seed)
+    out: list[tuple[int, int, int]] = []
+    while len(out) < samples and alive.any():
+        # a vertex without links left would only find itself
+        source = int(rng.choice(np.unique(a[alive[link]])))
+        came = np.full(len(names), -1)  # the place in the arrays by which a vertex was reached
+        seen = np.zeros(len(names), bool)
+        seen[source] = True
+        front = np.array([source])
+        last = front
+        while len(front):
+            last = front
+            n = begin[front + 1] - begin[front]
+            places = np.repeat(begin[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            places = places[alive[link[places]]]
+            places = places[~seen[b[places]]]
+            front, at = np.unique(b[places], return_index=True)
+            seen[front] = True
+            came[front] = places[at]
+        v = int(rng.choice(last))
+        path = []
+        while v != source:
+            path.append(v)
+            alive[link[came[v]]] = False
+            v = int(a[came[v]])
+        out += [(int(names[source]), int(names[x]), hops + 1) for hops, x in enumerate(path[::-1])]
+    return out[:samples]
+
+
+def _paths_by_joins(pairs: DataFrame, samples: int, seed: int) -> list[tuple[int, int, int]]:
+    from folioscope.operators.graph import both_ways, hop_distances
+
+    spark = pairs.sparkSession
+    out: list[tuple[int, int, int]] = []
+    turn = 0
+    while len(out) < samples:
+        first = pairs.orderBy(F.xxhash64("src", "dst", F.lit(seed), F.lit(turn))).first()
+        if first is None:
+            break
+        source = first["src"]
+        hops = hop_distances(pairs, spark.createDataFrame([(source,)], "source bigint"))
+        far = hops.orderBy(F.desc("hops"), F.xxhash64("id", F.lit(turn)), "id").first()
+        path, links = [far["id"]], both_ways(pairs)
+        for hop in range(far["hops"] - 1, -1, -1):  # one row a hop
+            back = links.where(F.col("a") == path[-1]).join(hops.where(F.col("hops") == hop).select(F.col("id").alias("b")), "b").agg(F.min("b")).first()
+            path.append(back[0])
+        path = path[::-1]
+        out += [(source, v, i + 1) for i, v in enumerate(path[1:])]
+        gone = spark.createDataFrame([(min(x), max(x)) for x in zip(path, path[1:])], "src bigint, dst bigint")
+        pairs = checkpointed(pairs.join(F.broadcast(gone), ["src", "dst"], "left_anti"))  # as many rows as the path has links
+        turn += 1
+    return out[:samples]

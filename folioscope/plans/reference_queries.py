@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import schema
+from folioscope.functions import collections as col
 from folioscope.functions import text as tx
 from folioscope.functions import vectors as vec
 from folioscope.operators import author_ids as aid
@@ -122,13 +123,17 @@ def schema_projection(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT DISTINCT entry_id, coalesce(
   try_cast(CASE WHEN regexp_matches(d, '^\d{4}-\d{2}-\d{2}[T ]') THEN substr(d, 1, 10) WHEN regexp_full_match(d, '\d{4}-\d{2}-\d{2}') THEN d END AS DATE),
   CAST(try_strptime(CASE WHEN regexp_full_match(d, '\d{4}/\d{2}/\d{2}') THEN d END, '%Y/%m/%d') AS DATE),
-  CAST(try_strptime(CASE WHEN regexp_full_match(d, '\d{1,2}\.\d{1,2}\.\d{4}') THEN d END, '%d.%m.%Y') AS DATE)) AS day
-FROM (SELECT entry_id, trim(date) AS d FROM raw_entries)
-WHERE regexp_matches(d, '^\d{4}-\d{2}-\d{2}([T ]|$)') OR regexp_full_match(d, '\d{4}/\d{2}/\d{2}') OR regexp_full_match(d, '\d{1,2}\.\d{1,2}\.\d{4}')""")
+  CAST(try_strptime(CASE WHEN regexp_full_match(d, '\d{1,2}\.\d{1,2}\.\d{4}') THEN d END, '%d.%m.%Y') AS DATE),
+  CAST(try_strptime(CASE WHEN regexp_full_match(d, '\d{2}/\d{2}/\d{4}') THEN d END, '%d/%m/%Y') AS DATE),
+  CAST(try_strptime(CASE WHEN regexp_full_match(d, '\d{8}') THEN d END, '%Y%m%d') AS DATE),
+  CAST(try_strptime(CASE WHEN regexp_full_match(d, '[A-Z][a-z]{2} \d{1,2}, \d{4}') THEN d END, '%b %d, %Y') AS DATE),
+  CAST(try_strptime(CASE WHEN regexp_full_match(d, '\d{1,2} [A-Z][a-z]{2} \d{4}') THEN d END, '%d %b %Y') AS DATE),
+  CAST(try_strptime(CASE WHEN regexp_full_match(d, '[A-Z][a-z]+ \d{1,2}, \d{4}') THEN d END, '%B %d, %Y') AS DATE),
+  CAST(try_strptime(CASE WHEN regexp_full_match(d, '\d{1,2} [A-Z][a-z]+ \d{4}') THEN d END, '%d %B %Y') AS DATE)) AS day
+FROM (SELECT entry_id, trim(date) AS d FROM raw_entries)""")
 def flexible_dates(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "raw_entries").select("entry_id", F.trim("date").alias("t"), "date")
-    some = raw.where(F.col("t").rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)|^\d{4}/\d{2}/\d{2}$|^\d{1,2}\.\d{1,2}\.\d{4}$"))
-    return some.select("entry_id", tx.any_date("date").alias("day")).distinct()
+    """Every entry; a date in none of the accepted forms is null."""
+    return table(spark, d, "raw_entries").select("entry_id", tx.any_date("date").alias("day")).distinct()
 
 
 @query(f"""WITH {CUR} SELECT count_if(ok) AS valid_rows, count_if(NOT ok) AS invalid_rows, min(date) AS first_date, max(date) AS last_date
@@ -160,13 +165,10 @@ def year_author_filter(spark: SparkSession, d: str) -> DataFrame:
     return fl.year_and_authors(p, 2000, 2015, hot).select("paper_id")
 
 
-@query(f"""WITH {CUR} SELECT author_id, count(DISTINCT paper_id) AS papers, count(DISTINCT name) AS names FROM (
-  SELECT paper_id, unnest(author_ids) AS author_id, unnest(author_names) AS name FROM cur WHERE len(author_ids) = len(author_names)) WHERE author_id IS NOT NULL GROUP BY author_id""")
+@query(f"""WITH {CUR}, n AS (SELECT paper_id, author_ids, author_names, unnest(range(1, CAST(len(author_ids) AS BIGINT) + 1)) AS i FROM cur)
+SELECT author_id, count(DISTINCT paper_id) AS papers, count(DISTINCT name) AS names FROM (SELECT paper_id, author_ids[i] AS author_id, author_names[i] AS name FROM n) WHERE author_id IS NOT NULL GROUP BY author_id""")
 def author_mappings(spark: SparkSession, d: str) -> DataFrame:
-    p = papers(spark, d, "author_ids", "author_names").where(F.size("author_ids") == F.size("author_names"))
-    rows = p.select("paper_id", F.explode(F.arrays_zip("author_ids", "author_names")).alias("a"))
-    rows = rows.select("paper_id", F.col("a.author_ids").alias("author_id"), F.col("a.author_names").alias("name")).where("author_id IS NOT NULL")
-    return rows.groupBy("author_id").agg(F.count_distinct("paper_id").alias("papers"), F.count_distinct("name").alias("names"))
+    return aid.id_names(papers(spark, d, "author_ids", "author_names"))
 
 
 @query(f"WITH {CUR} SELECT paper_id, substr(md5(title), 1, 8) AS code FROM cur WHERE title IS NOT NULL")
@@ -176,7 +178,7 @@ def title_codes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT c) AS n FROM (SELECT unnest(categories) AS c FROM papers) WHERE c IS NOT NULL")
 def unique_categories(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "papers").select(F.explode("categories").alias("c")).agg(F.count_distinct("c").alias("n"))
+    return col.count_unique(table(spark, d, "papers"), "categories")
 
 
 # ---- text and vocabulary -----------------------------------------------------------------------------------------
@@ -259,9 +261,11 @@ al AS (SELECT pr.topic, d1.df AS df_a, d2.df AS df_b, coalesce(jn.df_ab, 0) AS d
 
 
 def _coherence_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = tokens(spark, d)
-    rel = vo.relevance(category_terms(spark, d)).withColumn("r6", F.round("relevance", 6))
-    top = checkpointed(vo.top_terms(rel, 10, "r6").select("topic", "term", "rank"))
+    """(pairs of the ten best terms of each category, documents); the tokens are read once and written."""
+    t = checkpointed(tokens(spark, d, "categories"))
+    topics = t.select("tokens", F.explode(F.array_distinct(F.array_compact("categories"))).alias("topic"))
+    weights = checkpointed(topics.select("topic", F.explode("tokens").alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("weight")))
+    top = checkpointed(vo.top_terms(vo.relevance(weights).withColumn("r6", F.round("relevance", 6)), 10, "r6").select("topic", "term", "rank"))
     return ev.term_pairs(top, t.select("paper_id", F.explode("tokens").alias("term")), "paper_id"), t
 
 
@@ -277,6 +281,32 @@ def npmi_coherence(spark: SparkSession, d: str) -> DataFrame:
     return ev.npmi(pairs, t.count()).select("topic", F.round("coherence", 4).alias("coherence"))
 
 
+_WIN = REL + """,
+ln AS (SELECT paper_id, max(pos) AS n FROM (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS pos FROM tok) GROUP BY paper_id),
+tp AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1 AS ps, t FROM tok),
+tk AS (SELECT * FROM tp WHERE t IN (SELECT term FROM top)),
+wt AS (SELECT DISTINCT tk.paper_id, s.s, t AS term FROM tk JOIN ln USING (paper_id), LATERAL (SELECT unnest(range(greatest(ps - 29, 0), least(ps, greatest(n - 30, 0)) + 1)) AS s) s),
+nw AS (SELECT CAST(sum(greatest(n - 30, 0) + 1) AS DOUBLE) AS w FROM ln),
+wd AS (SELECT term, count(*) / (SELECT w FROM nw) AS p FROM wt GROUP BY term),
+pa AS (SELECT x.topic, x.term AS i, y.term AS j FROM top x JOIN top y ON x.topic = y.topic),
+ij AS (SELECT DISTINCT i, j FROM pa WHERE i < j),
+wj AS (SELECT i, j, count(*) / (SELECT w FROM nw) AS p FROM ij JOIN wt a ON a.term = i JOIN wt b ON b.term = j AND a.paper_id = b.paper_id AND a.s = b.s GROUP BY i, j),
+nm AS (SELECT pa.topic, pa.i, pa.j, CASE WHEN a.p IS NULL OR b.p IS NULL THEN 0 WHEN pa.i = pa.j THEN ln((a.p + 1e-12) / (a.p * a.p)) / -ln(a.p + 1e-12)
+   ELSE ln((coalesce(wj.p, 0) + 1e-12) / (a.p * b.p)) / -ln(coalesce(wj.p, 0) + 1e-12) END AS x
+ FROM pa LEFT JOIN wd a ON a.term = pa.i LEFT JOIN wd b ON b.term = pa.j LEFT JOIN wj ON wj.i = least(pa.i, pa.j) AND wj.j = greatest(pa.i, pa.j)),
+tt AS (SELECT topic, j, sum(x) AS t FROM nm GROUP BY 1, 2),
+cs AS (SELECT nm.topic, nm.i, sum(x * t) / sqrt(sum(x * x)) AS c FROM nm JOIN tt USING (topic, j) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_WIN} SELECT cs.topic, round(avg(c / l), 4) AS coherence FROM cs JOIN (SELECT topic, sqrt(sum(t * t)) AS l FROM tt GROUP BY topic) USING (topic) GROUP BY cs.topic")
+def window_coherence(spark: SparkSession, d: str) -> DataFrame:
+    """Coherence of the ten best terms of each category over sliding windows of 30 tokens."""
+    t = checkpointed(tokens(spark, d))
+    top = checkpointed(vo.top_terms(vo.relevance(category_terms(spark, d)).withColumn("r6", F.round("relevance", 6)), 10, "r6").select("topic", "term", "rank"))
+    pairs, n = ev.window_pairs(top, t, "paper_id", "tokens", 30)
+    return ev.c_v(pairs, n).select("topic", F.round("coherence", 4).alias("coherence"))
+
+
 # ---- vectors ------------------------------------------------------------------------------------------------------
 
 _ADJ = """v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS e FROM embeddings),
@@ -324,6 +354,17 @@ def max_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     return vec.max_weighted_mean(_shares(spark, d), "p").select("pos", F.round("x", 6).alias("x"))
 
 
+@query(f"""WITH {_ADJ}, x AS (SELECT vec_id, unnest(p) AS x FROM n) SELECT round(avg(e), 6) AS mean_entropy FROM (SELECT sum(-greatest(x, 1e-10) * ln(greatest(x, 1e-10))) AS e FROM x GROUP BY vec_id)""")
+def mean_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return vec.mean_entropy(_shares(spark, d), "p").select(F.round("mean_entropy", 6).alias("mean_entropy"))
+
+
+@query(f"""WITH {_ADJ}, x AS (SELECT list_max(p) AS w, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS x FROM n), s AS (SELECT pos, sum(w * x) AS s FROM x GROUP BY pos)
+SELECT round(sum(-q * log2(q)), 6) AS entropy FROM (SELECT s / sum(s) OVER () AS q FROM s)""")
+def max_weighted_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return vec.entropy_of_max_weighted_mean(_shares(spark, d), "p").select(F.round("entropy", 6).alias("entropy"))
+
+
 @query("""WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v),
 x AS (SELECT generate_subscripts(u, 1) AS i, unnest(u) AS x FROM u), s AS (SELECT sum(x) AS s, sum(x * x) AS o FROM x GROUP BY i), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM u)
 SELECT round((sum(s * s) - sum(o)) / (max(n) * (max(n) - 1)), 6) AS mean_cosine FROM s, n""")
@@ -402,48 +443,73 @@ def degree_assortativity(spark: SparkSession, d: str) -> DataFrame:
     return gr.degree_assortativity(edges(spark, d)).select(F.round("assortativity", 4).alias("assortativity"))
 
 
-_COMP = EDGES.replace("cur AS", "RECURSIVE cur AS", 1) + """,
-reach AS (SELECT id, id AS r FROM deg UNION SELECT reach.id, bidi.b FROM reach JOIN bidi ON bidi.a = reach.r),
-comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
+_COMP = EDGES + """,
+cc(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM bidi UNION
+  (SELECT b.b, min(cc.component) FROM cc JOIN bidi b ON b.a = cc.id JOIN recurring.cc u ON u.id = b.b WHERE cc.component < u.component GROUP BY b.b))"""
 
 
-@query(f"WITH {_COMP} SELECT id, component FROM comp")
+@query(f"WITH RECURSIVE {_COMP} SELECT id, component FROM cc")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    """Over links seen in at least two papers, as the SQL states; ``all_connected_components`` takes every link."""
-    return gr.components(edges(spark, d, least=2))
-
-
-SQL["connected_components"] = SQL["connected_components"].replace("GROUP BY 1, 2),\nbidi AS", "GROUP BY 1, 2 HAVING count(*) >= 2),\nbidi AS")
+    return gr.components(edges(spark, d))
 
 
-@query(SQL["connected_components"].replace("SELECT id, component FROM comp", "SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS rank FROM comp GROUP BY component"))
+@query(f"WITH RECURSIVE {_COMP} SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS rank FROM cc GROUP BY component")
 def component_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Over links seen in at least two papers, as the SQL states; ``all_component_ranking`` takes every link."""
-    return gr.component_sizes(gr.components(edges(spark, d, least=2))).withColumn("rank", F.col("rank").cast("bigint"))
+    return gr.component_sizes(gr.components(edges(spark, d))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(SQL["connected_components"].replace("SELECT id, component FROM comp", """, v AS (SELECT component, count(*) AS vertices FROM comp GROUP BY component), e AS (SELECT component, count(*) AS edges FROM edges JOIN comp ON comp.id = src GROUP BY component)
-SELECT v.component, vertices, edges, round(2.0 * edges / (vertices * (vertices - 1)), 4) AS density FROM v JOIN e ON e.component = v.component"""))
+@query(f"""WITH RECURSIVE {_COMP}, v AS (SELECT component, count(*) AS vertices FROM cc GROUP BY component), e AS (SELECT component, count(*) AS edges FROM edges JOIN cc ON cc.id = src GROUP BY component)
+SELECT v.component, vertices, edges, round(2.0 * edges / (vertices * (vertices - 1)), 4) AS density FROM v JOIN e ON e.component = v.component""")
 def component_densities(spark: SparkSession, d: str) -> DataFrame:
-    """Over links seen in at least two papers, as the SQL states; ``all_component_densities`` takes every link."""
-    e = checkpointed(edges(spark, d, least=2))
+    e = checkpointed(edges(spark, d))
     return gr.component_density(e, gr.components(e)).withColumn("density", F.round("density", 4))
 
 
-@query()
-def all_connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return gr.components(edges(spark, d))
+@query(f"""WITH {EDGES}, a AS (SELECT id FROM deg WHERE degree BETWEEN 3 AND 12) SELECT DISTINCT paper_id FROM da WHERE author_id IN (SELECT id FROM a)""")
+def papers_by_degree(spark: SparkSession, d: str) -> DataFrame:
+    """Papers of the authors with 3 to 12 co-authors."""
+    p, e = papers(spark, d, "author_ids"), checkpointed(edges(spark, d))
+    return gr.documents_within(p, e, gr.authors_by_degree(e, 3, 12))[0].select("paper_id")
 
 
-@query()
-def all_component_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return gr.component_sizes(gr.components(edges(spark, d))).withColumn("rank", F.col("rank").cast("bigint"))
+@query(f"""WITH RECURSIVE {_COMP}, n AS (SELECT component FROM cc GROUP BY component HAVING count(*) BETWEEN 2 AND 20) SELECT src, dst, cnt FROM edges JOIN cc ON cc.id = src WHERE component IN (SELECT component FROM n)""")
+def links_by_component_size(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the connected components of 2 to 20 authors."""
+    p, e = papers(spark, d, "author_ids"), checkpointed(edges(spark, d))
+    return gr.documents_within(p, e, gr.authors_by_component(e, sizes=(2, 20)))[1]
 
 
-@query()
-def all_component_densities(spark: SparkSession, d: str) -> DataFrame:
-    e = checkpointed(edges(spark, d))
-    return gr.component_density(e, gr.components(e)).withColumn("density", F.round("density", 4))
+@query(f"""WITH {DA}, b AS (SELECT author_id, min(year(date)) AS f, max(year(date)) AS l FROM da WHERE date IS NOT NULL GROUP BY author_id)
+SELECT CASE WHEN l < 2010 THEN 'early' WHEN f >= 2010 THEN 'late' ELSE 'both' END AS time, author_id FROM b""")
+def author_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Authors with papers only before 2010, only from then on, and both: difference and intersection of two sets."""
+    p = papers(spark, d, "author_ids", "date").where("date IS NOT NULL")
+    early, late = (col.merged_values(p.where(c), "author_ids") for c in ("year(date) < 2010", "year(date) >= 2010"))
+    parts = {"early": early.exceptAll(late), "late": late.exceptAll(early), "both": early.intersect(late)}
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("time"), F.col("value").alias("author_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {DA}, n AS (SELECT count(*) AS n FROM da GROUP BY author_id) SELECT quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.99) AS p99 FROM n")
+def productivity_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    n = gr.doc_authors(papers(spark, d, "author_ids")).groupBy("author_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(*[F.percentile("n", q).alias(name) for name, q in (("median", 0.5), ("p90", 0.9), ("p99", 0.99))])
+
+
+@query("""SELECT b AS bin, 1 + b * 7.0 AS low, 1 + (b + 1) * 7.0 AS high, count(q) AS n FROM range(7) r(b) LEFT JOIN (SELECT CAST(l_quantity AS DOUBLE) AS q FROM lineitem) ON least(floor((q - 1) / 7.0), 6) = b AND q BETWEEN 1 AND 50 GROUP BY b""")
+def quantity_histogram(spark: SparkSession, d: str) -> DataFrame:
+    h = col.histogram(table(spark, d, "lineitem"), "l_quantity", 1.0, 50.0, 7)
+    return h.select(F.col("bin").cast("bigint").alias("bin"), "low", "high", "n")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON abs(CAST(c_acctbal AS DOUBLE) - CAST(s_acctbal AS DOUBLE)) <= 2.5")
+def balance_band_join(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("a"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("b"))
+    return col.band_join(c, s, "a", "b", 2.5).select("c_custkey", "s_suppkey")
 
 
 @query(f"""WITH {DA}, n AS (SELECT author_id FROM da GROUP BY author_id HAVING count(*) BETWEEN 3 AND 5) SELECT DISTINCT paper_id FROM da WHERE author_id IN (SELECT author_id FROM n)""")
@@ -489,12 +555,16 @@ def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
     return gr.louvain(edges(spark, d))
 
 
+#: Authors that ``distance_by_path_length`` starts from; each gives one pair per hop, so about 10,000 pairs in all.
+SOURCES = 1_000
+
+
 @query()
 def distance_by_path_length(spark: SparkSession, d: str) -> DataFrame:
     e = checkpointed(edges(spark, d))
     rows = distributions(spark, d).groupBy(F.col("author_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m"))
     vectors = rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("v"))
-    sources = gr.degrees(e).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(20).select(F.col("id").alias("source"))
+    sources = gr.degrees(e).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SOURCES).select(F.col("id").alias("source"))
     return gr.distance_by_hops(gr.hop_distances(e, sources), vectors, vec.hellinger)
 
 
@@ -652,29 +722,47 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes
 
 
-_SPLIT = EDGES + ",\n" + DIST + """,
-m AS (SELECT author_id, sum(CASE WHEN topic < 32 THEN p ELSE 0 END) AS l, sum(CASE WHEN topic >= 32 THEN p ELSE 0 END) AS r FROM dist GROUP BY author_id),
-o AS (SELECT author_id, l * (1 - r) AS x, r * (1 - l) AS y FROM m)"""
-
-
-def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A tree of one split: topics below 32 on the left (node 1), the others on the right (node 2)."""
-    mass = distributions(spark, d).groupBy(F.when(F.col("topic") < 32, 1).otherwise(2).alias("node"), "author_id").agg(F.sum("p").alias("p"))
-    return spark.createDataFrame([(0, 1, 2)], "node int, left int, right int"), mass
+# a tree over eight groups of topics (leaves 0 to 7): node, its children, and the leaves below them
+_SPLITS = [(8, 0, 1), (9, 2, 3), (10, 4, 5), (11, 6, 7), (12, 8, 9), (13, 10, 11), (14, 12, 13)]
+_BELOW: dict[int, list[int]] = {i: [i] for i in range(8)}
+for _node, _left, _right in _SPLITS:
+    _BELOW[_node] = _BELOW[_left] + _BELOW[_right]
+_TREE = EDGES + ",\n" + DIST + f""",
+tn(node, a, b, c, e) AS (VALUES {', '.join(f"({n}, {min(_BELOW[x])}, {max(_BELOW[x])}, {min(_BELOW[y])}, {max(_BELOW[y])})" for n, x, y in _SPLITS)}),
+g AS (SELECT author_id, topic // 8 AS g, sum(p) AS p FROM dist GROUP BY 1, 2),
+m AS (SELECT node, author_id, sum(CASE WHEN g BETWEEN a AND b THEN p ELSE 0 END) AS l, sum(CASE WHEN g BETWEEN c AND e THEN p ELSE 0 END) AS r FROM g, tn GROUP BY 1, 2),
+o AS (SELECT node, author_id, l * (1 - r) AS x, r * (1 - l) AS y FROM m WHERE l > 0 OR r > 0),
+bw AS (SELECT node, sum(x) * sum(y) AS mass FROM o GROUP BY node),
+hit AS (SELECT u.node, sum(u.x * v.y + v.x * u.y) AS s FROM edges JOIN o u ON u.author_id = src JOIN o v ON v.author_id = dst AND v.node = u.node GROUP BY 1),
+pr AS (SELECT tn.node, a, e, CASE WHEN mass > 0 THEN coalesce(s, 0) / mass ELSE 0 END AS p FROM tn LEFT JOIN bw USING (node) LEFT JOIN hit USING (node)),
+lt AS (SELECT i, j, CASE WHEN i = j THEN 0 ELSE (SELECT arg_min(p, e - a) FROM pr WHERE i BETWEEN a AND e AND j BETWEEN a AND e) END AS p FROM range(8) x(i), range(8) y(j))"""
+
+
+def _group_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, closure, distributions over the groups, link probabilities) of the tree over eight groups of topics."""
+    rows = [(i, None, None, 0.0, 1) for i in range(8)] + [(n, a, b, float(len(_BELOW[n])), len(_BELOW[n])) for n, a, b in _SPLITS]
+    nodes = spark.createDataFrame(rows, "node int, left int, right int, height double, leaves int")
+    closure = spark.createDataFrame([(n, leaf) for n, below in _BELOW.items() for leaf in below], "node int, leaf int")
+    groups = checkpointed(distributions(spark, d).groupBy("author_id", F.floor(F.col("topic") / 8).cast("int").alias("topic")).agg(F.sum("p").alias("p")))
+    return nodes, closure, groups, checkpointed(tree.link_probabilities(nodes, tree.node_authors(closure, groups), edges(spark, d)))
+
+
+@query(f"WITH {_TREE} SELECT node, round(p, 8) AS probability FROM pr")
+def link_probability(spark: SparkSession, d: str) -> DataFrame:
+    return _group_tree(spark, d)[3].select(F.col("node").cast("bigint").alias("node"), F.round("probability", 8).alias("probability"))
 
 
-@query(f"""WITH {_SPLIT} SELECT 0 AS node, round((SELECT sum(u.x * v.y + v.x * u.y) FROM edges JOIN o u ON u.author_id = src JOIN o v ON v.author_id = dst) / (SELECT sum(x) * sum(y) FROM o), 8) AS probability""")
-def link_probability(spark: SparkSession, d: str) -> DataFrame:
-    splits, mass = _halves(spark, d)
-    return tree.link_probabilities(splits, mass, edges(spark, d)).withColumn("probability", F.round("probability", 8))
+@query(f"WITH {_TREE} SELECT i, j, round(p, 8) AS p FROM lt")
+def link_table(spark: SparkSession, d: str) -> DataFrame:
+    nodes, closure, _, p = _group_tree(spark, d)
+    return tree.link_table(closure, nodes, nodes.where("node < 8"), p).select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("p", 8).alias("p"))
 
 
-@query(f"""WITH {EDGES}, {DIST}, g AS (SELECT author_id, topic // 8 AS g, sum(p) AS p FROM dist GROUP BY 1, 2), ln AS (SELECT i, j, CAST(1.0 AS DOUBLE) / (1 + abs(i - j)) AS l FROM range(8) a(i), range(8) b(j))
-SELECT src, dst, round(sum(u.p * v.p * l), 5) AS score FROM edges JOIN g u ON u.author_id = src JOIN g v ON v.author_id = dst JOIN ln ON ln.i = u.g AND ln.j = v.g GROUP BY 1, 2""")
+@query(f"WITH {_TREE} SELECT src, dst, round(sum(u.p * v.p * lt.p), 8) AS score FROM edges JOIN g u ON u.author_id = src JOIN g v ON v.author_id = dst JOIN lt ON lt.i = u.g AND lt.j = v.g GROUP BY 1, 2")
 def link_likelihood(spark: SparkSession, d: str) -> DataFrame:
-    groups = distributions(spark, d).groupBy("author_id", F.floor(F.col("topic") / 8).cast("int").alias("topic")).agg(F.sum("p").alias("p"))
-    links = spark.createDataFrame([(i, j, 1.0 / (1 + abs(i - j))) for i in range(8) for j in range(8)], "i int, j int, p double")
-    return tree.link_likelihood(edges(spark, d), groups, links).withColumn("score", F.round("score", 5))
+    nodes, closure, groups, p = _group_tree(spark, d)
+    links = checkpointed(tree.link_table(closure, nodes, nodes.where("node < 8"), p))
+    return tree.link_likelihood(edges(spark, d), groups, links).withColumn("score", F.round("score", 8))
 
 
 @query(f"""WITH {DIST}, g AS (SELECT author_id, topic // 8 AS leaf, sum(p) AS p FROM dist GROUP BY 1, 2) SELECT author_id, leaf, round(p / sum(p) OVER (PARTITION BY author_id), 6) AS p FROM g""")
@@ -724,42 +812,38 @@ def top_percent(spark: SparkSession, d: str) -> DataFrame:
     return sc.top_percent(checkpointed(gr.degrees(edges(spark, d)).withColumnRenamed("degree", "score")), "id", 5)
 
 
-@query(f"""WITH {EDGES}, n AS (SELECT author_id AS id, count(*) AS n FROM da GROUP BY author_id), c AS (SELECT id, degree AS x, n AS y FROM deg JOIN n USING (id) WHERE degree >= 20)
-SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(CAST(sum(abs(sign(a.x - b.x))) AS DOUBLE) * sum(abs(sign(a.y - b.y)))), 4) AS tau FROM c a JOIN c b ON a.id < b.id""")
+@query(f"""WITH {EDGES}, n AS (SELECT author_id AS id, count(*) AS n FROM da GROUP BY author_id), c AS (SELECT degree AS x, n AS y, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY degree, n) AS k FROM deg JOIN n USING (id) GROUP BY 1, 2)
+SELECT round(sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(a.w * b.w * abs(sign(a.x - b.x))) * sum(a.w * b.w * abs(sign(a.y - b.y)))), 4) AS tau FROM c a JOIN c b ON a.k < b.k""")
 def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """Over authors of degree 20 or more, as the SQL states; ``all_rank_correlation`` ranks all."""
-    p = papers(spark, d, "author_ids")
-    a = gr.degrees(gr.coauthor_edges(p)).where("degree >= 20").select("id", F.col("degree").alias("score"))
-    b = gr.doc_authors(p).groupBy(F.col("author_id").alias("id")).agg(F.count(F.lit(1)).alias("score"))
-    return sc.kendall_tau(a, b, "id").select(F.round("tau", 4).alias("tau"))
-
-
-@query()
-def all_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """Of degree and number of papers, over all linked authors."""
+    """Of degree and number of papers, over all linked authors; the SQL counts pairs of distinct scores."""
     p = papers(spark, d, "author_ids")
     a = gr.degrees(gr.coauthor_edges(p)).select("id", F.col("degree").alias("score"))
     b = gr.doc_authors(p).groupBy(F.col("author_id").alias("id")).agg(F.count(F.lit(1)).alias("score"))
     return sc.kendall_tau(a, b, "id").select(F.round("tau", 4).alias("tau"))
 
 
-@query(f"""WITH {DA}, {DIST}, e AS (SELECT DISTINCT x.author_id AS src, y.author_id AS dst, year(x.date) >= 2010 AS late FROM da x JOIN da y ON x.paper_id = y.paper_id AND x.author_id < y.author_id WHERE x.date IS NOT NULL),
-c AS (SELECT src, dst FROM e WHERE late EXCEPT SELECT src, dst FROM e WHERE NOT late), g AS (SELECT author_id, topic // 8 AS g, sum(p) AS p FROM dist GROUP BY 1, 2),
-ln AS (SELECT i, j, CAST(1.0 AS DOUBLE) / (1 + abs(i - j)) AS l FROM range(8) a(i), range(8) b(j))
-SELECT src, dst, round(sum(u.p * v.p * l), 5) AS score FROM c JOIN g u ON u.author_id = src JOIN g v ON v.author_id = dst JOIN ln ON ln.i = u.g AND ln.j = v.g GROUP BY 1, 2""")
+@query(f"""WITH {_TREE}, ea AS (SELECT DISTINCT x.author_id AS src, y.author_id AS dst FROM da x JOIN da y ON x.paper_id = y.paper_id AND x.author_id < y.author_id WHERE year(x.date) < 2010),
+eb AS (SELECT src AS a, dst AS b FROM ea UNION ALL SELECT dst, src FROM ea), lo AS (SELECT a FROM eb GROUP BY a HAVING count(*) <= 30),
+ca AS (SELECT DISTINCT x.b AS src, y.b AS dst FROM eb x JOIN eb y ON x.a = y.a AND x.b < y.b WHERE x.a IN (SELECT a FROM lo)),
+cn AS (SELECT * FROM ca EXCEPT SELECT src, dst FROM ea)
+SELECT src, dst, round(sum(u.p * v.p * lt.p), 8) AS score, max(CASE WHEN (src, dst) IN (SELECT (src, dst) FROM edges) THEN 1 ELSE 0 END) = 1 AS linked_later
+FROM cn JOIN g u ON u.author_id = src JOIN g v ON v.author_id = dst JOIN lt ON lt.i = u.g AND lt.j = v.g GROUP BY 1, 2""")
 def predicted_links(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that first publish together from 2010 on, scored by the link model."""
-    p = papers(spark, d, "author_ids", "date").where("date IS NOT NULL").withColumn("late", F.year("date") >= 2010)
-    e = checkpointed(gr.coauthor_edges(p, by=["late"]))
-    groups = distributions(spark, d).groupBy("author_id", F.floor(F.col("topic") / 8).cast("int").alias("topic")).agg(F.sum("p").alias("p"))
-    links = spark.createDataFrame([(i, j, 1.0 / (1 + abs(i - j))) for i in range(8) for j in range(8)], "i int, j int, p double")
-    out = tree.link_likelihood(sc.unseen_links(e.where("late"), e.where("NOT late")), groups, links)
-    return out.withColumn("score", F.round("score", 5))
-
-
-@query()
+    """Pairs not linked before 2010 that share a co-author of at most 30 links then, scored by the tree's link model, and
+    whether they are linked by now."""
+    early = checkpointed(gr.coauthor_edges(papers(spark, d, "author_ids", "date").where("year(date) < 2010")))
+    nodes, closure, groups, p = _group_tree(spark, d)
+    links = checkpointed(tree.link_table(closure, nodes, nodes.where("node < 8"), p))
+    out = tree.link_likelihood(gr.two_hop_pairs(early, 30), groups, links)
+    now = edges(spark, d).select("src", "dst", F.lit(True).alias("now"))
+    return out.join(now, ["src", "dst"], "left").select("src", "dst", F.round("score", 8).alias("score"), F.coalesce("now", F.lit(False)).alias("linked_later"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.e, b.e)) AS t, count(*) AS n FROM v a JOIN v b ON true GROUP BY 1, 2, 3),
+s AS (SELECT vec_id, max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b FROM m GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM s""")
 def silhouette_labels(spark: SparkSession, d: str) -> DataFrame:
-    return ev.silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return ev.silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select(F.round("silhouette", 4).alias("silhouette"))
 
 
 # ---- author ids ----------------------------------------------------------------------------------------------------------
@@ -779,9 +863,15 @@ def author_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return names.select(F.explode(tx.name_ngrams("name")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {_STD}, cl AS (SELECT name, ' ' || trim(array_to_string(list_transform(range(1, length(u) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(u, CAST(i AS BIGINT) - 1, 1), '[a-z]') THEN upper(substr(u, CAST(i AS BIGINT), 1)) ELSE substr(u, CAST(i AS BIGINT), 1) END), '')) || ' ' AS s FROM (SELECT name, regexp_replace(t, ' +', ' ', 'g') AS u FROM (SELECT name, regexp_replace(replace(regexp_replace(lower(regexp_replace(name, '[^\\x00-\\x7F]', '', 'g')), '[)(.|\\[\\]{{}}'']', '', 'g'), '&', 'and'), '[,-]', ' ', 'g') AS t FROM std))),
+gm AS (SELECT substr(name, 1, 2) AS block, name, substr(s, CAST(i AS BIGINT), 3) AS gram FROM (SELECT name, regexp_replace(s, '[,-./]|\\sBD', '', 'g') AS s FROM cl WHERE length(name) >= 3), LATERAL (SELECT unnest(range(1, greatest(length(s) - 1, 2))) AS i) WHERE length(s) >= 3),
+tf AS (SELECT block, name, gram, count(*) AS tf FROM gm GROUP BY 1, 2, 3), nd AS (SELECT substr(name, 1, 2) AS block, count(*) AS docs FROM std GROUP BY 1), df AS (SELECT block, gram, count(*) AS df FROM tf GROUP BY 1, 2),
+x AS (SELECT tf.block, name, tf.gram, tf * (ln((docs + 1.0) / (df + 1)) + 1) AS x FROM tf JOIN df ON df.block = tf.block AND df.gram = tf.gram JOIN nd ON nd.block = tf.block),
+w AS (SELECT block, name, gram, x / sqrt(sum(x * x) OVER (PARTITION BY block, name)) AS w FROM x)
+SELECT block, a.name AS a, b.name AS b, round(sum(a.w * b.w), 4) AS similarity FROM w a JOIN w b USING (block, gram) WHERE a.name < b.name GROUP BY 1, 2, 3 HAVING sum(a.w * b.w) > 0.6""")
 def author_name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return aid.similar_names(aid.standard_names(papers(spark, d, "author_names")))
+    """Names of one block with a cosine above 0.6."""
+    return aid.similar_names(aid.standard_names(papers(spark, d, "author_names")), 0.6).withColumn("similarity", F.round("similarity", 4))
 
 
 @query()
@@ -795,15 +885,16 @@ def author_id_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Per-chunk topic models: the ten best terms of each topic."""
+    """Topic models per year as the pipeline fits them: the ten best terms of each topic."""
     from folioscope.operators.topic_models import chunk_models
+    from folioscope.plans.pipeline import Settings
 
-    chunked = checkpointed(tm.with_chunks(papers(spark, d, "date"), 120).select("paper_id", "date", "chunk_id"))
+    s = Settings()
+    chunked = checkpointed(tm.with_chunks(papers(spark, d, "date"), s.months).select("paper_id", "date", "chunk_id"))
     stats = checkpointed(tm.chunk_statistics(chunked))
     docs = chunked.join(stats.select("chunk_id", "chunk"), "chunk_id").select("paper_id", "chunk")
-    members = checkpointed(tm.smoothed_documents(docs, tm.smoothing_sizes(stats)))
-    offsets = stats.select("chunk", F.lit(8).alias("topics"), (F.col("chunk") * 8).alias("first_topic"))
-    phi, _, _ = chunk_models(tokens(spark, d), members, offsets, "paper_id", "tokens", rounds=5)
+    members = checkpointed(tm.smoothed_documents(docs, tm.smoothing_sizes(stats, s.decay), seed=s.seed))
+    phi, _, _ = chunk_models(tokens(spark, d), members, tm.topic_offsets(stats, s.docs_per_topic), "paper_id", "tokens", s.seed, s.rounds)
     return vo.top_terms(phi, 10, "p")
 
 
@@ -825,15 +916,24 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 # ---- reading topics ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {REL}, f AS (SELECT phi.topic, phi.term, CAST(weight AS DOUBLE) AS w FROM phi JOIN top ON top.topic = phi.topic AND top.term = phi.term)
-SELECT topic, term, round(w / sum(w) OVER (PARTITION BY topic), 4) AS p FROM f""")
+_SHARE = """,
+sh AS (SELECT topic, term, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY topic) AS p FROM phi),
+rs AS (SELECT topic, term, p, round(0.6 * ln(greatest(p, 1e-12)) + (1 - 0.6) * (ln(greatest(p, 1e-12)) - ln(greatest(q, 1e-12))), 6) AS r FROM (SELECT *, sum(p) OVER (PARTITION BY term) / sum(p) OVER () AS q FROM sh)),
+bt AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY r DESC, term) AS k FROM rs)"""
+
+
+def _shares_of(weights: DataFrame) -> DataFrame:
+    """(topic, term, p) of (topic, term, weight), written once."""
+    total = weights.groupBy("topic").agg(F.sum("weight").alias("t"))
+    return checkpointed(weights.join(total, "topic").select("topic", "term", (F.col("weight") / F.col("t")).alias("p")))
+
+
+@query(f"WITH {PHI}{_SHARE} SELECT topic, term, round(p / sum(p) OVER (PARTITION BY topic), 6) AS p FROM bt WHERE k <= 10")
 def filtered_topics(spark: SparkSession, d: str) -> DataFrame:
     """The ten most relevant terms of each category, as distributions."""
-    w = checkpointed(category_terms(spark, d))
-    best = vo.top_terms(vo.relevance(w).withColumn("r6", F.round("relevance", 6)), 10, "r6").select("topic", "term")
-    kept = w.join(best, ["topic", "term"], "left_semi")
-    total = kept.groupBy("topic").agg(F.sum("weight").alias("t"))
-    return kept.join(total, "topic").select("topic", "term", F.round(F.col("weight") / F.col("t"), 4).alias("p"))
+    from folioscope.operators.interpretation import filtered_topics as filtered
+
+    return filtered(_shares_of(category_terms(spark, d)), 10, digits=6).withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {TOK} SELECT t AS term, count(*) AS n FROM tok GROUP BY t ORDER BY n DESC, term LIMIT 200")
@@ -848,31 +948,34 @@ m AS (SELECT ascii(topic) % 4 AS cluster, term, round(avg(p), 9) AS p FROM q GRO
 SELECT cluster, term, round(p, 6) AS p, row_number() OVER (PARTITION BY cluster ORDER BY p DESC, term) AS rank FROM m QUALIFY rank <= 40""")
 def cluster_words(spark: SparkSession, d: str) -> DataFrame:
     """Mean term probabilities over groups of categories (by their first letter)."""
-    w = category_terms(spark, d)
-    total = w.groupBy("topic").agg(F.sum("weight").alias("t"))
-    phi = checkpointed(w.join(total, "topic").select("topic", "term", (F.col("weight") / F.col("t")).alias("p")))
+    from folioscope.operators.interpretation import cluster_words as words
+
+    phi = _shares_of(category_terms(spark, d))
     groups = phi.select("topic").distinct().withColumn("cluster", F.ascii("topic") % 4)
-    mean = phi.join(groups, "topic").groupBy("cluster", "term").agg(F.round(F.avg("p"), 9).alias("p"))
-    return vo.top_terms(mean, 40, "p", "cluster").select("cluster", "term", F.round("p", 6).alias("p"), F.col("rank").cast("bigint").alias("rank"))
+    return words(phi, groups, 40).select("cluster", "term", F.round("p", 6).alias("p"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""WITH {DIST}, {REL}, k AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS n FROM (SELECT DISTINCT topic FROM phi)),
-q AS (SELECT n, phi.term, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY n) AS p FROM phi JOIN top ON top.topic = phi.topic AND top.term = phi.term JOIN k ON k.topic = phi.topic),
-s AS (SELECT author_id, term, sum(dist.p * q.p) AS s FROM dist JOIN q ON q.n = dist.topic WHERE dist.p >= 0.02 GROUP BY 1, 2)
+_MAIN = DA + TOK[len(CUR):] + ",\n" + DIST + """,
+mt AS (SELECT author_id, topic FROM dist QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY p DESC, topic) = 1),
+fa AS (SELECT paper_id, min(author_id) AS author_id FROM da WHERE author_id IN (SELECT author_id FROM mt) GROUP BY paper_id),
+phi AS (SELECT topic, t AS term, count(*) AS weight FROM fa JOIN mt USING (author_id) JOIN tok USING (paper_id) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_MAIN}{_SHARE}, ft AS (SELECT topic, term, p / sum(p) OVER (PARTITION BY topic) AS p FROM bt WHERE k <= 100),
+s AS (SELECT author_id, term, sum(dist.p * ft.p) AS s FROM dist JOIN ft ON ft.topic = dist.topic GROUP BY 1, 2)
 SELECT author_id, term, round(s / sum(s) OVER (PARTITION BY author_id), 5) AS p FROM s""")
 def author_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Authors over the relevant terms of their main topics (2 percent or more); topic n is the n-th category."""
-    from folioscope.operators.interpretation import author_term_distribution
-    from folioscope.operators.numbering import numbered
+    """Authors over the 100 most relevant terms of all their topics. A topic's terms are those of the papers whose first
+    author with a distribution (the smallest id) has it as main topic."""
+    from folioscope.operators.interpretation import author_term_distribution, filtered_topics as filtered
 
-    w = checkpointed(category_terms(spark, d))
-    best = vo.top_terms(vo.relevance(w).withColumn("r6", F.round("relevance", 6)), 10, "r6").select("topic", "term")
-    names = numbered(w.select("topic").distinct(), ["topic"], "n")
-    kept = w.join(best, ["topic", "term"], "left_semi").join(names, "topic").select(F.col("n").cast("int").alias("topic"), "term", "weight")
-    total = kept.groupBy("topic").agg(F.sum("weight").alias("t"))
-    phi = kept.join(total, "topic").select("topic", "term", (F.col("weight") / F.col("t")).alias("p"))
-    main = distributions(spark, d).where("p >= 0.02")
-    return author_term_distribution(main, phi).withColumn("p", F.round("p", 5))
+    dist = checkpointed(distributions(spark, d))
+    main = dist.groupBy("author_id").agg(F.max_by("topic", F.struct("p", (-F.col("topic")).alias("t"))).alias("topic"))
+    authors = gr.doc_authors(papers(spark, d, "author_ids")).join(main.select("author_id"), "author_id", "left_semi")
+    first = authors.groupBy("paper_id").agg(F.min("author_id").alias("author_id")).join(main, "author_id")
+    rows = first.join(tokens(spark, d), "paper_id").select("topic", F.explode("tokens").alias("term"))
+    phi = _shares_of(rows.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("weight")))
+    return author_term_distribution(dist, filtered(phi, 100, digits=6)).withColumn("p", F.round("p", 5))
 
 
 @query()
@@ -888,11 +991,9 @@ def topic_trajectory(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def path_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Distances along the longest shortest paths from ten authors."""
-    from folioscope.operators.interpretation import spaced_pairs
+    """Distances along long shortest paths that share no link, 10,000 pairs if the network has them."""
+    from folioscope.operators.interpretation import disjoint_longest_paths
 
-    e = checkpointed(edges(spark, d))
     rows = distributions(spark, d).groupBy(F.col("author_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m"))
     vectors = rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("v"))
-    sources = gr.degrees(e).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(10).select(F.col("id").alias("source"))
-    return spaced_pairs(checkpointed(gr.hop_distances(e, sources)), e, vectors, vec.hellinger)
+    return disjoint_longest_paths(edges(spark, d), vectors, vec.hellinger)
