@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import checkpointed
+
 
 def _exploded(df: DataFrame, record: str, fields: list[str], extra: list[str]) -> DataFrame:
     """(field, item_key, record, extra...): each non-null key once per record."""
@@ -38,7 +40,8 @@ def key_counts(df: DataFrame, record: str, fields: list[str], date: str) -> Data
 
 def key_results(df: DataFrame, record: str, fields: list[str], date: str, other: str) -> DataFrame:
     """``key_counts`` with ``coauthors``: the distinct values of the array column ``other`` that occur in the
-    key's records, the key itself not counted where ``field`` is ``other``."""
+    key's records, the key itself not counted where ``field`` is ``other``. ``df`` is written once and read by both parts."""
+    df = checkpointed(df.select(*dict.fromkeys([record, *fields, date, other])))
     rows = _exploded(df.withColumn("__other", F.array_distinct(F.array_compact(F.col(other).cast("array<string>")))), record, fields, ["__other"])
     pairs = (
         rows.select("field", "item_key", F.explode("__other").alias("__o"))

@@ -430,7 +430,7 @@ def hyperedges(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id)
 SELECT deg.id, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 4) AS clustering FROM deg LEFT JOIN n ON n.id = deg.id""")
 def clustering_coefficients(spark: SparkSession, d: str) -> DataFrame:
-    return gr.clustering(edges(spark, d)).withColumn("clustering", F.round("clustering", 4))
+    return gr.clustering(checkpointed(edges(spark, d))).withColumn("clustering", F.round("clustering", 4))
 
 
 @query(f"WITH {EDGES} SELECT a AS id, round(avg(degree), 4) AS neighbour_degree FROM bidi JOIN deg ON deg.id = b GROUP BY a")
@@ -907,10 +907,11 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     like = table(spark, d, "events").schema
     root = f"{checkpoint_dir(spark)}/stream-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**8}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     stream = streams.windowed_counts(streams.read_events(spark, d, "events.parquet", like), "ts", ["event_type"], "value", late="3650 days")
-    name = "w" + root[-12:].replace("-", "")
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    # each batch replaces the table of counts in the shared folder; nothing is gathered in the driver
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/counts")
+    q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.to_date("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(f"{root}/counts").select(F.to_date("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 # ---- reading topics ----------------------------------------------------------------------------------------------------------

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from folioscope.functions import vectors as vec
-from folioscope.operators import graph as gr
 from folioscope.operators import interpretation as it
 
 
@@ -39,11 +38,22 @@ def test_trajectory(spark):
     assert it.trajectory(knn, 1, 3) == (2.0, [1, 2, 3]) and it.trajectory(knn, 3, 1)[1] == [3, 2, 1] and it.trajectory(knn, 1, 9)[1] == []
 
 
-def test_paths(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5)], "src bigint, dst bigint")
-    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 6)], "id bigint, v array<double>")
-    hops = gr.hop_distances(e, spark.createDataFrame([(1,)], "source bigint"))
-    assert sorted((r.id, r.hops) for r in it.spaced_pairs(hops, e, v, vec.euclidean).collect()) == [(2, 1), (3, 2), (4, 3)]
+@pytest.mark.parametrize("driver_links", [1_000, 2])
+def test_paths_that_share_no_link(spark, driver_links):
+    links = [(1, 2), (2, 3), (3, 4), (1, 5), (3, 1), (8, 9), (5, 5)]
+    e = spark.createDataFrame(links + [(2, 1)], "src bigint, dst bigint")
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 10)], "id bigint, v array<double>")
+    got = it.disjoint_longest_paths(e, v, vec.euclidean, driver_links=driver_links).collect()
+    # every link is used by one step of one path
+    assert len(got) == 6 and all(r.distance == abs(r.source - r.id) for r in got)
+    per = {}
+    for r in got:
+        per.setdefault(r.source, []).append(r.hops)
+    assert max(r.hops for r in got) >= 2 and all(1 in h for h in per.values())
+    assert len(it.disjoint_longest_paths(e, v, vec.euclidean, 2, driver_links=driver_links).collect()) == 2
+    again = it.disjoint_longest_paths(e, v, vec.euclidean, driver_links=driver_links).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    assert it.disjoint_longest_paths(e.limit(0), v, vec.euclidean).count() == 0
 
 
 def test_cluster_summary(spark):
