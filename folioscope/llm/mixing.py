@@ -21,12 +21,6 @@ from pyspark.sql import functions as F
 
 from folioscope.session import checkpointed
 
-# The default domain of each source; a source that is not named is a domain of its own.
-DOMAINS = {
-    "preprint_feed": "papers", "journal_dump": "papers", "thesis_repo": "papers", "conference_site": "papers",
-    "review_forum": "talk", "mailing_list": "talk",
-    "lab_wiki": "records", "field_notes": "records", "ocr_scans": "scans", "tape_archive": "scans",
-}
 #: Hash ranges of a leaf are made so that each holds about this many documents, within these bounds.
 ROWS_PER_RANGE, MIN_RANGE_BITS, MAX_RANGE_BITS = 50_000, 6, 16
 #: Sources, and leaves (sources by languages), are handled on the driver up to this number.
@@ -102,8 +96,25 @@ def sized_documents(documents: DataFrame, doc_id: str, source: str, lang: str, n
     return checkpointed(rows.join(targets.select("source").distinct(), "source", "left_semi").select("doc_id", "source", "lang", "n_tokens"))
 
 
-def plan(sized: DataFrame, targets: DataFrame, total: int | None, domains: dict[str, str]) -> list[Leaf]:
-    """The leaves with their budgets. ``total``: tokens of the mixture; None takes what the listed sources hold."""
+#: Asks for the largest mixture in which every source with documents has at least its target share.
+REACHABLE = "reachable"
+
+
+def reachable_total(leaves: list[Leaf]) -> int:
+    """The largest total at which no source with documents falls short of its share: the smallest ratio of what a source
+    can give, repeats included, to its share. 0 without such a source."""
+    capacity: dict[str, float] = {}
+    share: dict[str, float] = {}
+    for x in leaves:
+        if x.tokens:
+            capacity[x.source] = capacity.get(x.source, 0.0) + x.capacity
+            share[x.source] = share.get(x.source, 0.0) + x.weight
+    return int(min((capacity[s] / w for s, w in share.items() if w > 0), default=0))
+
+
+def plan(sized: DataFrame, targets: DataFrame, total: int | str | None, domains: dict[str, str]) -> list[Leaf]:
+    """The leaves with their budgets. ``total``: tokens of the mixture; None takes what the listed sources hold, REACHABLE
+    see ``reachable_total``."""
     rows = targets.where(F.col("source").isNotNull()).limit(MAX_LEAVES + 1).collect()
     found = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("d")).limit(MAX_LEAVES + 1).collect()
     if max(len(rows), len(found)) > MAX_LEAVES:
@@ -121,6 +132,8 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None, domains: dict[
         leaves += [Leaf(domain, x["lang"], source, share * x["t"] / tokens, x["t"], x["d"], repeats) for x in own]
         if not own:
             leaves.append(Leaf(domain, "und", source, share, 0, 0, repeats))
+    if total == REACHABLE:
+        total = reachable_total(leaves)
     set_budgets(leaves, total if total is not None else sum(x.tokens for x in leaves))
     return leaves
 
@@ -162,17 +175,19 @@ def select(sized: DataFrame, leaves: list[Leaf], seed: int) -> DataFrame:
 
 def mix_sources(
     documents: DataFrame, targets: DataFrame, n_tokens: str = "n_tokens", doc_id: str = "doc_id", source: str = "source",
-    lang: str = "lang", total: int | None = None, seed: int = 42, domains: dict[str, str] | None = None,
+    lang: str = "lang", total: int | str | None = None, seed: int = 42, domains: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, report) for documents with a token count.
 
     ``targets``: source, target_share, max_repeats (null counts as 1), one row per source. Documents without a
     listed source and documents without tokens are not used; a listed source without documents leaves its share
-    to its siblings. No document is used more than max_repeats times. The report has one row per target:
-    source, target_share, max_repeats, available_tokens, budget_tokens, used_tokens, actual_share, used_docs.
+    its siblings. No document is used more than max_repeats times. ``domains``: the domain of a source; one that is not
+    named is a domain of its own. The report has one row per target: source, target_share, max_repeats,
+    available_tokens, budget_tokens, used_tokens, actual_share, used_docs, off_target (actual less target share), distance
+    (half the sum of all absolute off_target, 0 if the targets are met) and reachable_tokens (see ``reachable_total``).
     """
     sized = sized_documents(documents, doc_id, source, lang, n_tokens, targets)
-    leaves = plan(sized, targets, total, DOMAINS if domains is None else domains)
+    leaves = plan(sized, targets, total, domains or {})
     mixture = select(sized, leaves, seed)
     spark = documents.sparkSession
     per: dict[str, list[float]] = {}
@@ -187,4 +202,6 @@ def mix_sources(
     everything = Window.partitionBy()  # one row per target
     filled = report.fillna(0, ["used_tokens", "used_docs"])
     share = F.col("used_tokens") / F.greatest(F.sum("used_tokens").over(everything), F.lit(1))
-    return mixture, filled.withColumn("actual_share", share)
+    filled = filled.withColumn("actual_share", share).withColumn("off_target", F.col("actual_share") - F.coalesce("target_share", F.lit(0.0)))
+    filled = filled.withColumn("distance", F.sum(F.abs("off_target")).over(everything) / 2)
+    return mixture, filled.withColumn("reachable_tokens", F.lit(reachable_total(leaves)).cast("bigint"))

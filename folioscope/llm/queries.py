@@ -73,9 +73,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+# The domains of the project's sources.
+DOMAINS = {
+    "preprint_feed": "papers", "journal_dump": "papers", "thesis_repo": "papers", "conference_site": "papers",
+    "review_forum": "talk", "mailing_list": "talk",
+    "lab_wiki": "records", "field_notes": "records", "ocr_scans": "scans", "tape_archive": "scans",
+}
+
+
+def _mix(spark: SparkSession, sf_dir: str, total: int | str | None = None) -> tuple[DataFrame, DataFrame]:
     documents = tokens.token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id", "source", "lang"])
-    return mixing.mix_sources(documents, table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_sources(documents, table(spark, sf_dir, "mix_targets"), total=total, domains=DOMAINS)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +94,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p9_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the largest mixture in which no source with documents falls short of its target."""
+    return _mix(spark, sf_dir, mixing.REACHABLE)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     return scores.where("flagged").select("doc_id").distinct()
@@ -98,7 +111,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_ngrams": p7_ngrams, "p8_ids": p8_ids,
-    "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_reachable": p9_reachable,
     "p10_found": p10_found, "p10_rates": p10_rates,
 }
 

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +44,12 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("folioscope", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Sends the driver's rank file along with the job; the name to find it by on an executor."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def _last_cut(text: str, low: int, high: int) -> int | None:
     """The last certain cut in text[low:high], both neighbours inside the text."""
     found = None
@@ -115,11 +123,12 @@ def token_ids(df: DataFrame, text: str, keep: list[str], tokenizer: str = DEFAUL
     """``keep`` and ``ids`` (ARRAY<INT>): the ids of the column ``text``, without special tokens.
 
     Null and empty texts give an empty list, blank ones their tokens. Nothing is shuffled; ``tokenizer`` is the
-    rank file's path on every executor. Columns named as the results cannot be kept.
+    rank file's path on the driver, which sends it to the executors. Columns named as the results cannot be kept.
     """
+    name = _shipped(df.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(SparkFiles.get(name))
         for batch in batches:
             ids = [encode(enc, t) if t else [] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -133,9 +142,10 @@ def token_ids(df: DataFrame, text: str, keep: list[str], tokenizer: str = DEFAUL
 
 def token_counts(df: DataFrame, text: str, keep: list[str], tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``keep`` and ``n_tokens`` (BIGINT) of the column ``text``; 0 for null and empty texts."""
+    name = _shipped(df.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(SparkFiles.get(name))
         for batch in batches:
             n = [len(encode(enc, t)) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64())], [*keep, "n_tokens"])

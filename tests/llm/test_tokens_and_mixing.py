@@ -80,6 +80,20 @@ def test_mixture(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
 
+def test_the_largest_mixture_that_keeps_the_shares(spark):
+    docs = documents(spark)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3)], "source string, target_share double, max_repeats int")
+    rows = {r.source: r for r in mx.mix_sources(docs, targets, total=mx.REACHABLE)[1].collect()}
+    most = {s: r.available_tokens * r.max_repeats for s, r in rows.items()}
+    total = int(min(most[s] / r.target_share for s, r in rows.items()))
+    assert all(r.reachable_tokens == total and r.distance < 0.01 for r in rows.values())
+    assert abs(sum(r.used_tokens for r in rows.values()) - total) < 12 * 200 and abs(rows["big"].off_target) < 0.01
+    whole = {r.source: r for r in mx.mix_sources(docs, targets)[1].collect()}
+    assert whole["small"].distance == pytest.approx(sum(abs(r.actual_share - r.target_share) for r in whole.values()) / 2)
+    with_none = spark.createDataFrame([("big", 0.5, 1), ("none", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert {r.reachable_tokens for r in mx.mix_sources(docs, with_none)[1].collect()} == {int(whole["big"].available_tokens / 0.5)}
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("big", 1.0, None)], "source string, target_share double, max_repeats int")
     mixture, report = mx.mix_sources(documents(spark).limit(0), targets)
