@@ -52,6 +52,15 @@ FILTERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def filter_counts(df: DataFrame, filters: dict) -> DataFrame:
+    """(step, filter, rows): rows before any filter (step 0) and after each one, in their order. One aggregate per step."""
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(0).alias("step"), F.lit(None).cast("string").alias("filter"), "rows")
+    for step, name in enumerate(filters, 1):
+        df = apply_filters(df, {name: filters[name]})
+        rows = rows.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(step).alias("step"), F.lit(name).alias("filter"), "rows"))
+    return rows
+
+
 def apply_filters(df: DataFrame, config: dict) -> DataFrame:
     """Filters in the order of ``config``: date_range {start, end}, categories [..] or {include, column}, custom
     (DataFrame -> boolean Column); ValueError for another name."""

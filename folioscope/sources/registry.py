@@ -139,9 +139,12 @@ def load(
     return apply_filters(docs, filters or {}).withColumn("is_valid", schema.is_valid())
 
 
-def valid(docs: DataFrame) -> DataFrame:
-    return docs.where("is_valid").drop("is_valid")
+def valid(docs: DataFrame, by_date: bool = False) -> DataFrame:
+    """Valid documents, in the order of their dates if asked for (one range shuffle of whole rows)."""
+    out = docs.where("is_valid").drop("is_valid")
+    return out.sort("date") if by_date else out
 
 
-def invalid(docs: DataFrame) -> DataFrame:
-    return docs.where("NOT is_valid").drop("is_valid")
+def invalid(docs: DataFrame, by_date: bool = False) -> DataFrame:
+    out = docs.where("NOT is_valid").drop("is_valid")
+    return out.sort("date") if by_date else out

@@ -102,6 +102,7 @@ def test_pipeline_to_the_end_and_back(spark, lines, tmp_path):
     assert p.get("links.scores").count() == p.get("network").count()
     assert p.get("diffused_docs").select("doc_id").distinct().count() == 40 and p.get("doc_scores").count() == 40
     p.get("documents")
+    assert p.get("network.yearly").agg(F.sum("cnt")).first()[0] == 40 and p.get("vocabulary").count() == len({w for r in p.get("tokens").collect() for w in r.tokens})
     again = Pipeline.restore(spark, folder)
     assert again.settings == settings and again.status()["links"] and again.get("network").count() == p.get("network").count()
     again.configure(cut=0.9)
@@ -120,3 +121,24 @@ def test_files_of_a_folder(spark, lines, tmp_path):
     sinks.graph_to_pairs(spark, f"{folder}/viz_a.graphml", str(tmp_path / "pairs"))
     assert spark.read.csv(str(tmp_path / "pairs"), sep="\t").count() == 2
     assert registry.discover(spark, str(tmp_path)) == [lines] and registry.discover(spark, str(tmp_path / "none")) == []
+
+
+def test_relevant_tokens_and_filter_counts(spark, lines):
+    p = Pipeline.from_files(spark, lines, Settings(relevance_topics=2, relevance_terms=2, rounds=2, high=1.0, low=0, filters={"date_range": {"start": "2003-01-01", "end": "2006-12-31"}, "categories": ["cs.AI"]}), mapping=MAPPING)
+    assert {w for r in p.get("tokens").collect() for w in r.tokens} <= {r.term for r in p.get("vocabulary").collect()} and p.get("vocabulary").count() <= 4
+    assert [(r.step, r["filter"], r.rows) for r in p.filter_counts().orderBy("step").collect()] == [(0, None, 40), (1, "date_range", 16), (2, "categories", 16)]
+    days = [r.date for r in registry.valid(registry.load(spark, lines, MAPPING), by_date=True).collect()]
+    assert days == sorted(days)
+
+
+def test_models_by_name(spark):
+    from folioscope.operators import topic_models as tp
+
+    docs = spark.createDataFrame([(i, ["a", "b", "c"][: i % 3 + 1]) for i in range(12)], "d int, t array<string>")
+    fitted = tp.fit_topics(docs, "t", 3, rounds=2, alpha=0.3, eta=0.2, first_topic=5)
+    got = fitted.parameters()
+    assert got["topics"] == 3 and got["vocabulary"] == 3 and got["eta"] == pytest.approx(0.2) and {r.topic for r in fitted.phi(docs).collect()} == {5, 6, 7}
+    with pytest.raises(ValueError):
+        tp.fit_topics(docs, "t", 3, kind="none")
+    with pytest.raises(ValueError):
+        tp.register_model("lda")(lambda *a: None)
