@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.bind import let
@@ -199,8 +199,32 @@ def mean_pairwise_cosine(df: DataFrame, vector: str) -> DataFrame:
     return both.select(F.when(F.col("n") > 1, (F.col("sq") - F.col("own")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
 
 
-def density(df: DataFrame, vector: str) -> DataFrame:
-    """One row ``density``: mean of 1 / L1 distance to the centroid (1 where the distance is almost 0)."""
-    centre = mean_vector(df, vector).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))  # one vector
+def density(df: DataFrame, vector: str, similarity: Callable[[Column | str, Column | str], Column] = inverse_l1, centroid: Callable[[DataFrame, str], DataFrame] = mean_vector) -> DataFrame:
+    """One row ``density``: mean similarity to the centroid; by default of 1 / L1 distance (1 where that is almost 0) to the
+    mean vector. ``centroid`` gives (pos, x), as ``mean_vector`` and ``max_weighted_mean`` do; any kernel will do."""
+    centre = centroid(df, vector).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))  # one vector
     centre = centre.select(F.col("c.x").alias("centre"))
-    return df.join(F.broadcast(centre)).agg(F.avg(inverse_l1(vector, "centre")).alias("density"))
+    return df.join(F.broadcast(centre)).agg(F.avg(similarity(vector, "centre")).alias("density"))
+
+
+# The kernels as SQL expressions of two arrays p and q; {P} and {Q} are the arrays divided by their sums.
+_SQL_KERNELS = {
+    "hellinger": "sqrt(0.5 * aggregate(zip_with({P}, {Q}, (a, b) -> power(sqrt(a) - sqrt(b), 2)), 0D, (s, x) -> s + x))",
+    "euclidean": "sqrt(aggregate(zip_with(p, q, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))",
+    "manhattan": "aggregate(zip_with(p, q, (a, b) -> abs(a - b)), 0D, (s, x) -> s + x)",
+    "cosine": "coalesce(try_divide(aggregate(zip_with(p, q, (a, b) -> a * b), 0D, (s, x) -> s + x),"
+    " sqrt(aggregate(p, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(q, 0D, (s, x) -> s + x * x))), 0D)",
+    "kl": "aggregate(zip_with({P}, {Q}, (a, b) -> IF(a > 0 AND b > 0, a * ln(a / b), 0D)), 0D, (s, x) -> s + x)",
+    "js": "aggregate(zip_with({P}, {Q}, (a, b) -> (IF(a > 0, a * ln(2 * a / (a + b)), 0D) + IF(b > 0, b * ln(2 * b / (a + b)), 0D)) / 2), 0D, (s, x) -> s + x)",
+}
+
+
+def register_kernels(spark: SparkSession, prefix: str = "vec_") -> list[str]:
+    """Makes kernels callable in SQL text as temporary functions of two ARRAY<DOUBLE> of one length (vec_hellinger, ...); they
+    are SQL expressions, so the optimizer sees through them. Their names."""
+    share = "transform({0}, x -> coalesce(try_divide(x, aggregate({0}, 0D, (s, y) -> s + y)), x))"
+    for name, body in _SQL_KERNELS.items():
+        text = body.replace("{P}", "np").replace("{Q}", "nq")
+        inner = f"(SELECT {text} FROM (SELECT p, q, {share.format('p')} AS np, {share.format('q')} AS nq))" if "np" in text else body
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(p ARRAY<DOUBLE>, q ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {inner}")
+    return [prefix + name for name in _SQL_KERNELS]

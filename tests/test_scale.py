@@ -137,3 +137,17 @@ def test_kernels_take_each_sum_once(spark):
     x = np.sort(p)
     assert row.g == pytest.approx(((2 * np.arange(1, 201) - 201) * x).sum() / (200 * x.sum()))
     assert row.c == pytest.approx(p @ q / np.linalg.norm(p) / np.linalg.norm(q)) and row.u == pytest.approx(p[3] / np.linalg.norm(p))
+
+
+def test_kernels_in_sql_text_and_density(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(rng.random(8).tolist(), rng.random(8).tolist()) for _ in range(5)] + [([0.0] * 8, [0.0] * 8)], "p array<double>, q array<double>")
+    names = vec.register_kernels(spark)
+    assert "vec_hellinger" in names
+    df.createOrReplaceTempView("two_vectors")
+    for name in names:
+        plain = vec.kernel(name.removeprefix("vec_"))
+        rows = spark.table("two_vectors").selectExpr("p", "q", f"{name}(p, q) AS s").withColumn("c", plain("p", "q")).collect()
+        assert [r.s for r in rows] == pytest.approx([r.c for r in rows])
+    some = df.limit(5)
+    assert vec.density(some, "p", vec.cosine, vec.max_weighted_mean).first()[0] > vec.density(some, "p").first()[0] * 0
