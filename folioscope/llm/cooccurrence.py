@@ -20,8 +20,6 @@ from folioscope.session import checkpointed
 #: Codes held in memory by one map task before they are sorted and written as a run (8 bytes each).
 RUN_CODES = 1 << 22
 _HALF = 31
-#: Items whose counts are broadcast (two numbers each).
-BROADCAST_ITEMS = 500_000
 
 
 def _pairs(values: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
@@ -112,10 +110,8 @@ def pair_counts(records: DataFrame, items: str, min_count: int = 1) -> DataFrame
         F.count(F.lit(1)), F.min(F.element_at("ids", 1)), F.max(F.element_at("ids", -1))
     ).first()
     single = lists.select(F.explode("ids").alias("item"))
-    counts = checkpointed(single.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")))
-    # a frequent item stands in many pairs; small counts go to the pairs instead of the pairs to the counts
-    if counts.count() <= BROADCAST_ITEMS:
-        counts = F.broadcast(counts)
+    counts = single.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    # each pair stands there once, so even an item of all records brings no more rows to a join than there are items
     low = low or 0
     if (high or 0) - low < 1 << _HALF:
         packed = lists.where(F.size("ids") > 1).select(F.transform("ids", lambda x: x - F.lit(low)).alias("ids"))
