@@ -25,7 +25,7 @@ def current_rows(df: DataFrame, key: str, ts: str, columns: dict[str, Column] |
 
 
 #: Keys with several rows that are broadcast (two numbers each); beyond it they are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 200_000
 
 
 def current_wide_rows(df: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:

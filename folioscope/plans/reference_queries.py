@@ -217,7 +217,14 @@ def stopword_removal(spark: SparkSession, d: str) -> DataFrame:
     return t.where(F.size("t") > 0).select("paper_id", F.size("t").cast("bigint").alias("n"))
 
 
-@query()
+_LEMMA = ", ".join(f"('{a}', '{b}')" for a, b in tx.IRREGULAR.items())
+
+
+@query(f"""WITH {CUR}, w AS (SELECT paper_id, unnest(regexp_extract_all(lower(strip_accents(title)), '[a-z_]+')) AS t FROM cur), ir(a, b) AS (VALUES {_LEMMA}),
+l AS (SELECT paper_id, coalesce(b, CASE WHEN length(t) <= 3 THEN t WHEN regexp_matches(t, '[^aeiou]ies$') AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y')
+  WHEN regexp_matches(t, '(ss|x|ch|sh|z)es$') THEN regexp_replace(t, 'es$', '') WHEN regexp_matches(t, '(ss|us|is)$') THEN t WHEN ends_with(t, 's') THEN regexp_replace(t, 's$', '') ELSE t END) AS term
+ FROM w LEFT JOIN ir ON a = t WHERE length(t) BETWEEN 2 AND 15 AND NOT starts_with(t, '_'))
+SELECT term, count(DISTINCT paper_id) AS df, count(*) AS cf FROM l GROUP BY term""")
 def lemma_counts(spark: SparkSession, d: str) -> DataFrame:
     t = papers(spark, d, "title").select("paper_id", tx.lemmas(tx.simple_tokens("title")).alias("tokens"))
     return vo.term_frequencies(t, "paper_id", "tokens")
@@ -857,14 +864,18 @@ def author_standardize(spark: SparkSession, d: str) -> DataFrame:
     return aid.standard_names(papers(spark, d, "author_names"))
 
 
-@query()
+_GRAMS = _STD + f""",
+cl AS (SELECT name, ' ' || trim(array_to_string(list_transform(range(1, length(u) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(u, CAST(i AS BIGINT) - 1, 1), '[a-z]') THEN upper(substr(u, CAST(i AS BIGINT), 1)) ELSE substr(u, CAST(i AS BIGINT), 1) END), '')) || ' ' AS s FROM (SELECT name, regexp_replace(t, ' +', ' ', 'g') AS u FROM (SELECT name, regexp_replace(replace(regexp_replace(lower(regexp_replace(name, '[^\\x00-\\x7F]', '', 'g')), '[)(.|\\[\\]{{}}'']', '', 'g'), '&', 'and'), '[,-]', ' ', 'g') AS t FROM std))),
+gm AS (SELECT substr(name, 1, 2) AS block, name, substr(s, CAST(i AS BIGINT), 3) AS gram FROM (SELECT name, regexp_replace(s, '[,-./]|\\sBD', '', 'g') AS s FROM cl WHERE length(name) >= 3), LATERAL (SELECT unnest(range(1, greatest(length(s) - 1, 2))) AS i) WHERE length(s) >= 3)"""
+
+
+@query(f"WITH {_GRAMS} SELECT gram, count(*) AS n FROM gm GROUP BY gram")
 def author_ngrams(spark: SparkSession, d: str) -> DataFrame:
     names = aid.standard_names(papers(spark, d, "author_names"))
     return names.select(F.explode(tx.name_ngrams("name")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_STD}, cl AS (SELECT name, ' ' || trim(array_to_string(list_transform(range(1, length(u) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(u, CAST(i AS BIGINT) - 1, 1), '[a-z]') THEN upper(substr(u, CAST(i AS BIGINT), 1)) ELSE substr(u, CAST(i AS BIGINT), 1) END), '')) || ' ' AS s FROM (SELECT name, regexp_replace(t, ' +', ' ', 'g') AS u FROM (SELECT name, regexp_replace(replace(regexp_replace(lower(regexp_replace(name, '[^\\x00-\\x7F]', '', 'g')), '[)(.|\\[\\]{{}}'']', '', 'g'), '&', 'and'), '[,-]', ' ', 'g') AS t FROM std))),
-gm AS (SELECT substr(name, 1, 2) AS block, name, substr(s, CAST(i AS BIGINT), 3) AS gram FROM (SELECT name, regexp_replace(s, '[,-./]|\\sBD', '', 'g') AS s FROM cl WHERE length(name) >= 3), LATERAL (SELECT unnest(range(1, greatest(length(s) - 1, 2))) AS i) WHERE length(s) >= 3),
+@query(f"""WITH {_GRAMS},
 tf AS (SELECT block, name, gram, count(*) AS tf FROM gm GROUP BY 1, 2, 3), nd AS (SELECT substr(name, 1, 2) AS block, count(*) AS docs FROM std GROUP BY 1), df AS (SELECT block, gram, count(*) AS df FROM tf GROUP BY 1, 2),
 x AS (SELECT tf.block, name, tf.gram, tf * (ln((docs + 1.0) / (df + 1)) + 1) AS x FROM tf JOIN df ON df.block = tf.block AND df.gram = tf.gram JOIN nd ON nd.block = tf.block),
 w AS (SELECT block, name, gram, x / sqrt(sum(x * x) OVER (PARTITION BY block, name)) AS w FROM x)
@@ -979,7 +990,10 @@ def author_terms(spark: SparkSession, d: str) -> DataFrame:
     return author_term_distribution(dist, filtered(phi, 100, digits=6)).withColumn("p", F.round("p", 5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HP}, g AS (SELECT i, j, min(distance) AS d FROM (SELECT i, j, distance FROM knn UNION ALL SELECT j, i, distance FROM knn) GROUP BY 1, 2),
+sp(id, d, path) USING KEY (id) AS (SELECT min(i), CAST(0 AS DOUBLE), [min(i)] FROM knn UNION
+ (SELECT g.j, min(sp.d + g.d), arg_min(list_append(sp.path, g.j), sp.d + g.d) FROM sp JOIN g ON g.i = sp.id LEFT JOIN recurring.sp o ON o.id = g.j WHERE o.d IS NULL OR sp.d + g.d < o.d GROUP BY g.j))
+SELECT generate_subscripts(path, 1) - 1 AS step, unnest(path) AS topic FROM sp WHERE id = (SELECT max(i) FROM knn)""")
 def topic_trajectory(spark: SparkSession, d: str) -> DataFrame:
     """The shortest path over neighbouring categories from the first to the last."""
     from folioscope.operators.interpretation import trajectory
