@@ -44,32 +44,40 @@ insult 0.8: bullshitter / crybaby / swine / wretch / ingrate / subhuman scum / p
 insult 0.8: schwein / arschloch / vollidiot / idiotin / versager / wichser / depp / trottel / hurensohn / missgeburt / dreckskerl / fotze / schlampe / penner / blodmann / dummkopf / miststuck / drecksau / spinner / hure
 insult 0.8: connard / connards / connasse / abruti / abrutis / salaud / salope / batard / ordure / enfoire / pute / conne / encule / debile / bouffon / minable / cretine / raclure
 insult 0.8: cabron / gilipollas / idiota / imbecil / cretino / payaso / puta / puto / hijo de puta / pendejo / mamon / capullo / maricon / zorra / subnormal / cabrona / tarado / imbeciles
+insult 0.8: ordures / joke of a / absolute joke / absolute disgrace / a disgrace to / human garbage / human trash / bag of shit / shit for brains / dumb bitch / inbred / pieces of shit / waste of skin / idioten / arschlocher / salauds / ordures / hijos de puta / cabrones / stronzi
 insult 0.8: stronzo / stronza / coglione / bastardo / troia / puttana / deficiente / cazzone / idioota / babaca / otario / cretina / vagabunda / klootzak / eikel / sukkel / hoer / kutwijf / idioot / kurwa / debil / skurwysyn / suka / сука / мразь / ублюдок / идиот / дебил / урод / тварь
 insult 1.4: nigger / niggers / faggot / faggots / kike / kikes / chink / chinks / spic / spics / wetback / wetbacks / raghead / ragheads / tranny / trannies / gook / gooks / cunt / cunts / towelhead
-weak 0.3: clown / clowns / fool / fools / parasite / parasites / fraud / frauds / pig / pigs / rat / snake / worm / cow / dog / liar / liars / cheat / jerk / weasel / monkey / donkey / ape / leech / freak / witch / nobody / joke / disgrace / failure / menteur / mentiroso / betruger / ratte / porc / cerdo / rata / chien / perro / maiale / hund / sau / pourri / inutil / con / bugiardo / clochard / basura / mierda / gusano
+weak 0.3: clown / clowns / fool / fools / parasite / parasites / fraud / frauds / pig / pigs / rat / snake / worm / cow / dog / liar / liars / cheat / jerk / weasel / monkey / donkey / ape / leech / freak / witch / nobody / joke / disgrace / failure / menteur / mentiroso / betruger / ratte / porc / cerdo / rata / chien / perro / maiale / hund / sau / pourri / inutil / con / bugiardo / clochard / basura / mierda / gusano / kuh / esel / affe / ziege / sau / ane / porco / burro / vaca / freaks
 adj 0: stupid / pathetic / worthless / useless / brainless / spineless / filthy / disgusting / rotten / stinking / dirty / lying / idiotic / moronic / dumb / miserable / retarded / ignorant / gutless / vile / repulsive / revolting / ugly / fat / smelly / clueless / braindead / inbred / incompetent / subhuman / diseased
-adj 0: damn / goddamn / bloody / crappy / fucking / shitty / fucked / bloated / useless little / stupid little / lazy / primitive / sick / little / old / mindless / pitiful / worthless little / slimy / cowardly / hopeless
+adj 0: absolute / complete / total / utter / damn / goddamn / bloody / crappy / fucking / shitty / fucked / bloated / useless little / stupid little / lazy / primitive / sick / little / old / mindless / pitiful / worthless little / slimy / cowardly / hopeless
 adj 0: dummer / dumme / dummes / widerlicher / widerliche / erbarmlicher / erbarmliche / dreckiger / dreckige / elender / elende / blod / blode / bloder / verdammter / verdammte / beschissen / beschissene / hasslich / faul / primitiv / dreckigen
 adj 0: pauvre / sale / sales / gros / grosse / pitoyable / stupide / bete / betes / degoutant / moche / feignant / foutu / asqueroso / asquerosa / miserable / maldito / maldita / estupido / estupida / feo / sucio / sucios / patetico / tonto / tontos / schifoso / stupido / brutto / inutile / domme / vieze / lelijke / глупый / тупой / тупая
-harsh 0: stupid / pathetic / worthless / brainless / spineless / disgusting / moronic / idiotic / dumb / braindead / repulsive / gutless / vile / inbred / subhuman / ugly / fucked / retarded / a joke / a disgrace / nothing but trash / blod / hasslich / erbarmlich / stupide / pitoyable / estupido / estupida / patetico / stupido
+harsh 0: bete / betes / tonto / tontos / tonta / tontas / dumme / dummer / dummes / stupide / idiot / hopeless / stupid / pathetic / worthless / brainless / spineless / disgusting / moronic / idiotic / dumb / braindead / repulsive / gutless / vile / inbred / subhuman / ugly / fucked / retarded / a joke / a disgrace / nothing but trash / blod / hasslich / erbarmlich / stupide / pitoyable / estupido / estupida / patetico / stupido
 you 0: eres / sei un / sei una / bist / you / your / yours / yourself / yourselves / u / ur / ya / du / dich / dir / dein / deine / deinen / deinem / deiner / euch / tu / toi / te / ton / ta / tes / vous / votre / vos / ti / tus / usted / vosotros / sei / tuo / tua / voce / jij / je bent / jou / jouw / ты / тебя / твой / твоя
 other 0: he / she / him / her / this guy / this man / this woman / that man / that woman / the author / this author / first author / second author / last author / the authors / the reviewer / this reviewer / first reviewer / second reviewer / reviewer two / reviewer 2 / the editor / my boss / my supervisor / er / sie / il / elle / ella / l auteur / der autor / el autor
-be 0: are / is / re / am / was / were / be / bist / ist / sind / seid / es / est / sont / etes / eres / es un / son / sois / sei un / e un / bent / zijn
-exclaim 0.5: what a / such a / how can one / you little / so ein / so eine / only a / only an / even a / even an / any / espece de / bande de / pedazo de / quel / quelle / menudo / che / wat een / full stop / no doubt / like you / wie du / pareil / pareille / comme toi / como tu
+thou 0: you / u / ya / thou / du / ihr / tu / toi / vous / eres / sei / voce / jij / ты / вы
+thee 0: te / dir / dich / ti / t / euch / os
+be 0: are / is / s / m / re / am / was / were / be / bist / ist / sind / seid / es / est / sont / etes / eres / es un / son / sois / sei un / e un / bent / zijn
+whatkind 0: what kind of / which / what a / what an / such a / such an / you little / so ein / so eine / espece de / espece d / pedazo de
+person 0: man / men / woman / girl / boy / guy / guys / lot / people / person / folks / kerl / mensch / weib / type / mec / tio / tipo
+exclaim 0.5: nothing but / espece d / what a / such a / how can one / you little / so ein / so eine / only a / only an / even a / even an / any / espece de / bande de / pedazo de / quel / quelle / menudo / che / wat een / full stop / no doubt / like you / wie du / pareil / pareille / comme toi / como tu
 iam 0: i am / i m / i was / i feel / we are / ich bin / je suis / soy
 neg 0: not / n t / nobody is / no one is / never be / nicht / kein / keine / pas / no es / isn t / aren t / neither
 insultcue 0.9: fucking / fuckin / shit / bullshit / crap / scheisse / merde / cazzo
-abuse 2.0: fuck you / screw you / fuck off / kiss my ass / kiss my arse / up your ass / go fuck yourself / eat shit / shove it up / damn you / son of a bitch / fuck yourself / suck my dick / suck my cock / bugger off / get fucked / rot in hell / burn in hell / die in a fire / go die / go kill yourself / you disgust me / i hate you all / kys
+abuse 2.0: drop dead / shut the fuck up / the fuck up / shut your mouth / halt die klappe / fuck the lot of you / you all suck / die slow / eat a dick / fuck you / screw you / fuck off / kiss my ass / kiss my arse / up your ass / go fuck yourself / eat shit / shove it up / damn you / son of a bitch / fuck yourself / suck my dick / suck my cock / bugger off / get fucked / rot in hell / burn in hell / die in a fire / go die / go kill yourself / you disgust me / i hate you all / kys
 abuse 2.0: verpiss dich / halt die fresse / halt dein maul / halts maul / fick dich / leck mich am arsch / va te faire foutre / ta gueule / nique ta mere / va te faire / va crever / casse toi / vete al carajo / callate la boca / cierra la boca / vete a la mierda / que te jodan / me cago en / vai a farti fottere / vaffanculo / vai se foder / rot op / krijg kanker / иди нахуй / пошел нахуй / заткнись / spierdalaj
-abuse 1.3: drop dead / piss off / go to hell / get lost / shut up / your trap / trap shut / mouth shut / make me sick / make me puke / make me vomit / crawl back / under your rock / into your hole / waste of space / waste of money / waste of food / eat it / choke on it / stick it up / shove it / belongs in a cage / belongs in the gutter / belongs in the trash / belongs in jail / belong in a cage / belong in the trash / belong in the gutter / a heap of / what is wrong with you
+abuse 1.3: suck it / ferme la / tais toi / callate / get out of my / piss off / go to hell / get lost / shut up / your trap / trap shut / mouth shut / make me sick / make me puke / make me vomit / crawl back / under your rock / into your hole / waste of space / waste of money / waste of food / eat it / choke on it / stick it up / shove it / belongs in a cage / belongs in the gutter / belongs in the trash / belongs in jail / belong in a cage / belong in the trash / belong in the gutter / a heap of / what is wrong with you
 abuse 1.3: so ein / niemand wurde dich / rapport de merde / sale menteur / puto informe / everybody knows it / half the field knows it / take your / nobody likes you / everyone hates you / you make me
+brainof 0: the brain of / brain of a / the brains of / iq of / intelligence of / brain the size
+dumber 0: dumber than / stupider than / uglier than / dumb as / stupid as / thick as / duller than
 brains 0: more brains than / more sense than / more talent than / smarter than / a brain cell / brain cells / half a brain
-hope 0: hope / wish / pray / hoffe / hoffentlich / espere / ojala / spero / j espere / would love to see / cannot wait for / somebody should make / want to see / want to watch
+hope 0: love to watch / love to see / like to watch / like to see / hope / wish / pray / hoffe / hoffentlich / espere / ojala / spero / j espere / would love to see / cannot wait for / somebody should make / want to see / want to watch
 suffer 0: rot / die / burn / dead / get hit / get run over / run over / be hit / suffer / choke / drown / get cancer / cancer / starve / bleed / fall off / fall under / break your neck / verreckst / verrecke / verrecken / stirbst / creves / creve / mourir / mueras / muera / morir / muoia / crepare / crepa / get raped / be raped / crash / vanished / vanish / died / disappear / dropped dead / were gone / were run over / jump off / lose your
 nobody 0: nobody / no one / not one of us / niemand / keiner / personne / nadie / nessuno / who / none of us / world
 misses 0: miss / care / notice / mourn / cry / shed a tear / vermissen / weinen / manqueras / pleurera / llorar / echara de menos / better off / be better / better place
 favour 2.2: us all a favour and disappear / us all a favor and disappear / us all a favour and jump / us all a favor and jump / us all a favour and die / us all a favor and die / the world a favour and die / the world a favor and die / the world a favor and disappear
-menace 2.2: watch your back / i will find you / we will find you / you will pay for this / you ll pay for this / you are dead meat / you re dead / coming for you / kill yourself / hang yourself / slit your wrists / you will regret being born / you are a dead man / sleep with one eye open / jump off a bridge / jump off a roof / end your life / ich bring dich um / je vais te tuer / te voy a matar / ti ammazzo / я тебя убью / ik maak je dood
+menace 1.4: watch your back / i will find you / we will find you / i know who you are
+menace 2.2: you will pay for this / you ll pay for this / you are dead meat / you re dead / coming for you / kill yourself / hang yourself / slit your wrists / you will regret being born / you are a dead man / sleep with one eye open / jump off a bridge / jump off a roof / end your life / ich bring dich um / je vais te tuer / te voy a matar / ti ammazzo / я тебя убью / ik maak je dood
 know 0: know where / wissen wo / sais ou / savons ou / sabemos donde / se donde / so dove
 lair 0: live / lives / sleep / sleeps / park / parks / work / works / stay / kids / family / children / wohnst / schlafst / habites / dors / vives / duermes / trabajas / abiti
 weapon 0: brick / hammer / bullet / bomb / knife / gun / bullets / rope / acid / noose
@@ -78,14 +86,16 @@ will 0: will / ll / gonna / going to / should / ought to / want to / would love
 kill 0: kill / murder / shoot / stab / strangle / rape / hurt / behead / gas / exterminate / hang / burn / lynch / beat / slaughter / execute / destroy / poison / drown / whip / sterilise / sterilize / deport / castrate / wipe out / eradicate / choke / cut / slit / crush / bomb / nuke / round up / lock up / get rid of / toten / umbringen / vergasen / erschiessen / tuer / buter / exterminer / matar / quemar / exterminar / ammazzare / bruciare / expulser / brule / bruler
 harm 0: punch / smash / break / kick / cut / slit / crush / bash / rip / knock / cave / beat / bust / snap / slap / stomp / carve / shoot / put a bullet in / wring / casser / romper / brechen
 body 0: teeth / face / neck / fingers / legs / skull / throat / nose / jaw / arms / head / bones / ribs / knees / kneecaps / hands / brains / guts / gueule / dents / cara / dientes / knochen / zahne
-shouldbe 0: should be / ought to be / deserve to be / deserves to be / must be / need to be / needs to be / should all be / should have been / gehoren / gehort / gehoren alle / devraient etre / deberian ser / merece / merecen / merites / should get / deserve / deserves / earned / should hang / should burn / should die / merite / need every / deserve every / earned every
-hurtpass 0: flogged / beaten / strangled / shot / hanged / hung / burned / burnt / gassed / killed / whipped / drowned / exterminated / put down / put to death / lynched / raped / castrated / sterilised / sterilized / beheaded / stoned / tortured / locked up / locked away / rounded up / deported / shot on sight / caned / thrashed / verprugelt / vergast / erschossen / verjagt / aufgehangt / abgeschoben / abattus / battu / battus / gazes / extermines / tabasse / fusilados / quemados / apaleado / una paliza / une raclee / raclee / paliza / beating / bullet / kick / slap / to die / to suffer / to rot / to burn / hang / die / burn / every bullet / every beating / every kick
-expel 1.7: kicked out of / thrown out of / burned out of / driven out of / run out of / chased out of / echarlos a patadas / a patadas / les jette dehors / jette dehors / gehoren verjagt / raus aus / auslander raus / hors de france / fuera de / should be deported / out of our towns / out of our labs / out of our journals / out of our schools / out of our country / out of our universities / out of our villages / out of our streets
+shouldbe 0: should be / ought to be / deserve to be / deserves to be / must be / need to be / needs to be / should all be / should have been / gehoren / gehort / gehoren alle / devraient etre / deberian ser / merece / merecen / merites / should get / deserve / deserves / earned / should hang / should burn / should die / merite / need / needed
+everyhit 0: every bullet / every beating / every kick / every blow / every slap / every punch / every insult
+hurthuman 0: hanged / flogged / gassed / lynched / raped / castrated / stoned / tortured / deported / beheaded / whipped / strangled / put down like / sterilised / sterilized / aborted / shot on sight
+hurtpass 0: aborted / drowned at birth / never been born / flogged / beaten / strangled / shot / hanged / hung / burned / burnt / gassed / killed / whipped / drowned / exterminated / put down / put to death / lynched / raped / castrated / sterilised / sterilized / beheaded / stoned / tortured / locked up / locked away / rounded up / deported / shot on sight / caned / thrashed / verprugelt / vergast / erschossen / verjagt / aufgehangt / abgeschoben / abattus / battu / battus / gazes / extermines / tabasse / fusilados / quemados / apaleado / una paliza / une raclee / raclee / paliza / beating / bullet / kick / slap / to die / to suffer / to rot / to burn / hang / die / burn / every bullet / every beating / every kick
+expel 1.4: kicked out of / thrown out of / burned out of / driven out of / run out of / chased out of / echarlos a patadas / a patadas / les jette dehors / jette dehors / gehoren verjagt / raus aus / auslander raus / hors de france / fuera de / should be deported / out of our towns / out of our labs / out of our journals / out of our schools / out of our country / out of our universities / out of our villages / out of our streets
 group 0: women / jews / muslims / christians / immigrants / migrants / refugees / foreigners / blacks / arabs / africans / asians / mexicans / gays / lesbians / homosexuals / queers / trans people / transgender people / disabled people / the disabled / cripples / gypsies / roma people / black people / white people / brown people / gay people / trans women / females / feminists / hindus / blacks and / these people / those people / you people / people like you / people like them / their kind / your kind / her kind / his kind / that race / that tribe / old people / fat people / the poor / beggars / homeless people / peasants / natives / indians / whites / turks / poles / cubans / haitians / somalis / syrians
 group 0: auslander / juden / turken / frauen / fluchtlinge / migranten / muslime / schwarze / schwule / behinderte / zigeuner / weiber / etrangers / immigres / arabes / juifs / femmes / noirs / musulmans / pedes / handicapes / tziganes / migrants / inmigrantes / judios / mujeres / negros / moros / extranjeros / gitanos / musulmanes / maricones / immigrati / ebrei / donne / zingari / stranieri / negri / joden / vrouwen / buitenlanders / moslims / imigrantes / judeus / mulheres / евреи / женщины / мигранты / черные / cette race / esa raza / esa gente / ces gens / diese leute
 they 0: they / them / those / these / der ganze haufen / the whole lot / all of them / every one of them / ils / elles / ces / les / ellos / ellas / esos / esas / los / las / sie / diese / alle / denen / essi / loro / zij
-degrade 1.0: vermin / subhuman / subhumans / savages / filth / scum / half apes / half ape / lesser beings / lesser race / inferior race / inferior beings / born liars / born thieves / dirty animals / filthy animals / cockroaches / ungeziefer / abschaum / untermenschen / untermensch / dreckspack / gesindel / parasitenpack / vermine / racaille / sauvages / sous hommes / escoria / alimanas / ratas / salvajes / infrahumanos / feccia / parassiti / tuig / ongedierte / escoria / отребье / недочеловеки
-degradeweak 0.3: animals / rats / roaches / pigs / dogs / apes / monkeys / parasites / a plague / a disease / a cancer / trash / garbage / diseased / criminals / thieves / rapists / dirt / worthless / lazy / dirty / filthy / invaders / leeches / worms / mistakes of nature / tiere / ratten / affen / dreck / animaux / rats / des rats / singes / ordures / parasites / animales / cerdos / monos / plaga / una plaga / basura / animali / scimmie / ratti / dieren / liars / cheats
+degrade 1.0: vermin / subhuman / subhumans / savages / filth / scum / half apes / half ape / lesser beings / lesser race / inferior race / inferior beings / born liars / born thieves / dirty animals / filthy animals / cockroaches / ungeziefer / abschaum / untermenschen / untermensch / dreckspack / gesindel / parasitenpack / vermine / racaille / sauvages / sous hommes / escoria / alimanas / salvajes / infrahumanos / feccia / parassiti / tuig / ongedierte / escoria / отребье / недочеловеки
+degradeweak 0.3: ratas / mentally ill / terrorists / pedophiles / paedophiles / perverts / freaks / useless / inutiles / idiots / morons / whores / sluts / idioten / idiotas / terroristes / terroristas / terroristen / voleurs / ladrones / animals / rats / roaches / pigs / dogs / apes / monkeys / parasites / a plague / a disease / a cancer / trash / garbage / diseased / criminals / thieves / rapists / dirt / worthless / lazy / dirty / filthy / invaders / leeches / worms / mistakes of nature / tiere / ratten / affen / dreck / animaux / rats / des rats / singes / ordures / parasites / animales / cerdos / monos / plaga / una plaga / basura / animali / scimmie / ratti / dieren / liars / cheats
 too 0: too / zu / trop / demasiado / troppo / te / as dumb as / as stupid as
 breed 0: breed / multiply / bred / reproduce / vermehren sich / se reproduisent / se multiplient / se reproducen / spread
 pest 0: rats / roaches / cockroaches / flies / rabbits / vermin / lice / mice / ratten / kakerlaken / karnickel / rats / cafards / lapins / ratas / cucarachas / conejos / a virus
@@ -95,7 +105,9 @@ never 0: never hire / never trust / never publish / never employ / never marry /
 touch 1.0: touch my / near my / near our children / near our kids / into my house
 onlygood 0: the only good / only good / der einzig gute / le seul bon / el unico
 deadone 0: locked away / locked up / behind bars / buried / dead / dead one / dead ones / never speak / in chains / muertos / mort / toter / in a grave
-sendback 2.2: back where they came from / back to where they came from / back where you came from / back to where you came from / back to where you belong / go back to africa / go back to mexico / go back to your country / back to the jungle / back to their caves / retourne dans ton pays / geh zuruck in dein land / vuelve a tu pais / vete a tu pais / torna al tuo paese
+send 0: send / ship / throw / kick / drive / go / get / move
+sendback 1.0: back where they came from / back to where they came from / back where you came from / back to where you came from / back to where you belong
+gohome 2.2: go back to africa / go back to mexico / go back to your country / back to the jungle / back to their caves / retourne dans ton pays / geh zuruck in dein land / vuelve a tu pais / vete a tu pais / torna al tuo paese
 servile 2.0: stay in chains / should serve us / serve us and / know their place / be kept in cages / kept like slaves / be our slaves / belong in cages / belong in the kitchen / back in the kitchen / no sirven ni para / ne servent a rien / taugen zu nichts / should not be allowed to breed / should not be allowed to vote / should have stayed slaves
 wipe 0: wipe / erase / remove / wiped / burn / clean
 offmap 0: off the map / off the earth / off the face / off this planet / off the list of the living / from the earth / off the planet / from this planet / from the map
@@ -111,7 +123,7 @@ sexkind 1.0: hot sex / rough sex / wild sex / dirty sex / hard sex / steamy sex
 sexad 0: free / click / click here / watch / hot / live / wild / no login / log in / login / over eighteen / over 18 / near you / near your town / near your campus / near you now / cheap / dirty / hardcore / uncensored / tonight / now / meet / lonely / singles / wet / amateur / download / subscribe / visit my / whatsapp / call me / teen / teens
 sexware 0.8: porn / porno / sex cams / sex cam / live sex / sex chat / webcam girls / cam girls / naked couples / naked housewives / naked students / naked girls / naked women / naked teens / naked bodies / nude girls / nude women / horny singles / lonely singles / horny / escorts / sexy singles / sexy girls / naked pics / nude pics / naked photos / nude photos / naked pictures / nude pictures / naked video / nude video / nacktbilder / photos nues / fotos desnuda / hardcore / milf / onlyfans / erotic massage
 media 0: photos / photo / pictures / pics / video / videos / clips / clip / selfie / selfies / movies / bilder / fotos / fotos de / photos de / nacktbilder / nacktbilder von / foto / image / images
-subject 0: word / words / term / terms / slur / slurs / phrase / phrases / called / labelled / labeled / classified / annotators / annotator / annotated / annotation / detect / detects / detecting / detection / detector / classifier / dataset / datasets / corpus / lexicon / example / examples / quoted / quote / quotes / survey item / questionnaire / item / hate speech / abusive language / offensive language / toxic comments / moderation / moderators / code of conduct / tweets / posts / comments such as / participants / respondents / interviewees / patients / victims / stereotypes / stereotype / propaganda / the study / we study / studied / prejudice / discrimination / harassment / reported / reports / told us / testified / historians / masked / insults / filter / filters / banned / novel / poem / the film / character / characters / etymology / translation / sex education / sexual health / beleidigung / schimpfwort / insulte / insultos
+subject 0: suicide / prevention / helpline / bullies / bullied / bullying / told him / told her / told them / sentenced / fired / convicted / word / words / term / terms / slur / slurs / phrase / phrases / called / labelled / labeled / classified / annotators / annotator / annotated / annotation / detect / detects / detecting / detection / detector / classifier / dataset / datasets / corpus / lexicon / example / examples / quoted / quote / quotes / survey item / questionnaire / item / hate speech / abusive language / offensive language / toxic comments / moderation / moderators / code of conduct / tweets / posts / comments such as / participants / respondents / interviewees / patients / victims / stereotypes / stereotype / propaganda / the study / we study / studied / prejudice / discrimination / harassment / reported / reports / told us / testified / historians / masked / insults / filter / filters / banned / novel / poem / the film / character / characters / etymology / translation / sex education / sexual health / beleidigung / schimpfwort / insulte / insultos
 """
 
 # Weight, then classes in their order, with the most words between two of them; "^" is the start of the
@@ -120,36 +132,38 @@ PATTERNS = """
 0.9 you 4 insult; 0.9 insult 4 you; 0.5 you 12 insult; 0.5 insult 12 you; 1.3 other 2 be 3 insult; 1.2 other 2 be 3 weak; 0.6 other 4 insult; 0.9 you 2 be 3 insult
 1.4 you 2 be 3 weak; 1.2 weak 0 exclaim; 1.2 exclaim 2 weak 2 you; 1.2 you 1 weak; 0.7 you 5 weak; 0.7 weak 2 you; 0.7 weak 3 abuse; 0.7 abuse 1 weak
 0.7 adj 1 insult; 0.7 adj 1 weak; 0.7 insultcue 1 insult; 0.7 insultcue 1 weak; 0.5 insult 0 adj; 0.5 insult 3 adj
-0.5 be 3 insult; 0.5 exclaim 3 insult; 0.5 exclaim 3 weak
-2.1 you 1 be 2 harsh; 1.1 harsh 3 you 0 be; 1.2 exclaim 2 harsh
+0.5 be 3 insult; 0.5 exclaim 3 insult; 0.5 exclaim 3 weak; 1.2 whatkind 1 insult
+2.1 you 1 be 2 harsh; 2.1 thou 0 harsh; 1.2 thou 0 adj; 2.0 thou 0 adj 1 weak; 1.1 harsh 3 you 0 be; 1.2 exclaim 2 harsh
 0.8 weak 3 harsh; 0.4 weak 3 weak
 0.7 you 0 adj; 0.5 adj 1 insultcue; 0.5 you 2 adj
-1.6 brains 2 you; 1.6 brains 2 other; 0.8 you 4 brains
+1.6 brains 2 you; 1.6 brains 2 other; 0.8 you 4 brains; 2.0 you 2 brainof; 2.0 you 2 dumber; 1.6 other 2 dumber
 2.2 hope 2 you 5 suffer; 2.2 hope 3 group 5 suffer; 2.2 hope 2 insult 4 suffer; 2.2 hope 0 suffer
 2.2 nobody 3 misses 4 you 3 suffer; 2.2 nobody 3 you 2 misses 4 suffer; 2.2 nobody 4 misses 0 suffer; 2.2 nobody 4 misses 3 you; 1.2 misses 4 you 1 suffer; 2.0 suffer 4 you 4 nobody; 2.2 suffer 4 nobody 4 misses
 2.2 know 0 you 1 lair; 2.2 know 2 lair
 2.2 letter 6 weapon; 1.2 abuse 8 weapon; 1.2 insult 9 weapon; 1.2 weak 9 weapon
 2.2 will 3 kill 0 you; 2.2 will 3 kill 3 group; 2.2 ^ 1 kill 3 group; 2.2 kill 1 they 1 group; 2.2 will 3 kill 1 they; 1.2 will 5 kill 2 they 4 degrade
-2.2 harm 1 you 2 body; 2.2 kill 1 you 2 body; 2.2 harm 1 your 2 body
-2.2 you 5 shouldbe 2 hurtpass; 2.2 group 5 shouldbe 3 hurtpass; 2.2 insult 4 shouldbe 3 hurtpass; 2.2 degrade 6 shouldbe 3 hurtpass; 2.0 they 4 shouldbe 1 hurtpass; 2.2 you 3 shouldbe 2 kill; 1.2 exclaim 4 shouldbe 2 hurtpass; 1.6 folk 6 shouldbe 3 hurtpass; 1.2 weak 4 shouldbe 3 hurtpass
+2.2 harm 1 you 2 body; 2.2 thee 4 harm 2 body; 2.2 kill 1 you 2 body; 2.2 harm 1 your 2 body
+2.2 you 5 shouldbe 2 hurtpass; 2.2 group 5 shouldbe 3 hurtpass; 2.2 insult 4 shouldbe 3 hurtpass; 2.2 degrade 6 shouldbe 3 hurtpass; 0.7 they 4 shouldbe 1 hurtpass; 2.0 they 1 shouldbe 2 hurthuman; 2.0 they 4 shouldbe 1 everyhit; 2.0 shouldbe 0 everyhit; 2.2 you 3 shouldbe 2 kill; 1.2 exclaim 4 shouldbe 2 hurtpass; 1.6 folk 6 shouldbe 3 hurtpass; 1.2 weak 4 shouldbe 3 hurtpass
 1.0 they 2 be 3 degrade; 1.4 group 4 be 3 degrade; 1.4 folk 4 be 3 degrade; 1.4 group 2 be 3 insult; 1.4 degrade 0 group; 1.0 degrade 0 folk
 1.9 group 3 be 3 degradeweak; 1.2 folk 3 be 3 degradeweak; 1.0 they 1 be 3 degradeweak; 0.6 be 3 degradeweak 4 expel
-1.2 group 2 be 1 too 0 adj; 1.2 folk 2 be 1 too 0 adj; 1.0 they 2 be 1 too 0 adj; 1.0 be 4 too 0 adj
+1.2 group 2 be 1 too 0 adj; 2.0 group 2 be 1 too 0 harsh; 1.2 folk 2 be 1 too 0 adj; 1.0 they 2 be 1 too 0 adj; 1.0 be 4 too 0 adj
 1.4 breed 0 like 0 pest; 1.0 breed 1 pest
 0.7 group 3 breed; 0.7 folk 3 breed; 0.7 they 2 breed
 1.2 group 12 theft; 0.9 folk 12 theft; 0.7 they 6 theft
-1.2 group 9 expel; 0.6 folk 9 expel; 0.6 degrade 5 expel
+1.2 group 9 expel; 0.6 folk 9 expel; 0.6 degrade 5 expel; 0.8 never 1 adj 3 expel
 1.1 never 2 group; 1.1 never 2 folk; 0.7 never 4 they
 1.2 adj 0 group; 0.9 adj 0 folk
 2.2 onlygood 4 deadone; 2.2 onlygood 3 be 3 deadone
 1.0 blood 20 adj; 1.0 adj 14 blood; 0.9 group 14 blood; 0.9 folk 14 blood
 2.2 wipe 4 offmap
+1.3 send 2 group 1 sendback; 1.3 send 2 folk 1 sendback; 1.3 send 1 they 1 sendback; 1.3 send 0 sendback; 1.2 send 2 you 1 sendback
+0.8 ^ 0 menace; 0.8 menace 8 lair; 0.8 menace 6 harm; 0.8 menace 6 kill; 0.8 menace 6 suffer; 0.8 menace 5 insult; 0.8 menace 5 weak
 2.2 sexact 3 sexbody; 2.0 sexbody 4 sexact; 1.2 sexact 2 owner 3 sexcue
 1.4 owner 1 sexbody 4 sexcue; 0.8 owner 0 sexbody; 1.4 sexact 1 owner 2 flesh
 1.0 you 8 sexvulgar; 1.0 sexvulgar 4 you
 1.0 bunch 2 insult; 1.0 bunch 2 weak; 1.0 bunch 2 degradeweak
 1.0 sexcue 14 sexcue; 0.5 sexcue 20 sexkind; 0.6 sexkind 14 sexcue
-1.2 sexware 4 you; 0.7 sexware 1 media; 1.0 media 2 you 2 sexbody; 0.8 media 2 sexbody; 1.2 sexware 6 sexad; 1.2 sexad 3 sexware
+1.2 owner 1 sexware; 1.2 sexware 4 you; 0.7 sexware 1 media; 1.0 media 2 you 2 sexbody; 0.8 media 2 sexbody; 1.2 sexware 6 sexad; 1.2 sexad 3 sexware
 1.0 sexad 4 sexware 8 sexad; 0.8 sexware 10 sexad; 1.0 sexware 12 sexware
 -1.6 iam 3 insult; -1.6 iam 3 weak; -1.6 neg 2 insult; -1.6 neg 2 weak; -2.2 neg 2 harsh; -2.2 nobody 0 shouldbe; -1.2 neg 2 degrade
 """
@@ -168,7 +182,7 @@ HOMOGLYPHS = str.maketrans({
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "€": "e", "+": "t"}
 # Letter groups that scanners confuse, and ordinary words that would fall together with lexicon words.
 MISREAD = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("e", "c"), ("i", "l"), ("1", "l"), ("0", "o")]
-ORDINARY = {"down", "like", "date", "dear"}
+ORDINARY = {"down", "like", "date", "dear", "deep", "files"}
 
 _RUNS = re.compile(r"(.)\1+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")

@@ -7,7 +7,7 @@ import pytest
 
 from folioscope.llm import markup as mk
 from folioscope.llm import toxicity as tox
-from tests.llm.toxicity_held_out import ABUSIVE, HARMLESS
+from tests.llm.toxicity_held_out import ABUSIVE, ABUSIVE_LATER, HARMLESS, HARMLESS_LATER
 
 CASES = [
     ("== Results ==\nplain", {"heading"}), ("# Title\ntext", {"heading"}), ("Title\n=====\ntext", {"heading"}), ("<h2>1 Intro</h2>\nx", {"heading"}), (r"\subsection*{On it} x", {"heading"}),
@@ -157,11 +157,13 @@ def test_toxic_sentence_in_a_long_text():
     assert tox.score_text(lex, "We measured the density of the sample. " * 3000 + BAD[0]) >= tox.THRESHOLD
 
 
-def test_held_out_sentences():
-    """Written apart from the lexicon and never used to change it; 0.89 and 0.0 when first measured."""
+@pytest.mark.parametrize("abusive, harmless", [(ABUSIVE, HARMLESS), (ABUSIVE_LATER, HARMLESS_LATER)])
+def test_held_out_sentences(abusive, harmless):
+    """Written apart from the lexicon and never used to change it. When first measured: 0.89 and 0.00 for the first set, and
+    0.83 and 0.04 for the second one, written after the patterns had been broadened on other sentences."""
     lex = tox.Lexicon()
-    recall = np.mean([tox.score_text(lex, t) >= tox.THRESHOLD for t in ABUSIVE])
-    false = np.mean([tox.score_text(lex, t) >= tox.THRESHOLD for t in HARMLESS])
+    recall = np.mean([tox.score_text(lex, t) >= tox.THRESHOLD for t in abusive])
+    false = np.mean([tox.score_text(lex, t) >= tox.THRESHOLD for t in harmless])
     assert recall >= 0.8 and false <= 0.1
 
 

@@ -19,3 +19,19 @@ HARMLESS = [
     "Orgasm disorders were reported by nine percent of respondents.", "Vermin control in grain stores remains difficult.", "Jews and Muslims lived in the same quarter.", "It would be foolish to ignore the noise.", "The whole lot was sold at auction.",
     "The dog breed multiplies quickly.", "If the fan dies, the disk will suffer.", "We hope you get good results.", "They should be removed from the list.",
 ]
+
+# A second set, written after the patterns were broadened and measured once.
+ABUSIVE_LATER = [
+    "You are a miserable excuse for a human being.", "I wish somebody would run you over.", "Get lost, you useless old hag.", "Only a brainless fool like you could miss this.", "The editor is a spineless coward.",
+    "Keep talking and I will smash your face in.", "We know where your kids go to school.", "You ought to be shot for this.", "Disabled people are a waste of money and should be put down.", "Arabs are savages.",
+    "Black people belong in cages.", "They are subhuman and breed like rats.", "Throw the gays off a roof.", "Jews are liars, every one of them.", "His hard cock slid between her lips.",
+    "She spread her legs and begged for more.", "Free porn videos of naked teens, click here.", "Let me lick your tits.", "W0rthl3ss b1tch, go to hell.", "Du bist so dumm, du Versager.",
+    "Va te faire voir, sale con.", "Eres un cabrón y un inútil.", "I will kill you if you publish this.", "You make me want to puke, you filthy rat.",
+]
+HARMLESS_LATER = [
+    "The fox killed three hens.", "You should always wash your hands.", "The whole family went to church.", "Her latest novel is about rape and revenge.", "The dog was put down after the accident.",
+    "Black people were excluded from the trial.", "Arab states signed the treaty.", "Old people need more vitamin D.", "The bitch had six puppies.", "You can shoot raw files with this camera.",
+    "The dirty bomb was defused.", "He is a coward in the play.", "Cut the neck of the bottle.", "This fraud was found by auditors.", "The parasite lives in the gut of rats.",
+    "I am such an idiot, I forgot the file.", "What a stupid mistake I made.", "Nude paintings were banned in that period.", "The virus will kill the host cell.", "Breasts and ovaries were examined.",
+    "You will pay for the ticket later.", "The cheap pump sucks air.", "The children were beaten at school in former times.", "Gypsy moths are a plague in oak forests.",
+]
