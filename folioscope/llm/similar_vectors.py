@@ -129,6 +129,21 @@ def route(tree: Tree, v: np.ndarray, margins: np.ndarray | float = 0.0) -> tuple
     return np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out])
 
 
+def _verified(queries: np.ndarray, members: np.ndarray, collide: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, Euclidean distance) of the unit vectors that collide. Where these are many, distances come from one
+    product, and of each query only the ``k`` nearest, with ties, are given."""
+    if np.count_nonzero(collide) * 20 < collide.size:
+        q, x = np.nonzero(collide)
+        return q, x, np.sqrt(((queries[q] - members[x]).astype(np.float64) ** 2).sum(axis=1))
+    a, b = queries.astype(np.float64), members.astype(np.float64)
+    distance = np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+    distance[~collide] = np.inf
+    if distance.shape[1] > k:
+        distance[distance > np.partition(distance, k - 1, axis=1)[:, k - 1 : k]] = np.inf
+    q, x = np.nonzero(np.isfinite(distance))
+    return q, x, distance[q, x]
+
+
 def collision_search(
     queries: np.ndarray, members: np.ndarray, radius: float, k: int, seed: int = 7, projections: int = PROJECTIONS
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -157,8 +172,7 @@ def collision_search(
                 low = np.searchsorted(arrays[j], centre[active, j] - WIDTH * cover, "left").astype(kind)
                 high = np.searchsorted(arrays[j], centre[active, j] + WIDTH * cover, "right").astype(kind)
                 counts += (place[j][None, :] - low[:, None]) < (high - low)[:, None]
-            q, x = np.nonzero(counts >= need)
-            distance = np.sqrt(((own[active[q]] - members[x]).astype(np.float64) ** 2).sum(axis=1))
+            q, x, distance = _verified(own[active], members, counts >= need, k)
             near = distance <= cover
             enough = np.bincount(q[near], minlength=len(active)) >= k
             # what is found is given once: in the last round, or when the query stops
@@ -191,6 +205,17 @@ def _found(queries: np.ndarray, members: np.ndarray, radius: float, k: int, seed
     return query, member, distance / np.sqrt(2)
 
 
+def _nearest(query: np.ndarray, member: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of each query's ``k`` nearest members, with ties at the last distance: in a crowd of vectors that all lie
+    within the radius nobody needs more."""
+    order = np.lexsort((distance, query))
+    query, member, distance = query[order], member[order], distance[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    last = _kth(query, distance, int(query[-1]) + 1 if len(query) else 0, k)
+    keep = (rank < k) | (distance == last[query] if len(query) else False)
+    return query[keep], member[keep], distance[keep]
+
+
 def _kth(query: np.ndarray, distance: np.ndarray, n: int, k: int) -> np.ndarray:
     """Distance of the k-th nearest of each of ``n`` queries, infinite where there are fewer."""
     order = np.lexsort((distance, query))
@@ -245,14 +270,15 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
         v, ids = vectors_of(frame), frame["class"].to_numpy()
         query, member, distance = _found(v, v, radius, k + 1, seed)  # one more: each finds itself
         other = query != member
-        query, member, distance = query[other], member[other], distance[other]
+        query, member, distance = _nearest(query[other], member[other], distance[other], k)
         # a crowded vector needs only what is nearer than the k-th it has
         margins = MARGIN * np.minimum(radius, 2 * np.sqrt(2) * _kth(query, distance, len(v), k))
         row, where = route(tree, v, margins)
         away = where != frame["leaf"].iloc[0]
         row, where = row[away], where[away]
-        pairs, once = np.unique(np.stack([np.minimum(query, member), np.maximum(query, member)]), axis=1, return_index=True)
-        near = pd.DataFrame({"class": ids[pairs[0]], "near": ids[pairs[1]], "distance": distance[once]}, columns=["class", "near", "distance", "leaf", "bits"])
+        low, high = np.minimum(query, member), np.maximum(query, member)
+        _, once = np.unique(low * len(v) + high, return_index=True)
+        near = pd.DataFrame({"class": ids[low[once]], "near": ids[high[once]], "distance": distance[once]}, columns=["class", "near", "distance", "leaf", "bits"])
         travels = pd.DataFrame({"class": ids[row], "leaf": where, "bits": [v[i].tobytes() for i in row]}, columns=near.columns)
         return pd.concat([x.astype({"near": "Int64", "leaf": "Int32"}) for x in (near, travels)], ignore_index=True)
 
@@ -267,7 +293,7 @@ def similar_distributions(vectors: DataFrame, k: int, max_distance: float, seed:
     def other_leaf(frame: pd.DataFrame) -> pd.DataFrame:
         ask = frame["asks"].to_numpy()
         v, ids = vectors_of(frame), frame["class"].to_numpy()
-        query, member, distance = _found(v[ask], v[~ask], radius, k, seed)
+        query, member, distance = _nearest(*_found(v[ask], v[~ask], radius, k, seed), k)
         return pd.DataFrame({"class": ids[ask][query], "near": ids[~ask][member], "distance": distance})
 
     second = asks.unionByName(held).groupBy("leaf", "group").applyInPandas(other_leaf, "class bigint, near bigint, distance double")

@@ -162,6 +162,23 @@ def test_leaves_and_travelling_queries(spark, monkeypatch):
     assert len(true & have) / len(true) > 0.97
 
 
+def test_a_crowd_of_near_vectors(spark, monkeypatch):
+    """A third of all vectors lie within the radius of each other: links stay few and neighbours are found."""
+    monkeypatch.setattr(sv, "LEAF_VECTORS", 60)
+    rng = np.random.default_rng(9)
+    base = rng.dirichlet(np.full(16, 0.3), 400)
+    crowd = np.abs(base[0] + rng.normal(0, 0.002, (200, 16)))
+    x = np.concatenate([base, crowd])
+    x /= x.sum(axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, v array<double>").repartition(3)
+    have = {}
+    for r in sv.similar_distributions(df, 5, 0.15).collect():
+        have.setdefault(r.key, set()).add(r.other)
+    want = {i: {j for j, _ in v} for i, v in brute_neighbours(x, 5, 0.15).items()}
+    true = sum(map(len, want.values()))
+    assert sum(map(len, have.values())) == true and sum(len(want[i] & have.get(i, set())) for i in want) / true > 0.95
+
+
 @pytest.mark.parametrize("alpha", [1.0, 0.2, 0.02])
 def test_recall_of_the_tree_on_dense_and_peaked_vectors(alpha):
     """Pairs at the radius and nearer, by brute force; both ways of a pair count, as in the search."""
