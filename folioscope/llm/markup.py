@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 LABELS = ["text", "heading", "list", "code", "formula", "other"]
 TEXT, HEADING, LIST, CODE, FORMULA, OTHER = range(6)
 PATH_DIMS, WORD_DIMS, HIDDEN = 512, 32, 16
-#: Training: generated documents, epochs and seed. These bound the cost, nothing about the corpus.
-TRAIN_DOCS, EPOCHS, SEED = 3000, 10, 11
+#: Training: generated documents, epochs, documents of one step and seed. These bound the cost, nothing about the corpus.
+TRAIN_DOCS, EPOCHS, BATCH, SEED = 3000, 10, 50, 11
 _DIMS = PATH_DIMS + WORD_DIMS
 
 # Element and environment names by what they mark up.
@@ -521,15 +521,15 @@ def train(docs: int = TRAIN_DOCS, epochs: int = EPOCHS, seed: int = SEED) -> dic
     net = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for k, s in shape.items()}
     first, second = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}
     done = 0
+    # documents of like length together, the groups in random order
+    order = sorted((i for i in range(docs) if documents[i]), key=lambda i: (len(documents[i]), i))
+    groups = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+    taught = [
+        (vectors([leaf for i in g for leaf in documents[i]]), np.array([len(documents[i]) for i in g]), np.concatenate([labels[i] for i in g])) for g in groups
+    ]
     for _ in range(epochs):
-        # documents of like length together, the groups in random order
-        order = sorted(range(docs), key=lambda i: (len(documents[i]), i))
-        groups = [order[i : i + 50] for i in range(0, docs, 50)]
         for g in rng.permutation(len(groups)):
-            chosen = [i for i in groups[g] if documents[i]]
-            x = vectors([leaf for i in chosen for leaf in documents[i]])
-            y = np.concatenate([labels[i] for i in chosen])
-            grad = _step(net, x, np.array([len(documents[i]) for i in chosen]), y)
+            grad = _step(net, *taught[g])
             done += 1
             for k, d in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * d
