@@ -1,15 +1,16 @@
 """Variant spellings of names: metric-space partitioning with exact radius joins, then linking.
 
-1. A spelling is read into a key string (the family name; the sorted words of an organisation that is written out,
-   else its initials) and the rest (given name or initial, middle initials; the words of an organisation).
-2. The distinct key strings form a metric space under the unrestricted Damerau-Levenshtein distance. Each goes to
+1. A spelling is read into a key string (the family name; the initials of an organisation) and the rest (given name or
+   initial, middle initials; the words of an organisation).
+2. The distinct family names, and apart from them the words of organisations that are written out, form a metric space under the unrestricted Damerau-Levenshtein distance. Each goes to
    the cell of its nearest pivot and, by the triangle inequality, as a guest to every cell whose pivot is at most
    2 * radius farther; within a cell, home strings meet all members, pivot distances rule most pairs out, and the
    edit distance decides. This finds every pair within the radius, whatever the pivots are. A cell with many home
    strings gets pivots of its own, level after level, so cells stay small however many strings there are.
 3. Spellings whose keys are within the radius and whose affiliations agree are compared by the rest. Full names
    that agree form groups (connected components); initials and abbreviations join a group only if it is the only
-   one that fits; spellings of unknown affiliation likewise, over all affiliations.
+   one that fits; spellings of unknown affiliation likewise, over all affiliations, and those that fit nowhere among
+   themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from folioscope.llm.graph_labels import component_labels
 from folioscope.session import checkpointed
@@ -377,6 +379,17 @@ def full_names(name: str) -> frozenset[str]:
     return frozenset(SHORT.get(name) or {name, *(full for full in FULL_NAMES if len(name) > 3 and within_one(full, name))})
 
 
+def given_letters(rest: str) -> list[str]:
+    """Letters of a given name or initial; two that ``agree`` share one. Strings one edit apart share one of their first
+    two, short forms and initials the first of a full name."""
+    return sorted({*rest[:2], *(full[0] for full in full_names(rest))})
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _given_letters(rest: pd.Series) -> pd.Series:
+    return rest.map(lambda r: given_letters(r) if r else [])
+
+
 def _unmatched(a: list[str], b: list[str], short: bool) -> int | None:
     """How many words of two organisations differ by one edit (or, if ``short``, by an abbreviation), in whatever order
     they stand; None if some word has no partner."""
@@ -429,33 +442,43 @@ def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in zip(f["kind"], f["rest_a"], f["mids_a"], f["grade_a"], f["known_a"], f["rest_b"], f["mids_b"], f["grade_b"], f["known_b"])
         ]
         out = pd.DataFrame({"a": f["a"], "b": f["b"], "level": np.array(level, dtype=np.int32), "exact": f["exact"],
-                            "mid": (f["mids_a"] != "") & (f["mids_a"] == f["mids_b"])})
+                            "mid": (f["mids_a"] != "") & (f["mids_a"] == f["mids_b"]), "same": (np.array(level) == 2) & (f["rest_a"] == f["rest_b"])})
         yield out[out["level"] > 0]
 
 
-def _joined_words(rest: Column) -> Column:
-    """The words of an organisation as one string of the metric space, apart from family names."""
-    return F.concat(F.lit("#"), F.replace(rest, F.lit(" "), F.lit("")))
+def _with_rarest_word(forms: DataFrame) -> DataFrame:
+    """``forms`` with ``pick``: the rarest word of an organisation that is written out, else null."""
+    is_org = (F.col("kind") == "o") & (F.col("grade") == 2)
+    words = forms.where(is_org).select("rest").distinct().withColumn("word", F.explode(_words(F.col("rest"))))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    picks = words.join(counts, "word").groupBy("rest").agg(F.min(F.struct("n", "word"))["word"].alias("pick"))
+    return forms.where(is_org).join(picks, "rest").unionByName(forms.where(~is_org).withColumn("pick", F.lit(None).cast("string")))
+
+
+def _words(rest: Column) -> Column:
+    """The distinct words of an organisation as strings of the metric space, apart from family names."""
+    return F.transform(F.array_distinct(F.split(rest, " ")), lambda w: F.concat(F.lit("#"), w))
 
 
 def key_bases(keys: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((key, base), (base_a, base_b), (words_a, words_b)) for a column ``key`` with repeats and the joined words
-    (column ``key``) of organisations that are written out.
+    """((key, base), (base_a, base_b), (word_a, word_b)) for a column ``key`` with repeats and the words (column
+    ``key``) of organisations that are written out.
 
     Keys are close within RADIUS as typed or as skeletons (see ``skeleton_column``). The base of a key is the one of its
     close keys (itself included) that occurs most often, so a mistyped key gets the key it stands for; two bases
     are paired where keys of theirs are close. Organisations' initials ("#...") are close to themselves only, their
-    joined words within RADIUS.
+    words within RADIUS.
     """
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     counts = checkpointed(counts.withColumn("skel", skeleton_column(F.col("key"))))
     persons = counts.where(~F.col("key").startswith("#"))
-    close = checkpointed(close_keys(persons.select("key").unionByName(persons.select(F.col("skel").alias("key"))).unionByName(words)))
-    near_words = close.where(F.col("key_a").startswith("#")).select(F.col("key_a").alias("words_a"), F.col("key_b").alias("words_b"))
+    skeletons = persons.where("skel <> ''")  # no letters are no likeness
+    close = checkpointed(close_keys(persons.select("key").unionByName(skeletons.select(F.col("skel").alias("key"))).unionByName(words)))
+    near_words = close.where(F.col("key_a").startswith("#")).select(F.col("key_a").alias("word_a"), F.col("key_b").alias("word_b"))
     typed = persons.select(F.col("key").alias("key_a"), F.col("n").alias("n_a"))
     raw = close.join(typed.select("key_a"), "key_a").join(typed.select(F.col("key_a").alias("key_b")), "key_b")
-    one = persons.select(F.col("skel").alias("key_a"), F.col("key").alias("k_a"))
-    two = persons.select(F.col("skel").alias("key_b"), F.col("key").alias("k_b"))
+    one = skeletons.select(F.col("skel").alias("key_a"), F.col("key").alias("k_a"))
+    two = skeletons.select(F.col("skel").alias("key_b"), F.col("key").alias("k_b"))
     look = close.join(one, "key_a").join(two, "key_b").select(F.col("k_a").alias("key_a"), F.col("k_b").alias("key_b"))
     near = checkpointed(raw.select("key_a", "key_b").unionByName(look).distinct())
     weighed = near.join(typed.select(F.col("key_a").alias("key_b"), F.col("n_a").alias("n_b")), "key_b")
@@ -471,33 +494,55 @@ def key_bases(keys: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame,
 
 def skeleton_column(key: Column) -> Column:
     """Letters only, with letter groups that look alike in print made equal."""
-    flat = F.regexp_replace(key, "[^a-z]", "")
+    flat = F.regexp_replace(key, "[^\\p{L}]", "")
     for look, letter in LOOKALIKES:
         flat = F.replace(flat, F.lit(look), F.lit(letter))
     return flat
 
 
+def _close_skeletons(a: Column, b: Column) -> Column:
+    """Whether two keys with letters have skeletons within RADIUS; two swapped letters are one edit, but two to ``levenshtein``."""
+    a, b = skeleton_column(a), skeleton_column(b)
+    swapped = F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
+    return (a != "") & (b != "") & (F.levenshtein(a, b) <= F.when(swapped, 2 * RADIUS).otherwise(RADIUS))
+
+
 def _candidates(forms_a: DataFrame, forms_b: DataFrame, close: DataFrame, words: DataFrame, on: list[str]) -> DataFrame:
     """Scored pairs of forms with paired bases (or close words of organisations) and equal ``on`` columns."""
-    cols = ["id", "key", "base", "rest", "mids", "grade", "known"]
+    cols = ["id", "key", "base", "rest", "pick", "mids", "grade", "known", *(["letters"] if "letter" in on else [])]
     left = forms_a.select(*[F.col(c).alias(f"{c}_a") for c in cols], "kind", *on)
     right = forms_b.select(*[F.col(c).alias(f"{c}_b") for c in cols], "kind", *on)
     pairs = left.join(close, "base_a").join(right, ["base_b", "kind", *on]).where("id_a <> id_b")
-    pairs = pairs.where((F.col("base_a") == F.col("base_b")) | (F.levenshtein("key_a", "key_b") <= 2 * RADIUS))
-    written = [x.where("kind = 'o'").where(F.col(f"grade_{i}") == 2).withColumn(f"words_{i}", _joined_words(F.col(f"rest_{i}"))) for x, i in ((left, "a"), (right, "b"))]
+    typed = F.levenshtein("key_a", "key_b") <= 2 * RADIUS
+    pairs = pairs.where((F.col("base_a") == F.col("base_b")) | typed | _close_skeletons(F.col("key_a"), F.col("key_b")))
+    # organisations that are written out: each word has a close one in the other, so the rarest is looked for
+    left_words = left.where("kind = 'o' AND grade_a = 2").withColumn("word_a", F.col("pick_a"))
+    right_words = right.where("kind = 'o' AND grade_b = 2").withColumn("word_b", F.explode(_words(F.col("rest_b"))))
     # those of one base came above
-    more = written[0].join(words, "words_a").join(written[1], ["words_b", "kind", *on]).where("id_a <> id_b AND base_a <> base_b")
+    more = left_words.join(words, "word_a").join(right_words, ["word_b", "kind", *on]).where("id_a <> id_b AND base_a <> base_b")
+    more = more.where(F.size(F.split("rest_a", " ")) == F.size(F.split("rest_b", " ")))
     pairs = pairs.unionByName(more.select(*pairs.columns))
+    if "letter" in on:  # two forms meet at the first letter that they share
+        pairs = pairs.where(F.col("letter") == F.array_min(F.array_intersect("letters_a", "letters_b")))
     pairs = pairs.select(
         F.col("id_a").alias("a"), F.col("id_b").alias("b"), "kind", "rest_a", "mids_a", "grade_a", "known_a",
         "rest_b", "mids_b", "grade_b", "known_b", (F.col("key_a") == F.col("key_b")).alias("exact"),
     )
-    return pairs.mapInPandas(_score, "a bigint, b bigint, level int, exact boolean, mid boolean")
+    return pairs.mapInPandas(_score, "a bigint, b bigint, level int, exact boolean, mid boolean, same boolean")
+
+
+def _by_letter(forms: DataFrame, bare: list[str], given: str) -> DataFrame:
+    """Each person's form once for each of its letters. A bare family name stands at the signs ``bare``, all others also
+    at ``given``: so bare names of one side meet all of the other, and given names only those that can agree."""
+    signs = F.when(F.col("rest") == "", F.array(*[F.lit(x) for x in bare]))
+    letters = F.array_union(_given_letters(F.when(F.col("kind") == "p", F.col("rest"))), F.array(F.lit(given)))
+    letters = F.when(F.col("kind") == "p", F.coalesce(signs, letters)).otherwise(F.array(F.lit("")))
+    return forms.withColumn("letters", letters).withColumn("letter", F.explode("letters"))
 
 
 def _rank() -> Column:
-    """How good a link is: its level, then equal keys, then equal middle initials."""
-    return F.col("level") * 4 + F.col("exact").cast("int") * 2 + F.col("mid").cast("int")
+    """How good a link is: its level, then equal keys, then equal middle initials, then full names typed alike."""
+    return F.col("level") * 8 + F.col("exact").cast("int") * 4 + F.col("mid").cast("int") * 2 + F.col("same").cast("int")
 
 
 def _only_group(links: DataFrame, groups: DataFrame) -> DataFrame:
@@ -507,12 +552,31 @@ def _only_group(links: DataFrame, groups: DataFrame) -> DataFrame:
     return best.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label")).where("n = 1").select("a", "label")
 
 
+def _labelled(forms: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, label) of all ``forms``; those in none of the groups are their own."""
+    return checkpointed(forms.select("id").join(groups, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+
+
+def _grouped(forms: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, label) of full names, (id, label) of all ``forms``): full names that agree form groups; initials and
+    abbreviations join the only group that fits, else their like."""
+    groups = component_labels(forms.where("grade = 2"), links.where("level = 2"))
+    weak = forms.where("grade < 2")
+    joined = _only_group(links.join(weak.select(F.col("id").alias("a")), "a", "left_semi"), groups)
+    reach = links.join(groups.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct()
+    alone = weak.join(reach.withColumnRenamed("a", "id"), "id", "left_anti")
+    ends = alone.select("id")
+    inner = links.join(ends.withColumnRenamed("id", "a"), "a", "left_semi").join(ends.withColumnRenamed("id", "b"), "b", "left_semi")
+    weak_groups = component_labels(alone, inner)
+    return groups, _labelled(forms, groups.unionByName(joined.withColumnRenamed("a", "id")).unionByName(weak_groups))
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """(name_id, entity): the group of each spelling; ``entity`` is a number without meaning.
 
     ``names`` has name_id (BIGINT), author_names and affiliation (STRING). Repeated rows count once. Null and blank
     names take part in nothing. Equal spellings at the same affiliation are one entity; a spelling of unknown
-    affiliation joins the only entity it fits, else only its like of unknown affiliation.
+    affiliation joins the only entity it fits; those that fit none are grouped with each other as at one affiliation.
     """
     rows = names.select("name_id", "author_names", "affiliation").where(F.col("name_id").isNotNull()).distinct()
     read = checkpointed(_spread(rows).mapInPandas(
@@ -539,40 +603,27 @@ def link_names(names: DataFrame) -> DataFrame:
     )
     what = ["aff", "kind", "key", "rest", "mids", "grade", "known"]
     oriented = checkpointed(oriented)
-    written = oriented.where("kind = 'o' AND grade = 2").select(_joined_words(F.col("rest")).alias("key"))
+    written = oriented.where("kind = 'o' AND grade = 2").select(F.explode(_words(F.col("rest"))).alias("key"))
     bases, close, words = key_bases(oriented.select("key"), written)
     forms = oriented.select(*what).distinct().join(bases, "key")
-    forms = checkpointed(forms.withColumn("id", F.monotonically_increasing_id()))
+    forms = checkpointed(_with_rarest_word(checkpointed(forms)).withColumn("id", F.monotonically_increasing_id()))
 
     settled, unknown = forms.where("aff IS NOT NULL"), forms.where("aff IS NULL")
     links = checkpointed(_candidates(settled, settled, close, words, ["aff"]))
-    full = settled.where("grade = 2")
-    groups = component_labels(full, links.where("level = 2"))
-    written_out = groups.select("label").distinct()
-    # initials and abbreviations: the only group that fits, else their like
-    weak = settled.where("grade < 2")
-    joined = _only_group(links.join(weak.select(F.col("id").alias("a")), "a", "left_semi"), groups)
-    reach = links.join(groups.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct()
-    alone = weak.join(reach.withColumnRenamed("a", "id"), "id", "left_anti")
-    ends = alone.select("id")
-    inner = links.join(ends.withColumnRenamed("id", "a"), "a", "left_semi").join(ends.withColumnRenamed("id", "b"), "b", "left_semi")
-    weak_groups = component_labels(alone, inner)
-    torn = weak.select("id").join(joined.withColumnRenamed("a", "id"), "id", "left_anti").join(alone.select("id"), "id", "left_anti")
-    groups = groups.unionByName(joined.withColumnRenamed("a", "id")).unionByName(weak_groups).unionByName(torn.select("id", F.col("id").alias("label")))
-    groups = checkpointed(groups)
-
-    # unknown affiliation: compared with all; the first letter of a person's given name is part of the join. A form that
-    # stands at many affiliations is met once, and brings the smallest and largest label it has there
-    letter = F.when(F.col("kind") == "p", F.substring("rest", 1, 1)).otherwise(F.lit(""))
-    name = ["kind", "key", "base", "rest", "mids", "grade", "known"]
+    full_groups, groups = _grouped(settled, links)
+    written_out = full_groups.select("label").distinct()
+
+    # unknown affiliation: compared with all; letters that given names share if they agree are part of the join. A form
+    # that stands at many affiliations is met once, and brings the smallest and largest label it has there
+    name = ["kind", "key", "base", "rest", "pick", "mids", "grade", "known"]
     held = settled.select("id", *name).join(groups.select("id", "label"), "id").join(written_out.withColumn("written", F.lit(True)), "label", "left")
     # a full name joins through initials only where the group has no full name that contradicts it
     short = F.when(F.col("written").isNull(), F.col("label"))
     places = checkpointed(held.groupBy(*name).agg(
         F.min("id").alias("id"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(short).alias("short_low"), F.max(short).alias("short_high"),
     ))
-    by_letter = [x.withColumn("letter", letter) for x in (unknown, places)]
-    links0 = _candidates(by_letter[0], by_letter[1], close, words, ["letter"])
+    sides = [(["<"], ">"), (["<", ">"], "<")]  # of the first and the second forms: signs of bare names, sign of the others
+    links0 = _candidates(_by_letter(unknown, *sides[0]), _by_letter(places, *sides[1]), close, words, ["letter"])
     through = (F.col("level") == 1) & (F.col("grade") == 2)
     fitting = links0.join(places.select(F.col("id").alias("b"), "low", "high", "short_low", "short_high"), "b").join(unknown.select(F.col("id").alias("a"), "grade"), "a")
     fitting = fitting.select(
@@ -582,12 +633,10 @@ def link_names(names: DataFrame) -> DataFrame:
     best = fitting.withColumn("top", F.max("rank").over(Window.partitionBy("a"))).where("rank = top").groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     joined0 = best.where("low = high").select("a", F.col("low").alias("label"))
     apart = unknown.join(fitting.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    apart = apart.withColumn("letter", letter)
-    inner0 = _candidates(apart, apart, close, words, ["letter"]).where("level = 2 AND exact")
-    groups0 = component_labels(apart, inner0)
-    torn0 = unknown.select("id").join(joined0.withColumnRenamed("a", "id"), "id", "left_anti").join(apart.select("id"), "id", "left_anti")
-    groups = groups.unionByName(joined0.withColumnRenamed("a", "id")).unionByName(groups0).unionByName(torn0.select("id", F.col("id").alias("label")))
-    groups = checkpointed(groups)  # also keeps the optimizer from deriving constraints through this union
+    apart = checkpointed(apart)
+    inner0 = checkpointed(_candidates(_by_letter(apart, *sides[0]), _by_letter(apart, *sides[1]), close, words, ["letter"]))
+    _, groups0 = _grouped(apart, inner0)
+    groups = _labelled(forms, groups.unionByName(joined0.withColumnRenamed("a", "id")).unionByName(groups0))
 
     same = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in what]
     matched = oriented.alias("o").join(forms.alias("f"), [F.col("o.key") == F.col("f.key"), F.col("o.rest") == F.col("f.rest"), *same]).select("o.name_id", "f.id")

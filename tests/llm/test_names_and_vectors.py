@@ -107,6 +107,51 @@ def test_linking(spark):
     assert got == want
 
 
+FAR = "University of Southam"
+# (spellings, pairs that belong together); each family name or organisation stands in one entry
+MEETING = [
+    ([("William Harcourt", AFF), ("Bill Harcourt", None)], {(0, 1)}),
+    ([("Otto Weir", AFF), ("Weir", None)], {(0, 1)}),
+    ([("Lindqvist", AFF), ("Otto Lindqvist", None)], {(0, 1)}),
+    ([("Maria Sandhurst", AFF), ("Naria Sandhurst", None)], {(0, 1)}),
+    ([("William Tanner", None), ("Bill Tanner", None), ("Tanner, W.", None), ("William Tannre", None)], set(itertools.combinations(range(4), 2))),
+    ([("William Oldman", None), ("Wanda Oldman", None), ("Oldman, W.", None)], set()),
+    ([("Bill Arkwright", AFF), ("William Arkwright", FAR), ("Bill Arkwright", None)], {(0, 2)}),
+    ([("Bill Dunmore", AFF), ("Bill Dunmore", FAR), ("William Dunmore", None)], set()),
+    # look alike in print, four letters apart as typed; each spelling is its own base
+    ([("Otto Burnernclicliford", AFF), ("Otto Burnernclicliforx", AFF), ("Otto Bumemdidifore", AFF)], set(itertools.combinations(range(3), 2))),
+    # a first letter moves a word in the sorted order; two words with one edit each
+    ([("Centre of River Dynamics", AFF), ("Centre of River Xynamics", AFF)], {(0, 1)}),
+    ([("Station of Forest Acoustics", AFF), ("Station of Norest Acuostics", AFF)], {(0, 1)}),
+    ([("Museum of Glacier Maps", AFF), ("Museum of Blacier Naps", None), ("Museum of Naps", AFF)], {(0, 1)}),
+    # other scripts and digits have no skeletons that are alike
+    ([("Петров, Иван", AFF), ("Сидоров, Иван", AFF), ("Петроу, Иван", AFF), ("Петров, Иван", AFF)], {(0, 2), (0, 3), (2, 3)}),
+    ([("123", AFF), ("456", AFF)], set()),
+]
+
+
+def test_all_that_fits_meets(spark):
+    rows, want = [], set()
+    for names, pairs in MEETING:
+        want |= {(a + len(rows), b + len(rows)) for a, b in pairs}
+        rows += names
+    rows += [(f"Filler{'abcdefghi'[i]}man, {first}", f"Place {i}") for i, first in enumerate(["Maria", "Otto", "William"] * 3)]
+    assert linked(spark, rows) == want
+
+
+def test_given_names_that_agree_share_a_letter():
+    rng = random.Random(6)
+    listed = sorted(nv.SHORT)
+    typed = [w[:i] + rng.choice(["", "x", w[i] + "q", w[i + 1 : i + 2] + w[i]]) + w[i + 1 :] for w in listed for i in (0, 1)]
+    names = [(w, 2) for w in listed + typed if len(w) > 1] + [(w[:n], n - 1 and 1) for w in listed for n in (1, 3)]
+    agreeing = 0
+    for (a, grade_a), (b, grade_b) in itertools.combinations(rng.sample(names, 900), 2):
+        if nv.agree("p", a, "", grade_a, False, b, "", grade_b, False) or nv.agree("p", b, "", grade_b, False, a, "", grade_a, False):
+            agreeing += 1
+            assert set(nv.given_letters(a)) & set(nv.given_letters(b)), (a, b)
+    assert agreeing > 1_000
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([], "name_id bigint, author_names string, affiliation string")
     assert nv.linked_pairs(nv.link_names(df)).count() == 0
