@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.link_arrays import ARRAY_LINKS, link_arrays, one_of_each_hop
 from folioscope.operators.numbering import numbered
 from folioscope.session import checkpointed
 
@@ -257,6 +258,42 @@ def distance_by_hops(hops: DataFrame, vectors: DataFrame, metric, seed: int = 0)
     return one.select("source", "hops", "id", metric("sv", "v").alias("distance"))
 
 
+#: Sources that one task follows together over the arrays of a graph.
+TOGETHER = 64
+
+
+def distance_by_path_length(edges: DataFrame, sources: DataFrame, vectors: DataFrame, metric, seed: int = 0, array_links: int = ARRAY_LINKS) -> DataFrame:
+    """What ``distance_by_hops`` gives of the ``hop_distances`` of all sources (column source). Up to ``array_links`` links
+    each task has the graph as arrays and follows 64 sources at once, and only the chosen vertices become rows; beyond them
+    every vertex is a row for each source."""
+    links = checkpointed(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    vectors = vectors.select("id", "v")
+    if links.count() > array_links:
+        return distance_by_hops(hop_distances(edges, sources), vectors, metric, seed)
+    spark = edges.sparkSession
+    names, begin, near = link_arrays(links)
+    has = np.isin(names, vectors.select("id").toArrow().column("id").to_numpy())
+    chosen = sources.join(vectors.select(F.col("id").alias("source")), "source", "left_semi").distinct()
+    chosen = np.intersect1d(chosen.toArrow().column("source").to_numpy(), names)
+    graph = spark.sparkContext.broadcast((names, begin, near, has, np.searchsorted(names, chosen)))
+    tasks = max(1, -(-len(chosen) // TOGETHER))
+
+    def follow(batches):
+        import pyarrow as pa
+
+        names, begin, near, has, chosen = graph.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rows = one_of_each_hop(chosen[k::tasks], has, names, begin, near, seed)
+                columns = list(zip(*rows)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["source", "hops", "id"])
+
+    one = checkpointed(spark.range(0, tasks, 1, tasks).mapInArrow(follow, "source bigint, hops int, id bigint"))
+    graph.unpersist()
+    known = one.join(vectors, "id").join(vectors.select(F.col("id").alias("source"), F.col("v").alias("sv")), "source")
+    return known.select("source", "hops", "id", metric("sv", "v").alias("distance"))
+
+
 def link_scores(predicted: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, f1 of predicted edges against the test edges. Training edges do not
     count as hits; a ratio with nothing below it is 0."""
