@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.link_arrays import ARRAY_LINKS, hops_from, link_arrays
 from folioscope.operators.vocabulary import relevance, top_terms
 from folioscope.session import checkpointed
 
@@ -125,7 +126,7 @@ def _relaxed(links: DataFrame, start: int, end: int) -> tuple[float, list[int]]:
     return (found["length"], list(found["path"])) if found else (math.inf, [])
 
 
-def disjoint_longest_paths(edges: DataFrame, vectors: DataFrame, metric, samples: int = 10_000, seed: int = 0, driver_links: int = 2_000_000) -> DataFrame:
+def disjoint_longest_paths(edges: DataFrame, vectors: DataFrame, metric, samples: int = 10_000, seed: int = 0, driver_links: int = ARRAY_LINKS) -> DataFrame:
     """(source, id, hops, distance) along long shortest paths that share no link: from a vertex drawn by a seeded generator
     a shortest path to one of the farthest vertices is taken, the vertices on it are paired with its source, and its
     links are removed; again until ``samples`` pairs are found or no link is left. ``vectors``: id, v; pairs without both
@@ -142,41 +143,31 @@ def disjoint_longest_paths(edges: DataFrame, vectors: DataFrame, metric, samples
 
 
 def _paths_on_arrays(pairs: DataFrame, samples: int, seed: int) -> list[tuple[int, int, int]]:
-    table = pairs.orderBy("src", "dst").toArrow()
-    ends = [table.column(c).to_numpy().astype(np.int64) for c in ("src", "dst")]
-    names, flat = np.unique(np.concatenate(ends), return_inverse=True)
-    half = len(ends[0])
-    a, b = np.concatenate([flat[:half], flat[half:]]), np.concatenate([flat[half:], flat[:half]])
-    order = np.lexsort((b, a))
-    a, b, link = a[order], b[order], np.tile(np.arange(half), 2)[order]
-    begin = np.searchsorted(a, np.arange(len(names) + 1))
-    alive = np.ones(half, bool)
+    names, begin, near = link_arrays(pairs, hubs_first=True)
+    open_ = np.argsort(names)
+    alive, degree = np.ones(len(near), bool), np.diff(begin)
     rng = np.random.default_rng(seed)
     out: list[tuple[int, int, int]] = []
-    while len(out) < samples and alive.any():
-        # a vertex without links left would only find itself
-        source = int(rng.choice(np.unique(a[alive[link]])))
-        came = np.full(len(names), -1)  # the place in the arrays by which a vertex was reached
-        seen = np.zeros(len(names), bool)
-        seen[source] = True
-        front = np.array([source])
-        last = front
-        while len(front):
-            last = front
-            n = begin[front + 1] - begin[front]
-            places = np.repeat(begin[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            places = places[alive[link[places]]]
-            places = places[~seen[b[places]]]
-            front, at = np.unique(b[places], return_index=True)
-            seen[front] = True
-            came[front] = places[at]
-        v = int(rng.choice(last))
+    while len(out) < samples and len(open_):
+        source = int(rng.choice(open_))
+        hops = hops_from(source, begin, near, alive, degree)
+        last = np.flatnonzero(hops == hops.max())
+        v = int(rng.choice(last[np.argsort(names[last])]))
         path = []
         while v != source:
             path.append(v)
-            alive[link[came[v]]] = False
-            v = int(a[came[v]])
-        out += [(int(names[source]), int(names[x]), hops + 1) for hops, x in enumerate(path[::-1])]
+            places = np.arange(begin[v], begin[v + 1])
+            places = places[alive[places] & (hops[near[places]] == hops[v] - 1)]
+            at = places[np.argmin(names[near[places]])]
+            u = int(near[at])
+            back = begin[u] + np.searchsorted(near[begin[u] : begin[u + 1]], v)
+            alive[at] = alive[back] = False
+            degree[u] -= 1
+            degree[v] -= 1
+            v = u
+        if (degree[[source, *path]] == 0).any():  # a vertex without links left would only find itself
+            open_ = open_[degree[open_] > 0]
+        out += [(int(names[source]), int(names[x]), n + 1) for n, x in enumerate(path[::-1])]
     return out[:samples]
 
 

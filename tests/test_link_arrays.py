@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import vectors as vec
 from folioscope.operators import graph as gr
+from folioscope.operators import interpretation as it
 from folioscope.operators import link_arrays as la
 
 
@@ -36,3 +37,39 @@ def test_distances_by_path_length_over_arrays(spark, monkeypatch):
     assert got == want and len(got) > 60
     assert sorted(map(tuple, gr.distance_by_path_length(e, sources, v, vec.hellinger, array_links=3).collect())) == want
     assert gr.distance_by_path_length(e.limit(0), sources, v, vec.hellinger).count() == 0
+
+
+def test_hops_over_arrays(spark, monkeypatch):
+    monkeypatch.setattr(la, "BLOCK", 16)
+    monkeypatch.setattr(la, "TRIES", 2)
+    e = some_links(spark, 90, 150, 2)
+    names, begin, near = la.link_arrays(e, hubs_first=True)
+    want = {(r.source, r.id): r.hops for r in gr.hop_distances(e, e.select("src").distinct().select(F.col("src").alias("source"))).collect()}
+    for source in {s for s, _ in want}:
+        hops = la.hops_from(int(np.flatnonzero(names == source)[0]), begin, near, np.ones(len(near), bool), np.diff(begin))
+        assert {(source, int(i)): int(h) for i, h in zip(names, hops) if h >= 0} == {k: h for k, h in want.items() if k[0] == source}
+
+
+def test_longest_paths_are_of_farthest_vertices(spark):
+    """Every path against a plain search over the links that are left."""
+    e = some_links(spark, 60, 90, 3)
+    near = {}
+    for r in e.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    found = it._paths_on_arrays(e, 10**6, 4)
+    assert len(found) == e.count()
+    at = 0
+    while at < len(found):
+        source, path = found[at][0], [found[at][0]]
+        while at < len(found) and found[at][0] == source and found[at][2] == len(path):
+            path.append(found[at][1])
+            at += 1
+        hops, front = {source: 0}, [source]
+        while front:
+            front = [u for v in front for u in near[v] if hops.setdefault(u, hops[v] + 1) == hops[v] + 1 and u not in front]
+            front = list(dict.fromkeys(front))
+        assert hops[path[-1]] == max(hops.values()) == len(path) - 1
+        for a, b in zip(path, path[1:]):
+            near[a].remove(b)
+            near[b].remove(a)
