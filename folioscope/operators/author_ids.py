@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +32,75 @@ def trigram_weights(names: DataFrame, n: int = 3, prefix: int = 2) -> DataFrame:
     return raw.select("block", "name", "gram", (F.col("x") / norm).alias("w"))
 
 
+#: Names of a block that one task compares with each other or with as many others.
+NAMES_TOGETHER = 4_000
+#: Cosines that a task holds at once.
+CELLS = 1 << 20
+
+
 def similar_names(names: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(block, a, b, similarity), a < b, of names in one block with a cosine above ``threshold``. By prefix filtering a
-    name is only joined on its heaviest trigrams: those whose remaining weight could still reach the threshold."""
-    w = checkpointed(trigram_weights(names))
-    # in an order of rising frequency, the trigrams before the rest's squared weight falls below threshold^2
-    freq = w.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("block", "name").orderBy("df", "gram")
-    ranked = w.join(freq, ["block", "gram"]).withColumn("rest", 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    probe = ranked.where(F.col("rest") >= threshold * threshold - 1e-9).select("block", "gram", "name")
-    met = probe.select("block", "gram", F.col("name").alias("a")).join(probe.select("block", "gram", F.col("name").alias("b")), ["block", "gram"]).where("a < b")
-    pairs = met.select("block", "a", "b").distinct()
-    dot = pairs.join(w.select("block", F.col("name").alias("a"), "gram", F.col("w").alias("x")), ["block", "a"]).join(w.select("block", F.col("name").alias("b"), "gram", F.col("w").alias("y")), ["block", "b", "gram"])
-    return dot.groupBy("block", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") > threshold)
+    """(block, a, b, similarity), a < b, of names in one block with a cosine above ``threshold``. A block is cut into parts
+    of about NAMES_TOGETHER names and every two parts meet in one task, which adds up the products over shared trigrams;
+    only pairs above the threshold become rows. A name travels once for each part of its block."""
+    w = trigram_weights(names)
+    rows = checkpointed(w.groupBy("block", "name").agg(F.collect_list(F.struct("gram", "w")).alias("g")))  # one name's trigrams
+    size = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / NAMES_TOGETHER).cast("int").alias("parts"))
+    parted = rows.join(size, "block").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    sent = parted.select("block", "name", F.col("g.gram").alias("gram"), F.col("g.w").alias("w"), "part", other)
+    sent = sent.select("block", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "name", "gram", "w")
+
+    return sent.groupBy("block", "one", "two").applyInArrow(lambda key, group: _close_names(group, threshold), "block string, a string, b string, similarity double")
+
+
+def _close_names(group: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of one meeting of two parts, or of a part with itself. Trigrams that many of the names have are multiplied as
+    dense columns, the others from name to name."""
+    one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+    side = group.column("part").to_numpy()
+    rows, others = np.flatnonzero(side == one), np.flatnonzero(side == two)
+    names, grams, weights = group.column("name"), group.column("gram").combine_chunks(), group.column("w").combine_chunks()
+    owner = np.repeat(np.arange(len(names)), grams.value_lengths().to_numpy())
+    term = pc.dictionary_encode(grams.flatten()).indices.to_numpy().astype(np.int64)
+    value = weights.flatten().to_numpy()
+    many = np.bincount(term) > len(names) / 64 + 8
+    column = np.cumsum(many) - 1
+    place = np.full(len(names), -1)
+    place[others] = np.arange(len(others))
+    common = many[term]
+    entries = lambda keep: (owner[keep], term[keep], value[keep])
+    wide = np.zeros((len(others), int(many.sum())))
+    o, t, v = entries(common & (place[owner] >= 0))
+    wide[place[o], column[t]] = v
+    o, t, v = entries(~common & (place[owner] >= 0))
+    order = np.argsort(t, kind="stable")
+    holder, held = place[o[order]], v[order]
+    begin = np.searchsorted(t[order], np.arange(len(many) + 1))
+    step = max(1, CELLS // max(1, len(others)))
+    left, right, score = [], [], []
+    for first in range(0, len(rows), step):
+        here = rows[first : first + step]
+        at = np.full(len(names), -1)
+        at[here] = np.arange(len(here))
+        mine = at[owner] >= 0
+        dense = np.zeros((len(here), wide.shape[1]))
+        o, t, v = entries(common & mine)
+        dense[at[o], column[t]] = v
+        dots = dense @ wide.T
+        o, t, v = entries(~common & mine)
+        n = begin[t + 1] - begin[t]
+        places = np.repeat(begin[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        dots += np.bincount(np.repeat(at[o], n) * len(others) + holder[places], np.repeat(v, n) * held[places], dots.size).reshape(dots.shape)
+        x, y = np.nonzero(dots > threshold)
+        x, y, dots = here[x], others[y], dots[x, y]
+        kept = x < y if one == two else np.ones(len(x), bool)
+        left.append(x[kept])
+        right.append(y[kept])
+        score.append(dots[kept])
+    left, right, score = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right, score))
+    pairs = [sorted(p) for p in zip(names.take(left).to_pylist(), names.take(right).to_pylist())]
+    columns = [[group.column("block")[0].as_py()] * len(pairs), [p[0] for p in pairs], [p[1] for p in pairs], score]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.float64()])], ["block", "a", "b", "similarity"])
 
 
 MAX_ROUNDS = 200
