@@ -7,10 +7,11 @@ the shared folder and stop with an error rather than with a partial result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.link_arrays import ARRAY_LINKS, link_arrays, one_of_each_hop
+from folioscope.operators.link_arrays import ARRAY_LINKS, contracted, link_arrays, moved_on_arrays, one_of_each_hop
 from folioscope.operators.numbering import numbered
 from folioscope.session import checkpointed
 
@@ -332,30 +333,62 @@ DRIVER_LINKS = 2_000_000
 MOVES = 12
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, driver_links: int = DRIVER_LINKS) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, driver_links: int = DRIVER_LINKS, array_links: int = ARRAY_LINKS) -> DataFrame:
     """(id, community): greedy modularity, one level after another.
 
-    A graph of more than ``driver_links`` distinct links is first moved and contracted level by level on the cluster (see
-    ``_moved``) until it fits; what then fits is moved vertex by vertex, in order, over sorted arrays on the driver.
-    RuntimeError if moves no longer contract a graph that does not fit.
+    A graph of more than ``driver_links`` distinct links is first moved and contracted level by level until it fits: on the
+    cluster (see ``_moved``) while it has more than ``array_links``, then in the same way over arrays on the driver. What
+    fits is moved vertex by vertex, in order, on the driver. RuntimeError if moves no longer contract a graph that does not fit.
     """
-    pairs = both_ways(edges.where("src <> dst"))
-    links = checkpointed(pairs.select("a", "b", F.lit(1.0).alias("w")))
+    distinct = checkpointed(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    n = 2 * distinct.count()
+    if 2 * driver_links < n <= 2 * array_links:
+        names, begin, near = link_arrays(distinct)
+        return _on_arrays(edges.sparkSession, names, begin, near, np.ones(len(near)), resolution, driver_links)
+    links = checkpointed(both_ways(distinct).select("a", "b", F.lit(1.0).alias("w")))
     members = None  # (id, v): where a vertex stands on the current level
-    while True:
-        n = links.count()
-        if n <= 2 * driver_links:
-            break
+    while n > 2 * max(driver_links, array_links):
         to = _moved(links, resolution)
         members = to.select(F.col("v").alias("id"), F.col("c").alias("v")) if members is None else checkpointed(members.join(to, "v").select("id", F.col("c").alias("v")))
         one, two = to.select(F.col("v").alias("a"), F.col("c").alias("ca")), to.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         links = checkpointed(links.join(one, "a").join(two, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-        if links.count() > 0.95 * n:
+        left = links.count()
+        if left > 2 * max(driver_links, array_links) and left > 0.95 * n:
             raise RuntimeError(f"{n} links do not contract any further")
-    last = _greedy(links, resolution)
+        n = left
+    if n > 2 * driver_links:
+        table = links.orderBy("a", "b").toArrow()
+        a, b = (table.column(c).to_numpy().astype(np.int64) for c in "ab")
+        names = np.unique(a)
+        begin = np.searchsorted(a, np.append(names, names[-1] + 1))
+        last = _on_arrays(edges.sparkSession, names, begin, np.searchsorted(names, b).astype(np.int32), table.column("w").to_numpy().astype(float), resolution, driver_links)
+        last = last.select(F.col("id").alias("v"), F.col("community").alias("c"))
+    else:
+        last = _greedy(links, resolution)
     return last.select(F.col("v").alias("id"), F.col("c").alias("community")) if members is None else members.join(last, "v").select("id", F.col("c").alias("community"))
 
 
+def _on_arrays(spark: SparkSession, names: np.ndarray, begin: np.ndarray, near: np.ndarray, value: np.ndarray, resolution: float, driver_links: int) -> DataFrame:
+    """(id, community): levels as in ``louvain`` over sorted arrays, until ``driver_links`` are left, then vertex by vertex."""
+    ids, member = names, np.arange(len(names))
+    while len(near) > 2 * driver_links:
+        n = len(near)
+        to = moved_on_arrays(names, begin, near, value, resolution, MOVES)
+        kept, group = np.unique(to, return_inverse=True)
+        codes, sums = contracted(begin, near, value, group, len(kept))
+        del near, value
+        member, names = group[member], names[kept]
+        begin = np.searchsorted(codes, np.arange(len(names) + 1) * len(names))
+        near, value = (codes % len(names)).astype(np.int32), sums
+        del codes, sums
+        if len(near) > 0.95 * n and len(near) > 2 * driver_links:
+            raise RuntimeError(f"{n} links do not contract any further")
+    codes = np.repeat(np.arange(len(names), dtype=np.int64), np.diff(begin)) * len(names) + near
+    del near
+    best = _in_order(codes, value, names, resolution)
+    return spark.createDataFrame(pa.table({"id": ids, "community": best[member]}))
+
+
 def _moved(links: DataFrame, resolution: float) -> DataFrame:
     """(v, c): communities after rounds of moves over weighted links (a, b, w), both ways, with loops. In each round a
     hashed half of the vertices moves to the neighbouring community of the highest gain, so that neighbours rarely swap."""
@@ -388,8 +421,13 @@ def _greedy(links: DataFrame, resolution: float) -> DataFrame:
     ends = [rows.column(c).to_numpy().astype(np.int64) for c in "ab"]
     value = rows.column("w").to_numpy().astype(float)
     names, flat = np.unique(np.concatenate(ends), return_inverse=True)
-    ids, half = names, len(ends[0])
-    codes = flat[:half] * len(names) + flat[half:]
+    half = len(ends[0])
+    best = _in_order(flat[:half] * len(names) + flat[half:], value, names, resolution)
+    return spark.createDataFrame(list(zip(names.tolist(), best.tolist())), "v bigint, c bigint")
+
+
+def _in_order(codes: np.ndarray, value: np.ndarray, names: np.ndarray, resolution: float) -> np.ndarray:
+    """The community of each vertex; ``codes``: vertex times number of vertices plus neighbour, rising, both ways."""
     member = np.arange(len(names))
     while len(names):
         size = len(names)
@@ -425,4 +463,4 @@ def _greedy(links: DataFrame, resolution: float) -> DataFrame:
         value = np.bincount(at, value)
         if len(kept) == size:
             break
-    return spark.createDataFrame(list(zip(ids.tolist(), names[member].tolist())), "v bigint, c bigint")
+    return names[member]

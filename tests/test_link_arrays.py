@@ -73,3 +73,16 @@ def test_longest_paths_are_of_farthest_vertices(spark):
         for a, b in zip(path, path[1:]):
             near[a].remove(b)
             near[b].remove(a)
+
+
+def test_communities_over_arrays_are_those_of_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(la, "BLOCK", 100)
+    monkeypatch.setattr(gr, "MOVES", 3)
+    e = some_links(spark, 120, 200, 5)
+    pairs = gr.both_ways(e)
+    names, begin, near = la.link_arrays(e)
+    want = {r.v: r.c for r in gr._moved(pairs.select("a", "b", F.lit(1.0).alias("w")), 1.0).collect()}
+    own = la.moved_on_arrays(names, begin, near, np.ones(len(near)), 1.0, gr.MOVES)
+    assert dict(zip(names.tolist(), names[own].tolist())) == want
+    got = {r.id: r.community for r in gr.louvain(e, driver_links=150, array_links=1_000).collect()}
+    assert set(got) == set(want) and len(set(got.values())) < 40 and len({got[10**10 + i] for i in range(10)} & {got[i] for i in range(10)}) == 0
