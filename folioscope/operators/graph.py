@@ -344,7 +344,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, driver_links: int = DRIVE
     n = 2 * distinct.count()
     if 2 * driver_links < n <= 2 * array_links:
         names, begin, near = link_arrays(distinct)
-        return _on_arrays(edges.sparkSession, names, begin, near, np.ones(len(near)), resolution, driver_links)
+        return _on_arrays(edges.sparkSession, names, begin, near, np.broadcast_to(1.0, len(near)), resolution, driver_links)
     links = checkpointed(both_ways(distinct).select("a", "b", F.lit(1.0).alias("w")))
     members = None  # (id, v): where a vertex stands on the current level
     while n > 2 * max(driver_links, array_links):

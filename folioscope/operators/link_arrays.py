@@ -208,8 +208,9 @@ def moved_on_arrays(names: np.ndarray, begin: np.ndarray, near: np.ndarray, valu
 
 def contracted(begin: np.ndarray, near: np.ndarray, value: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes, sums) of the links between groups, both ways and with loops; a code is group times ``groups`` plus group."""
-    parts = []
-    for first, last in _blocks(begin):
+    codes, sums = np.empty(0, np.int64), np.empty(0)
+    for first, last in _blocks(begin):  # added up block by block: all links at once would take several times their memory
         v = np.repeat(group[first:last], np.diff(begin[first : last + 1]))
-        parts.append(_summed(v * groups + group[near[begin[first] : begin[last]]], value[begin[first] : begin[last]]))
-    return _summed(*(np.concatenate(x) for x in zip(*parts)))
+        part = _summed(v * groups + group[near[begin[first] : begin[last]]], value[begin[first] : begin[last]])
+        codes, sums = _summed(np.concatenate([codes, part[0]]), np.concatenate([sums, part[1]]))
+    return codes, sums
